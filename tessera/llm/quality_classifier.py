@@ -30,7 +30,7 @@ from ._common import staged, without
 TARGETS = ("toxic", "low")
 OUTPUT = ("p_toxic", "p_low", "kept")
 MAX_LABELLED = 20_000
-MIN_SEEN, MIN_Z, MAX_FEATURES = 12, 4.5, 5_000
+MIN_SEEN, MIN_Z, MAX_FEATURES = 6, 6.5, 5_000
 HOST_STRENGTH, PATH_STRENGTH = 50.0, 50.0
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[#*$%&|<>]")

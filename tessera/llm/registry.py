@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_classifier, quality_rules, sharding, url_filter, warc
+from . import bpe, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_sharding": sharding.op3_sharding,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_bpe": bpe.op6_bpe,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_warc": warc.op10_warc,
     }
 
