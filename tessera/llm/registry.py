@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
+from . import bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_bpe": bpe.op6_bpe,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_warc": warc.op10_warc,
     }

@@ -37,6 +37,7 @@ from ._common import staged
 from .hashing import Hashes, mixed
 
 LENGTH, GRAM, BLOCK = 400, 200, 16
+OUTPUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
 NAMED = "did long, th long, a int, lo int, hi int, inner_name long, name1 long, name2 long"
 
 
@@ -93,11 +94,12 @@ def _blocks(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int) -> tuple[
     return a[which], j, np.maximum(lo[which], a[which] - j * block - block + 1), np.minimum(hi[which], a[which] - j * block)
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """The staged documents (``did, th, doc_id, n_bytes, sha, data``; data only where a sample repeats)
-    and the repeated window starts as ``did, th, lo, hi``."""
+def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, block: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The staged documents (``did, th, doc_id, n_bytes, sha, data, hs, extra``; hs where a sample repeats, data there or if
+    columns are carried) and the repeated window starts as ``did, th, lo, hi``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("data")).withColumns({"did": F.coalesce("doc_id", F.lit(-1)), "th": F.xxhash64("data")})
+    extra = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("data"), extra.alias("extra")).withColumns({"did": F.coalesce("doc_id", F.lit(-1)), "th": F.xxhash64("data")})
     rows = rows.withColumn("rk", F.xxhash64("did", "th"))
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,9 +118,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     split = rows.join(wanted, "rk", "left")
     seen = F.col("hs").isNotNull()
     kept = staged(
-        split.select("doc_id", "did", "th", F.length("data").cast("long").alias("n_bytes"), F.when(~seen, F.sha2("data", 256)).alias("sha"), F.when(seen, F.col("data")).alias("data"), "hs"), "texts"
+        split.select("doc_id", "did", "th", F.length("data").cast("long").alias("n_bytes"), F.when(~seen, F.sha2("data", 256)).alias("sha"), (F.col("data") if carry else F.when(seen, F.col("data"))).alias("data"), "hs", "extra"), "texts"
     )
-    texts = kept.where("data is not null").select("did", "th", "data", "hs")
+    texts = kept.where("hs is not null").select("did", "th", "data", "hs")
 
     def level0(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -166,20 +168,21 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     return kept, out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``, and if columns are to be carried also these and ``data``, the whole text.
 
     ``spans`` are the maximal removed runs as (start, end) bytes; ``kept`` holds the remaining bytes
     where something was removed and is null where the text is unchanged.
     """
-    kept, found = repeats(docs, id_col, text_col, length, gram, block)
+    kept, found = repeats(docs, id_col, text_col, length, gram, block, carry)
     runs = found.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, data, runs in zip(pdf["doc_id"], pdf["data"], pdf["runs"]):
+            extras = pdf["extra"] if carry else [None] * len(pdf)
+            for doc_id, data, runs, extra in zip(pdf["doc_id"], pdf["data"], pdf["runs"], extras):
                 data = bytes(data)
                 edge = np.zeros(len(data) + 1, dtype=np.int64)
                 for r in runs if runs is not None else ():
@@ -189,12 +192,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(turns[::2], turns[1::2])]
                 rest = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                rows.append((doc_id, len(data), int(gone.sum()), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if spans else None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
-
-    touched = kept.where("data is not null").select("did", "th", "doc_id", "data").join(runs, ["did", "th"], "left")
-    untouched = kept.where("data is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("binary").alias("kept"))
-    return touched.select("doc_id", "data", "runs").mapInPandas(cut, schema).union(untouched)
+                rows.append((doc_id, len(data), int(gone.sum()), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if spans else None, *([data, extra] if carry else [])))
+            yield pd.DataFrame(rows, columns=[*OUTPUT, *(["data", "extra"] if carry else [])]).astype({"doc_id": "Int64"})
+
+    touched = kept.where("hs is not null").select("did", "th", "doc_id", "data", "extra").join(runs, ["did", "th"], "left")
+    kind = kept.schema["extra"].dataType.simpleString()
+    if carry:
+        schema += f", data binary, extra {kind}"
+    touched = touched.select("doc_id", "data", "runs", *["extra"] * bool(carry)).mapInPandas(cut, schema)
+    none = {"n_removed": "0L", "n_spans": "0L", "spans": "cast(array() as array<struct<start:int,end:int>>)", "kept": "cast(null as binary)"}
+    untouched = kept.where("hs is null").withColumn("kept_sha256", F.col("sha")).withColumns({k: F.expr(v) for k, v in none.items()})
+    out = touched.unionByName(untouched.select(touched.columns))
+    return out.select("*", "extra.*").drop("extra") if carry else out
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
