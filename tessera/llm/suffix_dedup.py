@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import discard, released, staged
 from .hashing import Hashes, mixed
 
 LENGTH, GRAM, BLOCK = 400, 200, 16
@@ -120,6 +120,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     kept = staged(
         split.select("doc_id", "did", "th", F.length("data").cast("long").alias("n_bytes"), F.when(~seen, F.sha2("data", 256)).alias("sha"), (F.col("data") if carry else F.when(seen, F.col("data"))).alias("data"), "hs", "extra"), "texts"
     )
+    discard(sampled)
+    del sampled, wanted, split
+    released(docs.sparkSession)
     texts = kept.where("hs is not null").select("did", "th", "data", "hs")
 
     def level0(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,6 +157,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
         classes = staged(
             named.groupBy("inner_name", "name1", "name2").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "a", "lo", "hi")).alias("one")), "classes"
         )
+        released(docs.sparkSession)
         again = classes.where("n > 1").select("name1", "name2").distinct()
         found.append(named.join(staged(again, "again"), ["name1", "name2"], "left_semi").select("did", "th", "lo", "hi"))
         if not step:
