@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import conversation, corpus, retrieval, streams
+
+MODULES = (retrieval, conversation, corpus, streams)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
