@@ -23,7 +23,8 @@ def query(sql: str | None = None):
     return add
 
 
-ORDER = Window.partitionBy("conv_id").orderBy("turn")
+def _order():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def _log(spark, sf):
@@ -44,7 +45,7 @@ def recent_history(spark, sf):
 @query("SELECT conv_id, turn, answer_turn, length(answer) AS answer_chars FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer, lead(turn) OVER w AS answer_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'")
 def turn_pairs(spark, sf):
     """Each user message with the assistant message right after it."""
-    rows = _log(spark, sf).withColumns({"r": F.lead("role").over(ORDER), "answer": F.lead("text").over(ORDER), "answer_turn": F.lead("turn").over(ORDER)})
+    rows = _log(spark, sf).withColumns({"r": F.lead("role").over(_order()), "answer": F.lead("text").over(_order()), "answer_turn": F.lead("turn").over(_order())})
     return rows.where("role = 'user' and r = 'assistant'").select("conv_id", "turn", "answer_turn", F.length("answer").cast("long").alias("answer_chars"))
 
 
@@ -82,7 +83,7 @@ def last_meaningful(spark, sf):
 
 @query("SELECT conv_id, turn, (coalesce(sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1)::BIGINT AS turn_index FROM conversations")
 def turn_index(spark, sf):
-    before = F.sum((F.col("role") == "user").cast("long")).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum((F.col("role") == "user").cast("long")).over(_order().rowsBetween(Window.unboundedPreceding, -1))
     return _log(spark, sf).select("conv_id", "turn", (F.coalesce(before, F.lit(0)) + 1).alias("turn_index"))
 
 
