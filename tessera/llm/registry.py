@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(url_filter.ORACLE_SQL)
+    return url_filter.ORACLE_SQL | warc.ORACLE_SQL

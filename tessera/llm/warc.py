@@ -236,3 +236,14 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
     return read_warc(spark, path, with_payload=False)
 
 
+
+_BITS = " + ".join(f"substr(b, 5 * i + {k + 1}, 1)::INT * {16 >> k}" for k in range(5))
+ORACLE_SQL = {
+    "op10_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS first_id FROM p GROUP BY h HAVING count(*) > 1),
+d AS (SELECT page_id, octet_length(encode(p.h)) AS payload_bytes, unhex(sha1(p.h))::BIT::VARCHAR AS b, first_id FROM p LEFT JOIN g ON g.h = p.h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_BITS} + 1, 1)), '') AS payload_digest,
+  CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM d"""
+}
