@@ -9,10 +9,11 @@ classes are compared.
    must share one of its first ``n - ceil(threshold * n / 100) + 1`` tokens with anything it
    links to, and tokens counted once can't be shared; a class whose first tokens are all of that
    kind is settled without a comparison.
-2. Groups: the rest are compared with one pivot for each of their first tokens. What links so
-   forms groups of similar documents (connected, so nothing within one needs comparing).
+2. Groups: the rest are compared with the pivots (the smallest class of a token) that share most of
+   their first tokens. Each joins the group of its best pivot. What links so
+   is connected already and needs no more comparing.
 3. Matrix: a group keeps its members in blocks, each with the union of its tokens. A document that
-   shares a first token with a block of another group looks its tokens up in the union; at least
+   shares a first token with a block that also holds another component looks its tokens up in the union; at least
    ``threshold`` percent of them must be there for any member to link, and only then the block is
    opened and all overlaps counted at once.
 4. Links found in 2 and 3 give the components.
@@ -40,6 +41,8 @@ from .hashing import Hashes, mixed
 SHINGLE, THRESHOLD = 4, 85
 ZONE = 0.25
 BLOCK, QUERIES = 256, 1024
+#: Pivots that each class is compared with before the groups are known.
+PIVOTS = 2
 #: Surrogate ids of documents without one start here.
 NO_ID = 1 << 62
 
@@ -88,7 +91,7 @@ def sketch(docs: DataFrame, size: int, threshold: int, zone: float) -> DataFrame
 
 def full_tokens(docs: DataFrame, active: DataFrame, size: int) -> DataFrame:
     """``cid, tokens`` of the active classes."""
-    wanted = docs.withColumn("node", F.col("id")).join(active.where(F.col("cid") < NO_ID), F.col("node") == F.col("cid"))
+    wanted = docs.withColumn("node", F.col("id")).join(active.where(F.col("cid") < NO_ID).hint("merge"), F.col("node") == F.col("cid"))
     lost = active.where(F.col("cid") >= NO_ID)
     nameless = docs.where("id is null")
 
@@ -116,26 +119,27 @@ def full_tokens(docs: DataFrame, active: DataFrame, size: int) -> DataFrame:
 
 
 def open_groups(queries: DataFrame, members: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
-    """Edges ``a, b`` between each query and one linked member of each of its blocks.
+    """Edges ``a, b`` between each query and one linked member of each component in each of its blocks.
 
-    ``queries(q, grp)`` and ``members(cid, grp)``; blocks with many queries are repeated
+    ``queries(q, grp)`` and ``members(cid, grp, comp)``; blocks with many queries are repeated
     for every ``QUERIES`` of them.
     """
     load = queries.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    asked = queries.join(load, "grp").select("grp", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("q").alias("cid"))
-    held = members.join(load, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "cid")
+    asked = queries.join(load, "grp").select("grp", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("q").alias("cid"), F.lit(0).cast("long").alias("comp"))
+    held = members.join(load, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "cid", "comp")
     rows = asked.union(held).join(full, "cid").repartition("grp", "part").sortWithinPartitions("grp", "part", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, sets, matrix = None, [], [], None
+        at, ids, comps, sets, matrix = None, [], [], [], None
         for pdf in batches:
             out = []
-            for grp, part, kind, cid, t in zip(pdf["grp"], pdf["part"], pdf["kind"], pdf["cid"], pdf["tokens"]):
+            for grp, part, kind, cid, comp, t in zip(pdf["grp"], pdf["part"], pdf["kind"], pdf["cid"], pdf["comp"], pdf["tokens"]):
                 if at != (grp, part):
-                    at, ids, sets, matrix = (grp, part), [], [], None
+                    at, ids, comps, sets, matrix = (grp, part), [], [], [], None
                 t = np.asarray(t).view(np.uint64)
                 if not kind:
                     ids.append(cid)
+                    comps.append(comp)
                     sets.append(t)
                     continue
                 if matrix is None:
@@ -158,11 +162,12 @@ def open_groups(queries: DataFrame, members: DataFrame, full: DataFrame, thresho
                     common = np.bincount(owner[where], minlength=len(sizes))
                 linked = np.flatnonzero(100 * common >= threshold * (sizes + len(t) - common))
                 if len(linked):
-                    out.append((cid, ids[linked[0]]))
+                    first = np.unique(np.array(comps)[linked], return_index=True)[1]
+                    out += [(cid, ids[k]) for k in linked[first] if ids[k] != cid]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    return rows.select("grp", "part", "kind", "cid", "tokens").mapInPandas(run, "a long, b long")
+    return rows.select("grp", "part", "kind", "cid", "comp", "tokens").mapInPandas(run, "a long, b long")
 
 
 def near_components(
@@ -171,12 +176,18 @@ def near_components(
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    every = staged(sketch(docs, size, threshold, zone), "sketch")
+    whole = staged(sketch(docs, size, threshold, zone), "sketch")
     # pass 1: classes, and exact counts of the zone's tokens over them
-    classes = staged(every.where("n > 0").groupBy("s1", "s2").agg(F.min("node").alias("cid"), F.min("n").alias("n"), F.min_by("first", "node").alias("first")), "classes")
-    split = classes.select("cid", "n", F.explode("first").alias("token"))
+    classes = staged(whole.where("n > 0").groupBy("s1", "s2").agg(F.min("node").alias("cid"), F.min("n").alias("n"), F.min_by("first", "node").alias("first")), "classes")
+    every = staged(whole.select("node", "n", "s1", "s2"), "nodes")
+    discard(whole)
+    del whole
+    released(spark)
+    split = classes.select("cid", F.explode("first").alias("token"))
     often = staged(split.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    shared = split.join(often, "token").groupBy("cid").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    released(spark)
+    shared = staged(split.join(often, "token").groupBy("cid").agg(F.collect_list(F.struct("df", "token")).alias("shared")), "shared")
+    del split
     released(spark)
     limit = np.uint64(int(zone * 2.0**64))
 
@@ -199,36 +210,44 @@ def near_components(
                 yield pd.DataFrame({"cid": np.concatenate(cids), "token": np.concatenate(toks), "n": np.concatenate(sizes)})
 
     first = staged(classes.select("cid", "n", "first").join(shared, "cid").mapInPandas(choose, "cid long, token long, n int"), "first")
+    discard(shared)
+    classes = classes.drop("first")
+    del shared
     released(spark)
     pivots = staged(first.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k"), "pivots")
     first = staged(first.join(pivots, "token"), "first")
     active = classes.join(first.select("cid").distinct(), "cid", "left_semi").select("cid", "s1", "s2")
     full = staged(full_tokens(docs, staged(active, "active"), size), "tokens")
     released(spark)
-    # pass 2: each class against its pivots
-    pairs = first.where("cid <> pivot").select(F.col("cid").alias("q"), F.col("pivot").alias("grp")).distinct()
-    alone = pairs.select("grp").distinct().select(F.col("grp").alias("cid"), "grp")
+    # pass 2: each class against the pivots it shares most with; pass 3 covers whatever this leaves apart
+    ranked = first.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("k")).groupBy("cid")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("k", (-F.col("pivot")).alias("p"))), False), 1, PIVOTS)
+    best = staged(ranked.agg(F.transform(best, lambda x: -x["p"]).alias("best")), "best")
+    pairs = best.select(F.col("cid").alias("q"), F.explode("best").alias("grp"))
+    alone = pairs.select("grp").distinct().select(F.col("grp").alias("cid"), "grp", F.col("grp").alias("comp"))
     links = staged(open_groups(pairs, alone, full, threshold), "links")
-    groups = staged(components(links), "groups")
-    # pass 3: classes against blocks of other groups
-    sizes = groups.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.xxhash64("grp_id", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))))
+    linked = staged(components(links), "linked")
+    released(spark)
+    # pass 3: classes against the blocks of similar classes, whether or not these link among themselves
     placed = (
         active.select("cid")
-        .join(groups.withColumnRenamed("id", "cid"), "cid", "left")
-        .join(sizes, "component_id", "left")
-        .withColumn("grp_id", F.coalesce("component_id", "cid"))
-        .select("cid", "grp_id", block.alias("grp"))
+        .join(linked.withColumnRenamed("id", "cid"), "cid", "left")
+        .join(best.select("cid", F.get("best", F.lit(0)).alias("home")), "cid", "left")
+        .select("cid", F.coalesce("component_id", "cid").alias("comp"), F.coalesce("home", "cid").alias("home"))
     )
     placed = staged(placed, "placed")
+    sizes = placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = staged(placed.join(sizes, "home").select("cid", "comp", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("grp")), "placed")
     rows = staged(first.select("token", "cid", "n").join(placed, "cid"), "rows")
-    matrix = rows.groupBy("token", "grp", "grp_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = staged(matrix.groupBy("token").agg(F.min("grp_id").alias("x"), F.max("grp_id").alias("y")).where("x < y").select("token"), "several")
+    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("least"))
+    several = staged(rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
     matrix = staged(matrix.join(several, "token", "left_semi"), "matrix")
-    asks = rows.join(several, "token", "left_semi").select("token", F.col("cid").alias("q"), "n", F.col("grp_id").alias("own"))
-    fits = (F.col("own") > F.col("grp_id")) & (100 * F.col("high") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("low"))
+    asks = rows.join(several, "token", "left_semi").select("token", F.col("cid").alias("q"), "n", "comp")
+    # of two components the one with the larger id asks
+    fits = (F.col("least") < F.col("comp")) & (100 * F.col("high") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("low"))
     queries = staged(asks.join(matrix, "token").where(fits).select("q", "grp").distinct(), "queries")
-    members = placed.join(queries.select("grp").distinct(), "grp", "left_semi").select("cid", "grp")
+    released(spark)
+    members = placed.join(queries.select("grp").distinct(), "grp", "left_semi").select("cid", "grp", "comp")
     more = staged(open_groups(queries, members, full, threshold), "links")
     joined = staged(components(links.union(more)), "components")
     for table in (first, full, rows, matrix, queries, often, pivots):
