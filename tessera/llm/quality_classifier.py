@@ -1,13 +1,13 @@
 """Quality classifier: document evidence combined with host and path posteriors.
 
-Two targets, ``toxic`` and ``low`` (quality 0), each get a naive Bayes model over words and
-layout marks that are significantly more frequent in the target class (absence of a word is no evidence,
-so a long text isn't cleared by its length). The labelled
-sample for the fit is bounded by ``max_labelled`` documents, chosen by a hash of the id. Every
+Two targets, ``toxic`` and ``low`` (quality 0), each get a ridge-penalised logistic model over words and
+layout marks that are significantly more frequent in the target class. The labelled
+sample for the fit is bounded by about ``max_labelled`` documents, chosen by a hash of the id; the driver sees no text
+of it, only which of at most ``MAX_FEATURES`` features each document has. Every
 document is then scored; grouped aggregation of the scores gives each host and each path
 below it a beta posterior, a sparse path shrinking to its host and a sparse
 host to the global rate. The document's log odds are shifted by its path's log odds against
-the global ones, and it is kept if both probabilities stay below 0.5.
+the global ones, and it is kept if both probabilities stay below ``REJECT``.
 
 Nulls: a null text is scored as empty; a null host or path forms its own site.
 Labels that are null are ignored; with no labels nothing is rejected. Repeated rows are scored
@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ from ._common import staged, without
 TARGETS = ("toxic", "low")
 OUTPUT = ("p_toxic", "p_low", "kept")
 MAX_LABELLED = 20_000
-MIN_SEEN, MIN_Z, MAX_FEATURES = 6, 6.5, 5_000
+MIN_SEEN, MIN_Z, MAX_FEATURES = 6, 4.0, 2_000
+RIDGE, ROUNDS, REJECT = 0.03, 400, 0.15
 HOST_STRENGTH, PATH_STRENGTH = 50.0, 50.0
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[#*$%&|<>]")
@@ -51,8 +53,25 @@ def features(text: str | None) -> set[str]:
     return found | marks
 
 
+def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Weights and, last, the intercept of a model over the set cells ``(rows, columns)`` of a 0/1 matrix.
+
+    Full gradients with a step size per weight; only the weights are penalised.
+    """
+    rate = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+    w = np.append(np.zeros(width), math.log(rate / (1 - rate)))
+    squares = np.full(width + 1, 1e-12)
+    for _ in range(ROUNDS):
+        odds = np.bincount(rows, weights=w[columns], minlength=len(y)) + w[-1]
+        off = 1 / (1 + np.exp(-odds)) - y
+        slope = np.append(np.bincount(columns, weights=off[rows], minlength=width) + RIDGE * w[:-1], off.sum())
+        squares += slope**2
+        w -= 0.5 * slope / np.sqrt(squares)
+    return w
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> dict[str, tuple[float, dict[str, float]]]:
-    """For each target the log prior odds and the log ratio of each kept feature."""
+    """For each target the intercept and the weight of each feature."""
     known = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max((F.col("quality") == 0).cast("int")).alias("low"))
     n = known.count()
     if not n:
@@ -83,17 +102,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_la
     )
     sums = staged(sums, "evidence")
     total = sums.where("feature = ''").first()
-    models = {}
+    models, chosen_features = {}, {}
     for t in TARGETS:
         if total is None or not 0 < total[t] < total["n"]:
             models[t] = (-20.0 if total is None or not total[t] else 20.0, {})
             continue
-        yes, no = float(total[t]), float(total["n"] - total[t])
-        rate = yes / (yes + no)
-        z = (F.col(t) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) * (1 - F.col("n") / (yes + no + 1)))
+        n, rate = float(total["n"]), float(total[t]) / total["n"]
+        z = (F.col(t) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) * (1 - F.col("n") / (n + 1)))
         best = sums.where("feature <> ''").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
-        weights = {r["feature"]: math.log((r[t] + 0.5 * rate) / (yes + rate)) - math.log((r["n"] - r[t] + 0.5 * (1 - rate)) / (no + 1 - rate)) for r in best.collect()}
-        models[t] = (math.log(yes / no), weights)
+        chosen_features[t] = {r["feature"]: k for k, r in enumerate(best.select("feature").collect())}
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [features(text) for text in pdf["text"]]
+            has = {t: [sorted(known[f] for f in fs if f in known) for fs in found] for t, known in chosen_features.items()}
+            yield pdf[["doc_id", *TARGETS]].assign(**{f"has_{t}": has.get(t, [[]] * len(pdf)) for t in TARGETS})
+
+    if chosen_features:
+        schema = "doc_id long, toxic int, low int, has_toxic array<int>, has_low array<int>"
+        # an id that several rows have counts once here
+        sample = rows.select(F.col("doc_id").cast("long"), "text", *[F.col(t).cast("int") for t in TARGETS]).mapInPandas(cells, schema)
+        sample = sample.groupBy("doc_id").agg(*[F.max(t).alias(t) for t in TARGETS], *[F.min(f"has_{t}").alias(f"has_{t}") for t in TARGETS])
+        sample = sorted(sample.collect(), key=lambda r: r["doc_id"])
+    for t, known in chosen_features.items():
+        at = np.repeat(np.arange(len(sample)), [len(r[f"has_{t}"]) for r in sample])
+        columns = np.array([k for r in sample for k in r[f"has_{t}"]], dtype=np.int64)
+        w = logistic(at, columns, np.array([float(r[t]) for r in sample]), len(known))
+        models[t] = (float(w[-1]), {f: float(w[k]) for f, k in known.items()})
     return models
 
 
@@ -139,7 +174,7 @@ def classify(
     out = scored.join(sites, ["host_", "path_"])
     for t in TARGETS:
         out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"odds_{t}") + F.col(f"shift_{t}")))))
-    out = out.withColumn("kept", (F.col("p_toxic") < 0.5) & (F.col("p_low") < 0.5))
+    out = out.withColumn("kept", (F.col("p_toxic") < REJECT) & (F.col("p_low") < REJECT))
     return out.drop("host_", "path_", *[f"{k}_{t}" for k in ("odds", "shift") for t in TARGETS])
 
 
