@@ -13,7 +13,8 @@ classes are compared.
    their first tokens. Each joins the group of its best pivot. What links so
    is connected already and needs no more comparing.
 3. Matrix: a group keeps its members in blocks, each with the union of its tokens. A document that
-   shares a first token with a block that also holds another component looks its tokens up in the union; at least
+   shares a first token with a block that also holds another component, early enough in both orders that enough tokens
+   follow for a link, looks its tokens up in the union; at least
    ``threshold`` percent of them must be there for any member to link, and only then the block is
    opened and all overlaps counted at once.
 4. Links found in 2 and 3 give the components.
@@ -193,7 +194,7 @@ def near_components(
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cids, toks, sizes = [], [], []
+            cids, toks, sizes, rests = [], [], [], []
             for cid, n, first, rows in zip(pdf["cid"], pdf["n"], pdf["first"], pdf["shared"]):
                 need = first_needed(n, threshold)
                 known = {r["token"]: r["df"] for r in rows}
@@ -202,14 +203,16 @@ def near_components(
                 df = np.array([known.get(t, 1) for t in order.tolist()])
                 # first is in hash order; what lies outside the zone comes last, whatever its count
                 place = np.lexsort((np.arange(len(order)), np.where(outside, 0, df), outside))[:need]
-                keep = order[place][df[place] > 1]
+                at = np.flatnonzero(df[place] > 1)
+                keep = order[place][at]
                 cids.append(np.full(len(keep), cid, dtype=np.int64))
                 toks.append(keep)
                 sizes.append(np.full(len(keep), n, dtype=np.int32))
+                rests.append((n - at).astype(np.int32))
             if cids:
-                yield pd.DataFrame({"cid": np.concatenate(cids), "token": np.concatenate(toks), "n": np.concatenate(sizes)})
+                yield pd.DataFrame({"cid": np.concatenate(cids), "token": np.concatenate(toks), "n": np.concatenate(sizes), "rest": np.concatenate(rests)})
 
-    first = staged(classes.select("cid", "n", "first").join(shared, "cid").mapInPandas(choose, "cid long, token long, n int"), "first")
+    first = staged(classes.select("cid", "n", "first").join(shared, "cid").mapInPandas(choose, "cid long, token long, n int, rest int"), "first")
     discard(shared)
     classes = classes.drop("first")
     del shared
@@ -238,13 +241,15 @@ def near_components(
     placed = staged(placed, "placed")
     sizes = placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = staged(placed.join(sizes, "home").select("cid", "comp", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("grp")), "placed")
-    rows = staged(first.select("token", "cid", "n").join(placed, "cid"), "rows")
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("least"))
+    rows = staged(first.select("token", "cid", "n", "rest").join(placed, "cid"), "rows")
+    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("least"), F.max((100 + threshold) * F.col("rest") - threshold * F.col("n")).alias("slack"))
     several = staged(rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
     matrix = staged(matrix.join(several, "token", "left_semi"), "matrix")
-    asks = rows.join(several, "token", "left_semi").select("token", F.col("cid").alias("q"), "n", "comp")
+    asks = rows.join(several, "token", "left_semi").select("token", F.col("cid").alias("q"), "n", "rest", "comp")
     # of two components the one with the larger id asks
     fits = (F.col("least") < F.col("comp")) & (100 * F.col("high") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("low"))
+    # at a pair's first shared token, all it shares is among the rest of either set
+    fits = fits & ((100 + threshold) * F.col("rest") >= threshold * (F.col("n") + F.col("low"))) & (F.col("slack") >= threshold * F.col("n"))
     queries = staged(asks.join(matrix, "token").where(fits).select("q", "grp").distinct(), "queries")
     released(spark)
     members = placed.join(queries.select("grp").distinct(), "grp", "left_semi").select("cid", "grp", "comp")
