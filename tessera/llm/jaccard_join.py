@@ -16,7 +16,8 @@ classes are compared.
    shares a first token with a block that also holds another component, early enough in both orders that enough tokens
    follow for a link, looks its tokens up in the union; at least
    ``threshold`` percent of them must be there for any member to link, and only then the block is
-   opened and all overlaps counted at once.
+   opened and all overlaps counted at once. A block isn't asked again at a token before which document and all of
+   the block's members with that token share another of the last ``LOOK_BACK`` ones.
 4. Links found in 2 and 3 give the components.
 
 Every step loses no link that matters to the components. Pivots, blocks and queries are row streams: a popular token costs rows in
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import components, discard, released, staged
@@ -44,6 +45,8 @@ ZONE = 0.25
 BLOCK, QUERIES = 256, 1024
 #: Pivots that each class is compared with before the groups are known.
 PIVOTS = 2
+#: Earlier tokens by which a repeated question is known.
+LOOK_BACK = 4
 #: Surrogate ids of documents without one start here.
 NO_ID = 1 << 62
 
@@ -242,14 +245,23 @@ def near_components(
     sizes = placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = staged(placed.join(sizes, "home").select("cid", "comp", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("grp")), "placed")
     rows = staged(first.select("token", "cid", "n", "rest").join(placed, "cid"), "rows")
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("least"), F.max((100 + threshold) * F.col("rest") - threshold * F.col("n")).alias("slack"))
     several = staged(rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
-    matrix = staged(matrix.join(several, "token", "left_semi"), "matrix")
-    asks = rows.join(several, "token", "left_semi").select("token", F.col("cid").alias("q"), "n", "rest", "comp")
+    order = Window.partitionBy("cid").orderBy(F.desc("rest"))
+    before = [F.lag("token", k + 1).over(order).alias(f"b{k}") for k in range(LOOK_BACK)]
+    every_row = rows
+    rows = staged(rows.join(several, "token", "left_semi").select("*", *before), "rows")
+    discard(every_row)
+    # tokens that come shortly before this one in the order of every member of the block that has it
+    common = F.array(*[F.when((F.count(f"b{k}") == F.count("*")) & (F.min(f"b{k}") == F.max(f"b{k}")), F.min(f"b{k}")) for k in range(LOOK_BACK)]).alias("common")
+    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("least"), F.max((100 + threshold) * F.col("rest") - threshold * F.col("n")).alias("slack"), common)
+    matrix = staged(matrix, "matrix")
+    asks = rows.select("token", F.col("cid").alias("q"), "n", "rest", "comp", F.array(*[f"b{k}" for k in range(LOOK_BACK)]).alias("before"))
     # of two components the one with the larger id asks
     fits = (F.col("least") < F.col("comp")) & (100 * F.col("high") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("low"))
     # at a pair's first shared token, all it shares is among the rest of either set
     fits = fits & ((100 + threshold) * F.col("rest") >= threshold * (F.col("n") + F.col("low"))) & (F.col("slack") >= threshold * F.col("n"))
+    # whoever shares an earlier token with all of them asks there, where all bounds are wider
+    fits = fits & ~F.coalesce(F.arrays_overlap("before", "common"), F.lit(False))
     queries = staged(asks.join(matrix, "token").where(fits).select("q", "grp").distinct(), "queries")
     released(spark)
     members = placed.join(queries.select("grp").distinct(), "grp", "left_semi").select("cid", "grp", "comp")
