@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,84 +24,128 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SPAN = 256
+#: Bits of a rank within its span, of a token in a pair.
+SPAN, WIDTH = 8, 24
+MASK = (1 << SPAN) - 1
+#: Single bits; as many spans of ranks at most.
+BIT = [1 << k for k in range(1 << 12)]
 #: A space before other white space or the end may belong to a longer match.
 UNSAFE = re.compile(r" (?:\s|\Z)")
-CACHE = 120_000
+CACHE = 250_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank's leftmost position."""
-
-    __slots__ = ("buckets", "low", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        word = rank // SPAN
-        self.low[word] = self.low.get(word, 0) | 1 << rank % SPAN
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.low[word]
-        rank = word * SPAN + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            self.low[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, at
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of every pair of tokens that joins to a token, by ``left << WIDTH | right``."""
+    out = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left = ranks.get(token[:cut])
+            if left is not None and (right := ranks.get(token[cut:])) is not None:
+                out[left << WIDTH | right] = rank
+    return out
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: dict[int, int], single: list[int]) -> list[int]:
+    """Token ids of one pre-token.
+
+    The queue's parts are plain locals, as a call for each push and pop would cost more than the step itself:
+    ``buckets`` by rank, ``low`` with the bits of each span of ranks, ``top`` with a bit for each span in use.
+    A bucket is drained in order of position. No merge can push into the bucket being drained, since
+    what it forms is longer; where it pushes a lower rank, the rest of the bucket waits again.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, rank_of = len(piece), pairs.get
+    ids = [single[b] for b in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting = [-1] * n  # the rank of the pair that starts here now
-    queue = RankQueue()
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            waiting[i] = rank
-            queue.push(rank, i)
-    while (entry := queue.pop()) is not None:
-        rank, i = entry
-        if waiting[i] != rank:
-            continue
-        gone = after[i]
-        after[i] = end = after[gone]
-        waiting[gone] = -1
-        if end < n:
-            before[end] = i
-        for at in (i, before[i]):
-            if at < 0:
+    waiting = [rank_of(a << WIDTH | b, -1) for a, b in zip(ids, ids[1:])]  # the rank of the pair that starts here now
+    waiting.append(-1)
+    buckets: dict[int, int | list[int]] = {}  # a position, or several
+    low: dict[int, int] = {}
+    top = 0
+    for i, rank in enumerate(waiting):
+        if rank >= 0:
+            held = buckets.get(rank)
+            if held is None:
+                buckets[rank] = i
+                word = rank >> SPAN
+                low[word] = (low[word] if word in low else 0) | BIT[rank & MASK]
+                top |= BIT[word]
+            elif held.__class__ is int:
+                buckets[rank] = [held, i]
+            else:
+                held.append(i)
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rest = bits & (bits - 1)
+        rank = word << SPAN | (bits ^ rest).bit_length() - 1
+        if rest:
+            low[word] = rest
+        else:
+            del low[word]
+            top &= top - 1
+        bucket = buckets.pop(rank)
+        if bucket.__class__ is int:
+            bucket = (bucket,)
+        else:
+            bucket.sort()
+        for k, i in enumerate(bucket):
+            if waiting[i] != rank:
                 continue
-            middle = after[at]
-            pair = ranks.get(piece[at : after[middle]]) if middle < n else None
-            waiting[at] = -1 if pair is None else pair
-            if pair is not None:
-                queue.push(pair, at)
-    ids, i = [], 0
+            gone = after[i]
+            after[i] = end = after[gone]
+            ids[i] = rank
+            waiting[gone] = waiting[i] = -1
+            lowest = rank
+            if end < n:
+                before[end] = i
+                new = rank_of(rank << WIDTH | ids[end])
+                if new is not None:
+                    waiting[i] = new
+                    if new < lowest:
+                        lowest = new
+                    held = buckets.get(new)
+                    if held is None:
+                        buckets[new] = i
+                        word = new >> SPAN
+                        low[word] = (low[word] if word in low else 0) | BIT[new & MASK]
+                        top |= BIT[word]
+                    elif held.__class__ is int:
+                        buckets[new] = [held, i]
+                    else:
+                        held.append(i)
+            at = before[i]
+            if at >= 0:
+                new = rank_of(ids[at] << WIDTH | rank)
+                if new is None:
+                    waiting[at] = -1
+                else:
+                    waiting[at] = new
+                    if new < lowest:
+                        lowest = new
+                    held = buckets.get(new)
+                    if held is None:
+                        buckets[new] = at
+                        word = new >> SPAN
+                        low[word] = (low[word] if word in low else 0) | BIT[new & MASK]
+                        top |= BIT[word]
+                    elif held.__class__ is int:
+                        buckets[new] = [held, at]
+                    else:
+                        held.append(at)
+            if lowest < rank and k + 1 < len(bucket):
+                buckets[rank] = list(bucket[k + 1 :])
+                low[rank >> SPAN] = low.get(rank >> SPAN, 0) | BIT[rank & MASK]
+                top |= BIT[rank >> SPAN]
+                break
+    out, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
+        out.append(ids[i])
         i = after[i]
-    return ids
+    return out
 
 
 class Codec:
@@ -114,13 +157,18 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {v: k for k, v in self.ranks.items()}
+        self.pairs = pair_ranks(self.ranks)
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.find = regex.compile(pattern).findall
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text, its pre-tokens merged separately."""
-        return [i for token in self.find(text) for i in merge(token.encode(), self.ranks)]
+        found = self.find(text)
+        if len(found) == 1:
+            return merge(text.encode(), self.ranks, self.pairs, self.single)
+        return [i for token in found for i in self.cached(token)]
 
     def cached(self, text: str) -> list[int]:
         ids = self.young.get(text)

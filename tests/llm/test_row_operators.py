@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -133,6 +134,20 @@ def test_bpe_equals_tiktoken(edge, documents):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_bpe_merge_on_any_rank_table():
+    """Against the definition, also where a longer token ranks below its parts."""
+    r = random.Random(1)
+    for _ in range(300):
+        more = list({bytes(r.choices(b"abc", k=r.randint(2, 6))) for _ in range(r.randint(1, 40))})
+        r.shuffle(more)
+        ranks = {t: i for i, t in enumerate([bytes([b]) for b in range(256)] + more)}
+        piece = bytes(r.choices(b"abc", k=60))
+        parts = [piece[i : i + 1] for i in range(60)]
+        while best := min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None):
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        assert bpe.merge(piece, ranks, bpe.pair_ranks(ranks), list(range(256))) == [ranks[x] for x in parts]
+
+
 def test_sharding(edge, spark):
     docs = edge.withColumn("Slot", F.lit(1)).unionByName(edge.limit(0).withColumn("Slot", F.lit(1)))
     rows = sharding.shard(docs, n_shards=5, bucket_bytes=4000).collect()
