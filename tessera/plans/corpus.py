@@ -54,7 +54,7 @@ def uuid5_ids(spark, sf):
 def ngram_tokens(spark, sf):
     w = text.words(F.col("text"))
     n = lambda k: F.size(text.ngrams(F.col("w"), k)).cast("long")
-    rows = _docs(spark, sf).where("n_chars < 600").select("doc_id", w.alias("w"))
+    rows = _docs(spark, sf).select("doc_id", w.alias("w"))
     return rows.select("doc_id", n(1).alias("n1"), n(2).alias("n2"), n(3).alias("n3"), F.coalesce(F.md5(F.get(text.ngrams(F.col("w"), 2), F.lit(0))), F.lit("")).alias("first_pair"))
 
 
