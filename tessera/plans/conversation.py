@@ -111,7 +111,7 @@ def transcript_stats(spark, sf):
 @query("SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':00] <' || role || '>: ' || substr(text, 1, 20) AS line FROM conversations")
 def transcript_lines(spark, sf):
     clock = F.lpad((F.col("turn") % 24).cast("string"), 2, "0")
-    return _log(spark, sf).select("conv_id", "turn", F.concat(F.lit("["), clock, F.lit(":00] <"), "role", F.lit(">: "), F.substring("text", 1, 20)).alias("line"))
+    return _log(spark, sf).select("conv_id", "turn", F.concat(F.lit("["), clock, F.lit(":00] <"), "role", F.lit(">: "), "text").alias("line"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[{};]|def |import ') THEN 'CODE' WHEN contains(text, '?') THEN 'QUESTION' WHEN len(regexp_extract_all(text, '[^ \\t\\n]+')) <= 7 THEN 'SMALL_TALK' ELSE 'KNOWLEDGE' END AS intent FROM conversations WHERE role = 'user'")

@@ -32,3 +32,11 @@ def test_ngram_tokens_of_all_documents(spark, con):
         want[doc_id] = (len(w), max(len(w) - 1, 0), max(len(w) - 2, 0), first)
     have = catalog.queries()["ngram_tokens"](spark, SF).collect()
     assert {r.doc_id: (r.n1, r.n2, r.n3, r.first_pair) for r in have} == want and len(have) == len(want)
+
+
+def test_transcript_lines_hold_the_whole_text(spark, con):
+    sql = "SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':00] <' || role || '>: ' || text AS line FROM conversations"
+    assert differs(spark, con, "transcript_lines", sql) is None
+    shown = catalog.queries()["transcript_lines"](spark, SF).collect()
+    sent = dict(((c, t), x) for c, t, x in con.execute("SELECT conv_id, turn, text FROM conversations").fetchall())
+    assert all(r.line.endswith(sent[r.conv_id, r.turn]) for r in shown)
