@@ -40,3 +40,9 @@ def test_transcript_lines_hold_the_whole_text(spark, con):
     shown = catalog.queries()["transcript_lines"](spark, SF).collect()
     sent = dict(((c, t), x) for c, t, x in con.execute("SELECT conv_id, turn, text FROM conversations").fetchall())
     assert all(r.line.endswith(sent[r.conv_id, r.turn]) for r in shown)
+
+
+def test_relationships_of_every_entity(spark, con):
+    sql = """WITH e AS (SELECT l_partkey AS source, l_suppkey AS target, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT source AS entity, * FROM e UNION ALL SELECT target, * FROM e WHERE source <> target"""
+    assert differs(spark, con, "relationships_of", sql) is None
