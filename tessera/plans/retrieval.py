@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -11,6 +13,9 @@ from ..sources.tables import table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: Vectors in a block of the search, and partitions of the query blocks (each meets every partition of the vectors).
+BLOCK, QUERY_PARTS = 256, 4
+
 
 def query(sql: str | None = None):
     def add(fn):
@@ -29,6 +34,67 @@ def _probe(spark, sf, where: str = "vec_id = 0"):
     return v.crossJoin(F.broadcast(q)).withColumn("sim", F.round(scores.cosine(F.col("embedding"), F.col("q")), 6))
 
 
+def _blocks(rows):
+    """Vectors packed into blocks of at most BLOCK of one length, their norms divided out; a null vector has the length -1."""
+
+    def pack(batches):
+        for pdf in batches:
+            dims = np.array([-1 if x is None else len(x) for x in pdf["embedding"]], dtype=np.int64)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                for part in (at[k : k + BLOCK] for k in range(0, len(at), BLOCK)):
+                    x = np.array([pdf["embedding"].iat[i] for i in part], dtype=np.float64) if dim > 0 else np.zeros((len(part), 0))
+                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    labels = [None if v is None or v != v else int(v) for v in pdf["label"].iloc[part]]
+                    yield pd.DataFrame({"dim": [int(dim)], "ids": [pdf["vec_id"].iloc[part].tolist()], "labels": [labels], "data": [x.tobytes()]})
+
+    return rows.select("vec_id", "label", "embedding").mapInPandas(pack, "dim int, ids array<long>, labels array<int>, data binary")
+
+
+def _searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: bool = False, least: float | None = None, itself: bool = True):
+    """``q_id, label, vec_id, sim`` of the query set, every vector whose id is divisible by 20, against all vectors.
+
+    Both sides meet block by block, so no task holds more than a block of each, and neither side is broadcast whole.
+    With ``k`` a block pair gives only the best k of each query, or of each query and label; the first k of all
+    are among them. ``scoped`` compares within a label, ``least`` is a threshold, and ``itself`` keeps a query's own row.
+    """
+    v = table(spark, sf, "embeddings")
+    q = _blocks(v.where("vec_id % 20 = 0")).toDF("q_dim", "q_ids", "q_labels", "q_data").coalesce(QUERY_PARTS)
+
+    def search(batches):
+        for pdf in batches:
+            for dim, ids, labels, data, q_dim, q_ids, q_labels, q_data in pdf.itertuples(index=False):
+                ids, q_ids = np.asarray(ids, dtype=np.int64), np.asarray(q_ids, dtype=np.int64)
+                labels, q_labels = (np.array([np.nan if x is None else x for x in a], dtype=np.float64) for a in (labels, q_labels))
+                order = np.argsort(ids, kind="stable")
+                ids, labels = ids[order], labels[order]
+                sims = np.zeros((len(q_ids), len(ids)))
+                if dim == q_dim and dim > 0:
+                    sims = np.frombuffer(q_data).reshape(len(q_ids), dim) @ np.frombuffer(data).reshape(len(ids), dim)[order].T
+                sims = np.round(sims, 6) + 0.0
+                live = np.ones(sims.shape, dtype=bool)
+                if scoped:
+                    live &= q_labels[:, None] == labels
+                if least is not None:
+                    live &= sims >= least
+                if not itself:
+                    live &= q_ids[:, None] != ids
+                groups = [np.flatnonzero(same) for same in ([(labels == x) | (np.isnan(labels) & np.isnan(x)) for x in np.unique(labels)] if by_label else [np.ones(len(ids), dtype=bool)])]
+                for at in groups:
+                    r, c = np.nonzero(live[:, at])
+                    if k is not None:
+                        best = np.argsort(np.where(live[:, at], -sims[:, at], np.inf), axis=1, kind="stable")[:, :k]
+                        r, c = np.repeat(np.arange(len(q_ids)), best.shape[1]), best.ravel()
+                        kept = live[:, at][r, c]
+                        r, c = r[kept], c[kept]
+                    c = at[c]
+                    if len(r):
+                        yield pd.DataFrame({"q_id": q_ids[r], "label": pd.array(labels[c], dtype="Int32"), "vec_id": ids[c], "sim": sims[r, c]})
+
+    return _blocks(v).crossJoin(q).mapInPandas(search, "q_id long, label int, vec_id long, sim double")
+
+
 SIM = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
 
 
@@ -63,11 +129,9 @@ def anchor_argmax(spark, sf):
 @query(f"""SELECT * FROM (SELECT q.vec_id AS fact_id, v.vec_id AS memory_id, {SIM} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, v.vec_id) AS rank
 FROM embeddings q JOIN embeddings v ON q.label = v.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 25 = 0 AND {SIM} >= 0.1) WHERE rank <= 3""")
 def fact_memory_join(spark, sf):
-    """New facts against the memories of their scope: an equi-join on scope, then threshold and top 3."""
-    v = table(spark, sf, "embeddings")
-    q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("fact_id"), "label", F.col("embedding").alias("q"))
-    sims = v.join(q, "label").where("vec_id <> fact_id").withColumn("sim", F.round(scores.cosine(F.col("embedding"), F.col("q")), 6)).where("sim >= 0.1")
-    return core.top_k(sims.select("fact_id", F.col("vec_id").alias("memory_id"), "sim"), ["fact_id"], [F.desc("sim"), "memory_id"], 3)
+    """New facts against the memories of their scope: threshold and top 3; a fact isn't its own memory."""
+    near = _searched(spark, sf, 3, scoped=True, least=0.1, itself=False)
+    return core.top_k(near.select(F.col("q_id").alias("fact_id"), F.col("vec_id").alias("memory_id"), "sim"), ["fact_id"], [F.desc("sim"), "memory_id"], 3)
 
 
 @query("SELECT label AS collection, count(*) AS points, min(len(embedding))::BIGINT AS dim_low, max(len(embedding))::BIGINT AS dim_high FROM embeddings GROUP BY label")

@@ -46,3 +46,12 @@ def test_relationships_of_every_entity(spark, con):
     sql = """WITH e AS (SELECT l_partkey AS source, l_suppkey AS target, count(*) AS n FROM lineitem GROUP BY ALL)
     SELECT source AS entity, * FROM e UNION ALL SELECT target, * FROM e WHERE source <> target"""
     assert differs(spark, con, "relationships_of", sql) is None
+
+
+SIM = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+
+
+def test_fact_memory_join_of_every_twentieth_vector(spark, con):
+    sql = f"""SELECT * FROM (SELECT q.vec_id AS fact_id, v.vec_id AS memory_id, {SIM} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, v.vec_id) AS rank
+    FROM embeddings q JOIN embeddings v ON q.label = v.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND {SIM} >= 0.1) WHERE rank <= 3"""
+    assert differs(spark, con, "fact_memory_join", sql) is None
