@@ -27,13 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _probe(spark, sf, where: str = "vec_id = 0"):
-    """Similarities of all vectors to a fixed query set (single rows by id, so a broadcast is bounded)."""
-    v = table(spark, sf, "embeddings")
-    q = v.where(where).select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
-    return v.crossJoin(F.broadcast(q)).withColumn("sim", F.round(scores.cosine(F.col("embedding"), F.col("q")), 6))
-
-
 def _blocks(rows):
     """Vectors packed into blocks of at most BLOCK of one length, their norms divided out; a null vector has the length -1."""
 
@@ -100,17 +93,18 @@ SIM = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]
 
 @query(f"SELECT v.vec_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY sim DESC, v.vec_id LIMIT 15")
 def knn_topk(spark, sf):
-    return _probe(spark, sf).select("vec_id", "sim").orderBy(F.desc("sim"), "vec_id").limit(15)
+    near = _searched(spark, sf, 15).select("q_id", "vec_id", "sim")
+    return core.top_k(near, ["q_id"], [F.desc("sim"), "vec_id"], 15)
 
 
 @query(f"SELECT * FROM (SELECT v.label, v.vec_id, {SIM} AS sim, row_number() OVER (PARTITION BY v.label ORDER BY {SIM} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id = 0) WHERE rank <= 5")
 def knn_per_collection(spark, sf):
-    return core.top_k(_probe(spark, sf).select("label", "vec_id", "sim"), ["label"], [F.desc("sim"), "vec_id"], 5)
+    return core.top_k(_searched(spark, sf, 5, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 5)
 
 
 @query(f"SELECT v.vec_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id = 0 AND v.label = q.label AND {SIM} >= 0.05")
 def knn_threshold_scoped(spark, sf):
-    return _probe(spark, sf).where("label = q_label and sim >= 0.05").select("vec_id", "sim")
+    return _searched(spark, sf, scoped=True, least=0.05).select("q_id", "vec_id", "sim")
 
 
 @query(f"""WITH a AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), q AS (SELECT a.label AS anchor, e.embedding FROM a JOIN embeddings e USING (vec_id)),
@@ -166,40 +160,41 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hybrid_score DES
 
 
 def _hybrid(spark, sf):
-    near = core.top_k(_probe(spark, sf).select("label", "vec_id", "sim"), ["label"], [F.desc("sim"), "vec_id"], 15, "k")
+    """Each query's candidates ranked within their label; a document's keywords are scored once for all queries."""
+    near = core.top_k(_searched(spark, sf, 15, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 15, "k")
     docs = table(spark, sf, "documents")
-    rows = docs.join(F.broadcast(near.withColumnRenamed("vec_id", "doc_id")), "doc_id")
-    hybrid = scores.lore_score(F.col("sim"), _keywords(rows), F.lit(0.0), (F.col("lang") == "en").cast("int"))
-    return core.ranked(rows.withColumn("hybrid_score", F.round(hybrid, 6)), ["label"], [F.desc("hybrid_score"), "doc_id"])
+    docs = docs.select("doc_id", F.md5("text").alias("text_key"), _keywords(docs).alias("kw"), (F.col("lang") == "en").cast("int").alias("en"))
+    rows = docs.join(near.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    hybrid = scores.lore_score(F.col("sim"), F.col("kw"), F.lit(0.0), F.col("en"))
+    return core.ranked(rows.withColumn("hybrid_score", F.round(hybrid, 6)), ["q_id", "label"], [F.desc("hybrid_score"), "doc_id"])
 
 
 @query(f"WITH {_HYBRID} SELECT doc_id, label, rank, hybrid_score FROM rk WHERE rank <= 5")
 def hybrid_rerank(spark, sf):
-    return _hybrid(spark, sf).where("rank <= 5").select("doc_id", "label", "rank", "hybrid_score")
+    return _hybrid(spark, sf).where("rank <= 5").select("q_id", "doc_id", "label", "rank", "hybrid_score")
 
 
 _FUSED = f"{_HYBRID}, fus AS (SELECT md5(text) AS text_key, min(r.doc_id) AS doc_id, round(sum(10.0 / (60 + rank) + hybrid_score), 6) AS rrf_score FROM rk r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5 GROUP BY md5(text))"
 
 
 def _fused(spark, sf):
-    rows = _hybrid(spark, sf).where("rank <= 5").withColumn("text_key", F.md5("text"))
-    return rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.round(F.sum(scores.rrf_term(F.col("rank"), F.col("hybrid_score"))), 6).alias("rrf_score"))
+    rows = _hybrid(spark, sf).where("rank <= 5")
+    return rows.groupBy("q_id", "text_key").agg(F.min("doc_id").alias("doc_id"), F.round(F.sum(scores.rrf_term(F.col("rank"), F.col("hybrid_score"))), 6).alias("rrf_score"))
 
 
 @query(f"WITH {_FUSED} SELECT doc_id, rrf_score FROM fus ORDER BY rrf_score DESC, doc_id LIMIT 5")
 def rrf_fusion(spark, sf):
-    return _fused(spark, sf).select("doc_id", "rrf_score").orderBy(F.desc("rrf_score"), "doc_id").limit(5)
+    return core.top_k(_fused(spark, sf).select("q_id", "doc_id", "rrf_score"), ["q_id"], [F.desc("rrf_score"), "doc_id"], 5)
 
 
 @query(f"""WITH {_FUSED}, h AS (SELECT fus.doc_id, rrf_score, length(text) // 2 AS tokens, row_number() OVER (ORDER BY rrf_score DESC, fus.doc_id) AS rank FROM fus JOIN documents d ON d.doc_id = fus.doc_id),
 c AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS cum FROM h WHERE rank <= 20) SELECT rank, doc_id, rrf_score, tokens::BIGINT AS tokens, cum::BIGINT AS cum_tokens FROM c WHERE cum <= 3500 OR rank = 1""")
 def retrieve_pack(spark, sf):
     """Search, hybrid rank, fusion, hydration and budget packing in one plan."""
-    best = _fused(spark, sf).orderBy(F.desc("rrf_score"), "doc_id").limit(20)
+    best = core.top_k(_fused(spark, sf).select("q_id", "doc_id", "rrf_score"), ["q_id"], [F.desc("rrf_score"), "doc_id"], 20)
     docs = table(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
-    rows = core.ranked(docs.join(F.broadcast(best), "doc_id"), [], [F.desc("rrf_score"), "doc_id"])
-    packed = core.prefix_pack(rows, [], ["rank"], "tokens", 3500, first_exempt=True)
-    return packed.select("rank", "doc_id", "rrf_score", "tokens", F.col("cum").alias("cum_tokens"))
+    packed = core.prefix_pack(docs.join(best, "doc_id"), ["q_id"], ["rank"], "tokens", 3500, first_exempt=True)
+    return packed.select("q_id", "rank", "doc_id", "rrf_score", "tokens", F.col("cum").alias("cum_tokens"))
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
