@@ -17,6 +17,8 @@ from tessera.llm.quality_rules import quality_rules
 from tessera.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of the shortest passage that may not repeat.
+PASSAGE = 51
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +43,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 400 bytes that occur twice; a text of which nothing is left goes.
+    """Texts without strings of 400 bytes and passages of over 50 words that occur twice; a text of which nothing is left goes.
 
     What a removed run leaves of a character cut in two becomes U+FFFD; ``n_chars`` counts the new text.
     """
-    cut = remove_repeats(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"))
+    cut = remove_repeats(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), words=PASSAGE)
     cut = cut.where((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
     rest = F.coalesce("kept", "data")
     text = F.when(F.is_valid_utf8(rest.cast("string")), rest.cast("string")).otherwise(F.make_valid_utf8(rest.cast("string")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ._common import WORD_SEPARATORS
+
 _RNG = np.random.default_rng(20240607)
 _TABLES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -50,3 +52,34 @@ class Hashes:
     def grams(self, size: int) -> np.ndarray:
         total = self.total(0)
         return mixed((total[size:] - total[:-size]) * powers(0, True, len(total) - size))
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        """The bytes that the substring takes."""
+        return start, end
+
+
+_SEPARATES = np.zeros(256, dtype=bool)
+_SEPARATES[list(WORD_SEPARATORS.encode())] = True
+
+
+class WordHashes(Hashes):
+    """The same over runs of words; what separates them doesn't count."""
+
+    def __init__(self, data: bytes) -> None:
+        text = Hashes(data)
+        turns = np.flatnonzero(np.diff(np.concatenate([[True], _SEPARATES[text.data], [True]])))
+        self.first, self.end = turns[::2], turns[1::2]
+        self.codes = [text.of(self.first, self.end, which) for which in (0, 1)]
+        self.data = self.codes[0]
+        self.sums = {}
+
+    def total(self, which: int) -> np.ndarray:
+        if which not in self.sums:
+            n = len(self.data)
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(self.codes[which] * powers(which, False, n), out=total[1:])
+            self.sums[which] = total
+        return self.sums[which]
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        return int(self.first[start]), int(self.end[end - 1])

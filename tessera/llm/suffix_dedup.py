@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import discard, released, staged
-from .hashing import Hashes, mixed
+from .hashing import Hashes, WordHashes, mixed
 
 LENGTH, GRAM, BLOCK = 400, 200, 16
+WORD_GRAM = 25
 OUTPUT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
 NAMED = "did long, th long, a int, lo int, hi int, inner_name long, name1 long, name2 long"
 
@@ -94,9 +95,9 @@ def _blocks(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int) -> tuple[
     return a[which], j, np.maximum(lo[which], a[which] - j * block - block + 1), np.minimum(hi[which], a[which] - j * block)
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, block: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """The staged documents (``did, th, doc_id, n_bytes, sha, data, hs, extra``; hs where a sample repeats, data there or if
-    columns are carried) and the repeated window starts as ``did, th, lo, hi``."""
+def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, block: int, carry: tuple[str, ...], units: type[Hashes] = Hashes, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The staged documents (``did, th, doc_id, n_bytes, sha, data, hs, extra``; hs where a sample repeats, data there, or
+    everywhere if columns are carried or ``whole`` is set) and the repeated window starts as ``did, th, lo, hi``, counted in ``units``, which a text has no more of than bytes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     extra = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("struct<none:int>")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("data"), extra.alias("extra")).withColumns({"did": F.coalesce("doc_id", F.lit(-1)), "th": F.xxhash64("data")})
@@ -106,8 +107,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
         for pdf in batches:
             parts = []
             for rk, data in zip(pdf["rk"], pdf["data"]):
-                if len(data) >= length:
-                    h = samples(Hashes(data), length, gram)[1]
+                hashes = units(data)
+                if len(hashes.data) >= length:
+                    h = samples(hashes, length, gram)[1]
                     parts.append(_ints(h=h, rk=np.full(len(h), rk, dtype=np.int64)))
             yield from _joined(parts)
 
@@ -118,7 +120,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     split = rows.join(wanted, "rk", "left")
     seen = F.col("hs").isNotNull()
     kept = staged(
-        split.select("doc_id", "did", "th", F.length("data").cast("long").alias("n_bytes"), F.when(~seen, F.sha2("data", 256)).alias("sha"), (F.col("data") if carry else F.when(seen, F.col("data"))).alias("data"), "hs", "extra"), "texts"
+        split.select("doc_id", "did", "th", F.length("data").cast("long").alias("n_bytes"), F.when(~seen, F.sha2("data", 256)).alias("sha"), (F.col("data") if carry or whole else F.when(seen, F.col("data"))).alias("data"), "hs", "extra"), "texts"
     )
     discard(sampled)
     del sampled, wanted, split
@@ -129,9 +131,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
         for pdf in batches:
             parts = []
             for did, th, data, hs in zip(pdf["did"], pdf["th"], pdf["data"], pdf["hs"]):
-                if len(data) < length:
+                hashes = units(data)
+                if len(hashes.data) < length:
                     continue
-                hashes = Hashes(data)
                 a, h, lo, hi = samples(hashes, length, gram)
                 live = np.isin(h, np.asarray(hs, dtype=np.int64).view(np.uint64))
                 parts.append(_names(hashes, did, th, a[live], lo[live], hi[live], h[live], length))
@@ -142,7 +144,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
             for pdf in batches:
                 parts = []
                 for did, th, data, runs in zip(pdf["did"], pdf["th"], pdf["data"], pdf["runs"]):
-                    hashes = Hashes(data)
+                    hashes = units(data)
                     a, lo, hi = (np.array([r[k] for r in runs], dtype=np.int64) for k in ("a", "lo", "hi"))
                     a, j, lo, hi = _blocks(a, lo, hi, step)
                     # what every window of the whole block holds
@@ -172,13 +174,18 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     return kept, out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, carry: tuple[str, ...] = (), words: int = 0) -> DataFrame:
     """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept``, and if columns are to be carried also these and ``data``, the whole text.
 
     ``spans`` are the maximal removed runs as (start, end) bytes; ``kept`` holds the remaining bytes
-    where something was removed and is null where the text is unchanged.
+    where something was removed and is null where the text is unchanged. With ``words``, every run of so many
+    words that starts anywhere else too, in the same text or another, goes as well, with what separates the words.
     """
-    kept, found = repeats(docs, id_col, text_col, length, gram, block, carry)
+    kept, found = repeats(docs, id_col, text_col, length, gram, block, carry, whole=bool(words))
+    wordy = None
+    if words:
+        wordy = repeats(docs, id_col, text_col, words, min(WORD_GRAM, words // 2), block, (), WordHashes)[1]
+        wordy = wordy.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("word_runs"))
     runs = found.groupBy("did", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary"
 
@@ -186,12 +193,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for pdf in batches:
             rows = []
             extras = pdf["extra"] if carry else [None] * len(pdf)
-            for doc_id, data, runs, extra in zip(pdf["doc_id"], pdf["data"], pdf["runs"], extras):
+            word_runs = pdf["word_runs"] if words else [None] * len(pdf)
+            for doc_id, data, runs, wordy, extra in zip(pdf["doc_id"], pdf["data"], pdf["runs"], word_runs, extras):
                 data = bytes(data)
                 edge = np.zeros(len(data) + 1, dtype=np.int64)
                 for r in runs if runs is not None else ():
                     edge[r["lo"]] += 1
                     edge[r["hi"] + length] -= 1
+                hashes = WordHashes(data) if wordy is not None else None
+                for r in wordy if wordy is not None else ():
+                    start, end = hashes.place(r["lo"], r["hi"] + words)
+                    edge[start] += 1
+                    edge[end] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = [{"start": int(s), "end": int(e)} for s, e in zip(turns[::2], turns[1::2])]
@@ -199,13 +212,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows.append((doc_id, len(data), int(gone.sum()), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if spans else None, *([data, extra] if carry else [])))
             yield pd.DataFrame(rows, columns=[*OUTPUT, *(["data", "extra"] if carry else [])]).astype({"doc_id": "Int64"})
 
-    touched = kept.where("hs is not null").select("did", "th", "doc_id", "data", "extra").join(runs, ["did", "th"], "left")
+    if words:
+        kept = staged(kept.join(wordy, ["did", "th"], "left"), "word_runs")
+    seen = "hs is not null" + " or word_runs is not null" * bool(words)
+    more = ["word_runs"] * bool(words)
+    touched = kept.where(seen).select("did", "th", "doc_id", "data", "extra", *more).join(runs, ["did", "th"], "left")
     kind = kept.schema["extra"].dataType.simpleString()
     if carry:
         schema += f", data binary, extra {kind}"
-    touched = touched.select("doc_id", "data", "runs", *["extra"] * bool(carry)).mapInPandas(cut, schema)
+    touched = touched.select("doc_id", "data", "runs", *more, *["extra"] * bool(carry)).mapInPandas(cut, schema)
     none = {"n_removed": "0L", "n_spans": "0L", "spans": "cast(array() as array<struct<start:int,end:int>>)", "kept": "cast(null as binary)"}
-    untouched = kept.where("hs is null").withColumn("kept_sha256", F.col("sha")).withColumns({k: F.expr(v) for k, v in none.items()})
+    untouched = kept.where(f"not ({seen})").withColumn("kept_sha256", F.col("sha")).withColumns({k: F.expr(v) for k, v in none.items()})
     out = touched.unionByName(untouched.select(touched.columns))
     return out.select("*", "extra.*").drop("extra") if carry else out
 

@@ -1,9 +1,15 @@
 """The pipeline on small documents, each stage judged on its own input."""
 
+import random
+import re
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from .conftest import SF
+from tessera.llm.suffix_dedup import remove_repeats
+
+from .conftest import SCHEMA, SF
 from .test_jaccard import shingles
 from .test_suffix_and_packing import brute
 
@@ -37,3 +43,35 @@ def test_stages_take_nulls_and_empty_tables(spark, edge, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
             docs.count()
+
+
+def test_repeated_passage_of_51_words_goes(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 6))) for _ in range(n))
+    passage, shorter, alone = say(51), say(50), [say(80) for _ in range(6)]
+    assert len(passage.encode()) < 400
+    rows = [(k, f"{alone[k]} {part} {say(30)}") for k, part in enumerate([passage, passage.replace(" ", "\n"), shorter, shorter])]
+    rows += [(4, f"{alone[4]} {passage}"), (5, alone[5]), (6, passage), (None, None), (7, "x" * 500), (8, "x" * 500), (9, " \n")]
+    docs = spark.createDataFrame([(*x, "en", "a", 0) for x in rows], SCHEMA).repartition(3)
+    kept = {row.doc_id: row.text for row in corpus_pipeline.repeats_stage(spark, docs, SF).collect()}
+    text = dict(rows)
+    assert kept == {k: (text[k] or "").replace(passage, "").replace(passage.replace(" ", "\n"), "") for k in (0, 1, 2, 3, 4, 5, None, 9)}
+
+
+def test_repeated_passages_equal_brute_force(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.where("n_chars < 3000").collect()]
+    spans, counts = {}, Counter()
+    for i, text in rows:
+        spans[i] = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\f\r]+", text.encode())]
+    words = {i: [text.encode()[a:b] for a, b in spans[i]] for i, text in rows}
+    for w in words.values():
+        counts.update(tuple(w[s : s + 51]) for s in range(len(w) - 50))
+    want = {i: n for i, _, n, _, _ in brute(rows, 10**6)}
+    for i, w in words.items():
+        gone = set()
+        for s in range(len(w) - 50):
+            if counts[tuple(w[s : s + 51])] > 1:
+                gone.update(range(spans[i][s][0], spans[i][s + 50][1]))
+        want[i] = len(gone)
+    have = remove_repeats(documents.where("n_chars < 3000"), length=10**6, gram=5 * 10**5, words=51).collect()
+    assert {r.doc_id: r.n_removed for r in have} == want and any(want.values())
