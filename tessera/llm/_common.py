@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words in every word contract: space and U+0009..U+000D.
@@ -16,10 +17,16 @@ WORD_SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+#: Lists that take the folder of every table staged while they are open.
+_OPEN: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set."""
+    """The folder that driver and executors share. One is made only on a single machine where none is set; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -34,21 +41,40 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    for names in _OPEN:
+        names.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a staged table once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+@contextmanager
+def listing(folders: list[str]) -> Iterator[None]:
+    """Add the folder of every table staged in this block to ``folders``."""
+    _OPEN.append(folders)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+
+
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete folders of staged tables that nothing reads any more; missing ones don't matter."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables at their last read."""
+    for df in tables:
+        delete(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
 def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    """Let Spark's context cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    It learns of them from the driver's garbage collector, which a driver with a large heap may not run for half an hour.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -59,10 +85,19 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def flagged(id_col: str) -> list[Column]:
+    """An id as ``id_``, 0 where it is null, and ``no_id``: pandas would turn a column of longs with a null into doubles."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id_"), F.isnull(id_col).alias("no_id")]
+
+
+def unflagged(name: str) -> Column:
+    return F.when(~F.col("no_id"), F.col("id_")).alias(name)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(id, component_id)``.
 
-    Alternates large-star and small-star steps until the edge set is stable; every
+    ``a`` and ``b`` are ids of any orderable type. Alternates large-star and small-star steps until the edge set is stable; every
     node of an edge gets the smallest id it can reach. Each round groups on node ids with map-side
     minima and writes its edges to the shared folder, so nothing is gathered anywhere
     and a lost executor costs one round. Empty input gives an empty table.
