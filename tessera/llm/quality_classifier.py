@@ -6,8 +6,9 @@ sample for the fit is bounded by about ``max_labelled`` documents, chosen by a h
 of it, only which of at most ``MAX_FEATURES`` features each document has. Every
 document is then scored; grouped aggregation of the scores gives each host and each path
 below it a beta posterior, a sparse path shrinking to its host and a sparse
-host to the global rate. The document's log odds are shifted by its path's log odds against
-the global ones, and it is kept if both probabilities stay below ``REJECT``.
+host to the global rate. The strength of either prior, in documents, is estimated from the scores by moments: the variance within
+groups over the variance between their true means. A document's own score is left out of its site's posterior. Its
+log odds are shifted by its path's log odds against the global ones, and it is kept if both probabilities stay below ``REJECT``.
 
 Nulls: a null text is scored as empty; a null host or path forms its own site.
 Labels that are null are ignored; with no labels nothing is rejected. Repeated rows are scored
@@ -26,14 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged, without
+from ._common import discard, staged, without
 
 TARGETS = ("toxic", "low")
+SITE = ("n", "hn", "h_toxic", "h_low", "s_toxic", "s_low")
 OUTPUT = ("p_toxic", "p_low", "kept")
 MAX_LABELLED = 20_000
 MIN_SEEN, MIN_Z, MAX_FEATURES = 6, 4.0, 2_000
 RIDGE, ROUNDS, REJECT = 0.03, 400, 0.15
-HOST_STRENGTH, PATH_STRENGTH = 50.0, 50.0
+#: The least and the most documents that a fitted prior may count for.
+STRENGTH = (1.0, 1e6)
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[#*$%&|<>]")
 
@@ -129,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_la
         columns = np.array([k for r in sample for k in r[f"has_{t}"]], dtype=np.int64)
         w = logistic(at, columns, np.array([float(r[t]) for r in sample]), len(known))
         models[t] = (float(w[-1]), {f: float(w[k]) for f, k in known.items()})
+    discard(sums)
     return models
 
 
@@ -150,32 +154,55 @@ def scores(docs: DataFrame, models: dict, text_col: str) -> DataFrame:
     return docs.withColumn("odds", score(F.col(text_col))).select("*", "odds.*").drop("odds")
 
 
+def strength(groups: DataFrame, keys: list[str], target: str) -> float:
+    """Documents that the prior of groups counts for: variance within groups over variance between them.
+
+    ``groups`` holds for each group (and perhaps more finely) the number ``n`` of documents, the sum and the sum of squares of their
+    scores; the groups of ``keys`` are compared. One row of sums reaches the driver.
+    """
+    by = groups.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(target).alias("s"), F.sum(f"{target}_2").alias("q"))
+    n, s = F.col("n"), F.col("s")
+    r = by.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(n * n).alias("nn"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(s * s / n).alias("between")).first()
+    if not r["n"] or r["n"] <= r["groups"] or r["groups"] < 2:
+        return STRENGTH[1]
+    within = max(0.0, r["q"] - r["between"]) / (r["n"] - r["groups"])
+    true = (r["between"] - r["s"] ** 2 / r["n"] - (r["groups"] - 1) * within) / (r["n"] - r["nn"] / r["n"])
+    return min(STRENGTH[1], max(STRENGTH[0], within / true)) if true > 0 else STRENGTH[1]
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
     max_labelled: int = MAX_LABELLED, keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with ``p_toxic, p_low, kept``; the scored rows are staged in the shared folder."""
-    docs = without(docs, (*OUTPUT, "odds", "odds_toxic", "odds_low", "host_", "path_"))
+    docs = without(docs, (*OUTPUT, "odds", "odds_toxic", "odds_low", "host_", "path_", *SITE))
     models = train(docs, labels, id_col, text_col, max_labelled)
     scored = scores(docs, models, text_col)
     scored = staged((scored if keep_text else scored.drop(text_col)).withColumns({"host_": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "path_": F.coalesce(F.col(path_col).cast("string"), F.lit(""))}), "scored")
+    out = with_posteriors(scored)
+    out = out.withColumn("kept", (F.col("p_toxic") < REJECT) & (F.col("p_low") < REJECT))
+    return out.drop("host_", "path_", *[f"odds_{t}" for t in TARGETS])
+
+
+def with_posteriors(scored: DataFrame) -> DataFrame:
+    """``scored(host_, path_, odds_toxic, odds_low, ...)`` with ``p_toxic, p_low``."""
     p = lambda t: 1 / (1 + F.exp(-F.col(f"odds_{t}")))
-    paths = scored.groupBy("host_", "path_").agg(F.count("*").alias("n"), *[F.sum(p(t)).alias(t) for t in TARGETS])
-    paths = staged(paths, "sites")
+    sums = [f(x).alias(name) for t in TARGETS for name, x, f in ((t, p(t), F.sum), (f"{t}_2", p(t) * p(t), F.sum))]
+    paths = staged(scored.groupBy("host_", "path_").agg(F.count("*").alias("n"), *sums), "sites")
     world = paths.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     hosts = paths.groupBy("host_").agg(F.sum("n").alias("hn"), *[F.sum(t).alias(f"h_{t}") for t in TARGETS])
-    sites, odds = paths.join(hosts, "host_"), lambda x: F.log(x / (1 - x))
-    rates = {t: min(1 - 1e-6, max(1e-6, (world[t] or 0.0) / max(1, world["n"] or 0))) for t in TARGETS}
+    sites = staged(paths.join(hosts, "host_").drop(*[f"{t}_2" for t in TARGETS]).withColumnsRenamed({t: f"s_{t}" for t in TARGETS}), "posteriors")
+    out, odds = scored.join(sites, ["host_", "path_"]), lambda x: F.log(x / (1 - x))
     for t in TARGETS:
-        host = (F.col(f"h_{t}") + HOST_STRENGTH * rates[t]) / (F.col("hn") + HOST_STRENGTH)
-        path = (F.col(t) + PATH_STRENGTH * host) / (F.col("n") + PATH_STRENGTH)
-        sites = sites.withColumn(f"shift_{t}", odds(path) - F.lit(math.log(rates[t] / (1 - rates[t]))))
-    sites = staged(sites.select("host_", "path_", *[f"shift_{t}" for t in TARGETS]), "posteriors")
-    out = scored.join(sites, ["host_", "path_"])
-    for t in TARGETS:
-        out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"odds_{t}") + F.col(f"shift_{t}")))))
-    out = out.withColumn("kept", (F.col("p_toxic") < REJECT) & (F.col("p_low") < REJECT))
-    return out.drop("host_", "path_", *[f"{k}_{t}" for k in ("odds", "shift") for t in TARGETS])
+        rate = min(1 - 1e-6, max(1e-6, (world[t] or 0.0) / max(1, world["n"] or 0)))
+        k_host, k_path = strength(paths, ["host_"], t), strength(paths, ["host_", "path_"], t)
+        # the document itself says nothing about its site here
+        host = (F.col(f"h_{t}") - p(t) + k_host * rate) / (F.col("hn") - 1 + k_host)
+        path = (F.col(f"s_{t}") - p(t) + k_path * host) / (F.col("n") - 1 + k_path)
+        path = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), path))
+        out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"odds_{t}") + odds(path) - F.lit(math.log(rate / (1 - rate)))))))
+    discard(paths)
+    return out.drop(*SITE)
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
