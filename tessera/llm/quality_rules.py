@@ -1,10 +1,10 @@
 """Quality rules: text counts plus distribution divergence from a language reference.
 
 All work is DataFrame expressions. A first pass turns each text into counts, a character-class
-histogram and a histogram over its language's common words; the histograms of all documents of
+histogram and a histogram over its language's common words; the histograms of all other documents of
 a language are summed into its reference, and a document is kept if both of its
 Jensen-Shannon distances (base 2) stay within limits. Guards: a histogram of fewer than
-``MIN_CHARS`` characters or ``MIN_WORDS`` words isn't judged.
+``MIN_CHARS`` characters or ``MIN_WORDS`` words isn't judged, and none against a reference that isn't ten times as large.
 
 Nulls: a null text counts as empty (no words, so ``base_failed``); a null language forms a
 group of its own with no common words. Repeated rows are judged alike. An empty table gives no rows.
@@ -29,7 +29,7 @@ N_COMMON = 16
 #: Character classes, each removed in turn from what is left of the text.
 CLASSES = (("lower", "\\p{Ll}+"), ("space", SEPARATOR_RUN), ("upper", "\\p{Lu}+"), ("stop", "[.,;:!?'\"()-]+"), ("digit", "\\p{Nd}+"))
 WINDOW = 8
-MIN_CHARS, MIN_WORDS = 200, 50
+MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 10
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.3
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 OUTPUT = (*BASE, "class_distance", "word_distance", "kept")
@@ -117,12 +117,15 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     refs = staged(references(counted, lang_col), "references")
     joined = counted.withColumn("lang_key", F.coalesce(lang_col, F.lit(""))).join(refs, "lang_key", "left")
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
-    judged = joined.withColumns(
-        {
-            "class_distance": F.when(F.get("class_hist", F.lit(0)).isNotNull() & (F.aggregate("class_hist", F.lit(0).cast("long"), lambda a, x: a + x) >= MIN_CHARS), js_distance(doubles("class_hist"), F.col("class_ref"))),
-            "word_distance": F.when(F.col("n_words") >= MIN_WORDS, js_distance(doubles("word_hist"), F.col("word_ref"))),
-        }
-    )
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+
+    def distance(hist: str, ref: str, least: int) -> Column:
+        own = doubles(hist)
+        others = F.zip_with(ref, own, lambda a, x: a - x)
+        fits = F.get(hist, F.lit(0)).isNotNull() & (total(own) >= least) & (total(others) >= MIN_REFERENCE * least)
+        return F.when(fits, F.round(js_distance(own, others), 6))
+
+    judged = joined.withColumns({"class_distance": distance("class_hist", "class_ref", MIN_CHARS), "word_distance": distance("word_hist", "word_ref", MIN_WORDS)})
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) & ~F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     return judged.withColumn("kept", kept).drop("lang_key", "class_ref", "word_ref", "class_hist", "word_hist")
 
@@ -130,3 +133,41 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return quality_rules(docs, keep_text=False).select("doc_id", *OUTPUT)
+
+
+def _oracle() -> str:
+    words = "regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')"
+    before, steps = "t", []
+    for name, pattern in CLASSES:
+        steps.append(f"r_{name} AS (SELECT *, regexp_replace({before}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS left_{name} FROM {'w' if before == 't' else 'r_' + before[5:]})")
+        before = f"left_{name}"
+    froms = ["t", *[f"left_{n}" for n, _ in CLASSES]]
+    hist = ", ".join([f"length({a}) - length({b})" for a, b in zip(froms, froms[1:])] + [f"length({before})"])
+    common = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(x) for x in found)}]" for lang, found in COMMON_WORDS.items())
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
+
+    def distance(own: str, ref: str, least: int) -> str:
+        p, q = f"x / list_sum({own})", f"({ref}[i] - x) / (list_sum({ref}) - list_sum({own}))"
+        term = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({p} + {q}) / 2)) ELSE 0.0 END"
+        total = f"list_sum(list_transform({own}, lambda x, i: ({term(p)} + {term(q)}) / 2))"
+        return f"CASE WHEN list_sum({own}) >= {least} AND list_sum({ref}) - list_sum({own}) >= {MIN_REFERENCE * least} THEN round(sqrt(greatest(0.0, {total})), 6) END"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents), w AS (SELECT *, {words} AS w FROM d),
+{', '.join(steps)},
+c AS (SELECT *, len(w) AS n_words, [{hist}] AS class_hist, CASE lang {common} END AS common FROM r_{CLASSES[-1][0]}),
+h AS (SELECT *, list_transform(common, lambda c: len(list_filter(w, lambda x: x = c))) AS found FROM c),
+g AS (SELECT *, list_append(found, n_words - list_sum(found)) AS word_hist, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM h),
+v AS (SELECT rid, s, md5(array_to_string(w[s:s + {WINDOW - 1}], ' ')) AS m FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM w WHERE len(w) > {WINDOW})),
+r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, m) AS n FROM v) WHERE n > 1),
+p AS (SELECT rid, sum(least({WINDOW}, s - before)) AS n FROM (SELECT rid, s, coalesce(lag(s) OVER (PARTITION BY rid ORDER BY s), -{WINDOW}) AS before FROM r) GROUP BY rid),
+f AS (SELECT coalesce(lang, '') AS k, {sums('class_hist', len(CLASSES) + 1)} AS class_ref, {sums('word_hist', N_COMMON + 1)} AS word_ref FROM g GROUP BY 1),
+b AS (SELECT doc_id, n_words::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
+  {distance('class_hist', 'class_ref', MIN_CHARS)}::DOUBLE AS class_distance, {distance('word_hist', 'word_ref', MIN_WORDS)}::DOUBLE AS word_distance
+  FROM g JOIN f ON coalesce(lang, '') = k LEFT JOIN p USING (rid)),
+e AS (SELECT * REPLACE (coalesce(word_chars, 0) AS word_chars), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND NOT coalesce(class_distance > {MAX_CLASS_DISTANCE}, false) AND NOT coalesce(word_distance > {MAX_WORD_DISTANCE}, false) AS kept FROM e"""
+
+
+ORACLE_SQL = {"op4_quality_rules": _oracle()}
