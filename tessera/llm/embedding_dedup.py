@@ -1,22 +1,22 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Two independent codebooks, one for each half of the normalised vector, form a grid of
-cells. Each distinct vector is stored in its cell and asks other cells by multi-sequence traversal: cells come in
+cells, finer the more vectors there are. Each distinct vector is stored in its cell and asks other cells by multi-sequence traversal: cells come in
 order of the summed squared distances to the two bisecting hyperplanes that part them from the vector's own, until that
-sum exceeds the reach below which ``1 - MISS`` of all links lie. Candidates are
+sum exceeds the reach at which ``recall`` of all links are found. Candidates are
 verified in double precision, so no pair below the threshold links. Equal vectors form
 one class first, so copies are never compared.
 
-The reach: a partner at the threshold's distance ``r`` lies in a random direction, so its offset along one
-hyperplane's normal has deviation ``r / sqrt(dim)``; ``SIGMAS`` of them in each half are allowed for,
-and never more than ``r`` in all, which would be certain.
+The reach is measured on the sample that the codebooks are fitted on: every sampled vector gets partners at exactly the threshold's
+distance, the farthest that link, in random directions and in directions in which the data itself varies; the reach is
+the quantile of what their cells would take, the larger of both. ``recall=1`` takes the distance itself, which no link exceeds.
 
 A cell's vectors are dealt to blocks of ``BLOCK``; queries stream past the block, in chunks where there are many.
 A block emits one count a vector and the edges of a spanning forest, not its pairs.
 
 Nulls: vectors that are null, empty, zero or hold a null or non-finite component, and those with a null
 label, link with nothing and are their own component; a row without id takes part but
-is nobody's smallest id. Repeated rows count as separate vectors. Vectors of different
+is nobody's smallest id, and its component is null where it reaches no id. Ids may be any long, labels of any type that casts to a string. Repeated rows count as separate vectors. Vectors of different
 length don't link. An empty table gives no rows. Extra columns are left out.
 """
 
@@ -30,11 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, staged
+from ._common import components, discard, staged
 
-COSINE, CODEWORDS, FIT_ROWS, SIGMAS = 0.98, 16, 20_000, 4.0
+COSINE, RECALL, FIT_ROWS, FIT_FLOATS = 0.98, 0.995, 20_000, 4_000_000
 BLOCK, QUERIES = 512, 4096
-NO_ID = 1 << 62
+#: Vectors of a label that a cell is meant to hold, and the range of codewords a half may have.
+CELL, CODEWORDS = 16, (4, 256)
 
 
 def codebook(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
@@ -75,27 +76,41 @@ def traverse(first: np.ndarray, second: np.ndarray, reach: float) -> list[tuple[
     return out
 
 
-def reach_of(cosine: float, dim: int, sigmas: float) -> float:
+def reach_of(x: np.ndarray, one: np.ndarray, two: np.ndarray, cosine: float, recall: float, seed: int = 3) -> float:
+    """The summed squared hyperplane distances within which ``recall`` of the partners at the threshold lie."""
     r2 = 2 - 2 * cosine + 1e-9
-    return min(r2, 2 * sigmas**2 * r2 / dim)
-
-
-def cells(classes: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], cosine: float, sigmas: float) -> DataFrame:
-    """``cid, m, home, asked``: the own cell and the later cells to ask."""
+    if recall >= 1 or len(x) < 2:
+        return r2
+    rng, half = np.random.default_rng(seed), x.shape[1] // 2
+    other = x[rng.permutation(len(x))]
+    reach = 0.0
+    for step in (rng.normal(size=x.shape), other - x[rng.permutation(len(x))]):
+        step -= (step * x).sum(1, keepdims=True) * x
+        size = np.sqrt((step**2).sum(1, keepdims=True))
+        near = (1 - r2 / 2) * x + np.sqrt(r2 - r2 * r2 / 4) * np.divide(step, size, out=np.zeros_like(step), where=size > 0)
+        need = np.zeros(len(x))
+        for centres, a, b in ((one, x[:, :half], near[:, :half]), (two, x[:, half:], near[:, half:])):
+            need += bounds(a, centres)[1][np.arange(len(x)), bounds(b, centres)[0]]
+        reach = max(reach, float(np.quantile(need, recall)))
+    return min(r2, reach)
+
+
+def cells(classes: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray, float]]) -> DataFrame:
+    """``home, asked``: the own cell and the later cells to ask."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
                 x = np.array(part["embedding"].tolist(), dtype=np.float64)
                 x /= np.sqrt((x**2).sum(1))[:, None]
-                one, two = books[dim]
+                one, two, reach = books[dim]
                 (i, near1), (j, near2) = bounds(x[:, : dim // 2], one), bounds(x[:, dim // 2 :], two)
                 home = i * len(two) + j
-                reach = reach_of(cosine, dim, sigmas)
                 asked = [[c for p, q in traverse(f, s, reach) if (c := p * len(two) + q) > h] for f, s, h in zip(near1, near2, home)]
                 yield part.assign(home=home.astype(np.int32), asked=asked)
 
-    return classes.mapInPandas(run, "cid long, m long, label long, embedding array<float>, home int, asked array<int>")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return classes.mapInPandas(run, f"cid long, m long, label string, embedding {kind}, home int, asked array<int>")
 
 
 class Block:
@@ -185,27 +200,34 @@ def compare(rows: DataFrame, cosine: float) -> DataFrame:
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    cosine: float = COSINE, codewords: int = CODEWORDS, fit_rows: int = FIT_ROWS, sigmas: float = SIGMAS,
+    cosine: float = COSINE, recall: float = RECALL, codewords: int | None = None, fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``. The codebooks are fitted on at most about ``fit_rows`` classes, chosen by hash."""
+    """One row per vector: ``vec_id, n_links, component_id, kept``.
+
+    The codebooks and the reach are fitted on at most about ``fit_rows`` classes, chosen by hash, and fewer where
+    vectors are so long that these would pass ``FIT_FLOATS`` numbers. Doubles are compared as doubles.
+    """
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).cast("string").alias("label"))
     valid = F.col("label").isNotNull() & F.forall("embedding", good) & F.exists("embedding", lambda x: x != 0)
     base = base.withColumn("ok", F.coalesce(valid, F.lit(False)))
-    base = base.withColumns({"s1": F.when(F.col("ok"), F.xxhash64("label", "embedding")), "s2": F.when(F.col("ok"), F.xxhash64("embedding", "label", F.lit(1)))})
-    base = staged(base.withColumn("node", F.coalesce("vec_id", F.col("s1").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))), "vectors")
-    classes = base.where("ok").groupBy("s1", "s2").agg(F.min("node").alias("cid"), F.count("*").alias("m"), F.min_by("embedding", "node").alias("embedding"), F.min("label").alias("label"))
-    classes = staged(classes, "classes")
-    n = classes.count()
-    share = int(min(1.0, fit_rows / max(1, n)) * (1 << 30))
+    base = staged(base.withColumns({"s1": F.when(F.col("ok"), F.xxhash64("label", "embedding")), "s2": F.when(F.col("ok"), F.xxhash64("embedding", "label", F.lit(1)))}), "vectors")
+    classes = base.where("ok").groupBy("s1", "s2").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"), F.first("embedding").alias("embedding"), F.min("label").alias("label"))
+    # a class that no id belongs to goes by its hash
+    classes = staged(classes.select("s1", "s2", F.coalesce("least", "s1").alias("cid"), F.isnull("least").alias("nameless"), "m", "embedding", "label"), "classes")
+    lengths = {r["dim"]: r for r in classes.groupBy(F.size("embedding").alias("dim"), "label").count().groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()}
+    n = sum(r["n"] for r in lengths.values())
+    share = int(min(1.0, min(fit_rows, FIT_FLOATS // max(lengths, default=1)) / max(1, n)) * (1 << 30))
     sample = [r[0] for r in classes.where(F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 30)) < share).select("embedding").collect()]
-    lengths = {r[0] for r in classes.select(F.size("embedding")).distinct().collect()}
     books = {}
-    for dim in lengths:
+    for dim, r in lengths.items():
         x = np.array([v for v in sample if len(v) == dim] or [[1.0] * dim], dtype=np.float64)
         x /= np.sqrt((x**2).sum(1))[:, None]
-        books[dim] = codebook(x[:, : dim // 2], codewords), codebook(x[:, dim // 2 :], codewords)
-    placed = staged(cells(classes.select("cid", "m", "label", "embedding"), books, cosine, sigmas), "cells")
+        k = codewords or int(min(CODEWORDS[1], max(CODEWORDS[0], round((r["most"] / CELL) ** 0.5))))
+        one, two = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
+        books[dim] = one, two, reach_of(x, one, two, cosine, recall)
+    placed = staged(cells(classes.select("cid", "m", "label", "embedding"), books), "cells")
     place = ["label", "dim", "cell"]
     stored = placed.select("cid", "m", "embedding", "label", F.size("embedding").alias("dim"), F.col("home").alias("cell"), "asked")
     sizes = staged(stored.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
@@ -223,15 +245,33 @@ def near_duplicates(
     columns = [F.xxhash64(*key).alias("grp"), "part", "kind", "cid", "m", "embedding"]
     rows = held.select(*columns).union(asking.select(*columns)).repartition("grp", "part").sortWithinPartitions("grp", "part", "kind")
     links = staged(compare(rows, cosine), "links")
+    discard(placed, sizes, load)
     counts = links.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("more"))
-    joined = components(links.select("a", "b")).withColumnRenamed("id", "cid")
-    named = classes.select("s1", "s2", "cid", "m").join(counts, "cid", "left").join(joined, "cid", "left")
-    named = staged(named.select("s1", "s2", (F.col("m") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "cid").alias("component_id")), "named")
-    known = lambda c: F.when(c < NO_ID, c)
-    out = base.select("vec_id", "s1", "s2").join(named, ["s1", "s2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), known(F.coalesce("component_id", "vec_id")).alias("component_id"))
+    joined = staged(components(links.select("a", "b")), "components")
+    # the smallest id of a component is that of a class with ids
+    real = joined.join(classes.where("nameless").select(F.col("cid").alias("id")), "id", "left_anti")
+    least = real.groupBy("component_id").agg(F.min("id").alias("least"))
+    reached = joined.join(least, "component_id", "left").select(F.col("id").alias("cid"), "least", F.lit(True).alias("linked"))
+    named = classes.select("s1", "s2", "cid", "nameless", "m").join(counts, "cid", "left").join(reached, "cid", "left")
+    component = F.when(F.col("linked"), F.col("least")).otherwise(F.when(~F.col("nameless"), F.col("cid")))
+    named = staged(named.select("s1", "s2", (F.col("m") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), component.alias("component_id")), "named")
+    discard(classes, links, joined)
+    out = base.select("vec_id", "ok", "s1", "s2").join(named, ["s1", "s2"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_UNIT = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+ORACLE_SQL = {
+    "op8_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding, label, label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS ok FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding) WHERE a.ok AND b.ok AND {_UNIT} >= {COSINE}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+}
