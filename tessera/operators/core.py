@@ -86,8 +86,9 @@ def mention_join(texts: DataFrame, text: str, aliases: DataFrame, alias: str) ->
     return exploded.join(aliases.withColumn("word_", F.lower(alias)), "word_").drop("word_")
 
 
-def greedy_pack(texts: Column, sizes: Column, target: int, most: int) -> Column:
-    """Greedy chunks of an array: flush before ``most`` would be passed and once ``target`` is reached.
+def greedy_pack(texts: Column, sizes: Column, target: int, most: int, least: int = 1, ceiling: int | None = None) -> Column:
+    """Greedy chunks of an array: flush before ``most`` would be passed and once ``target`` is reached by at least ``least`` elements,
+    unless the chunk is larger than ``ceiling``, which then grows on.
 
     Returns an array of structs (first, last, size) of element positions.
     """
@@ -101,7 +102,9 @@ def greedy_pack(texts: Column, sizes: Column, target: int, most: int) -> Column:
         over = (acc["size"] > 0) & (acc["size"] + size > most)
         done = F.when(over, emit(acc["done"], acc["first"], acc["i"] - 1, acc["size"])).otherwise(acc["done"])
         first, now = F.when(over, acc["i"]).otherwise(acc["first"]), F.when(over, size).otherwise(acc["size"] + size)
-        full = now >= target
+        full = (now >= target) & (acc["i"] - first + 1 >= least)
+        if ceiling is not None:
+            full = full & (now <= ceiling)
         return F.struct(
             F.when(full, emit(done, first, acc["i"], now)).otherwise(done).alias("done"), F.when(full, acc["i"] + 1).otherwise(first).cast("int").alias("first"),
             F.when(full, F.lit(0)).otherwise(now).cast("long").alias("size"), (acc["i"] + 1).cast("int").alias("i"),

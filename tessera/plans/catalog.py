@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import conversation, corpus, retrieval, streams
+from . import asks, context, conversation, corpus, markup, moods, quality, retrieval, storage, streams
 
-MODULES = (retrieval, conversation, corpus, streams)
+MODULES = (retrieval, conversation, corpus, streams, markup, quality, storage, asks, context, moods)
 
 
 def queries() -> dict:
-    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+    return {name: fn for module in MODULES for name, fn in module.query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return {name: sql for module in MODULES for name, sql in module.query.sql.items()}

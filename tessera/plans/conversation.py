@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import core
 from ..sources.tables import table
+from ._catalog import Register
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+query = Register()
 
 
 def _order():
@@ -108,7 +98,7 @@ def transcript_stats(spark, sf):
     return _log(spark, sf).groupBy("conv_id").agg(F.count("*").alias("messages"), F.countDistinct("role").alias("speakers"), F.sum(n).alias("raw_chars"), F.sum(F.when(F.col("role") != "system", n).otherwise(0)).alias("kept_chars"), F.sum(text.token_estimate(F.col("text")) + 4).alias("tokens"))
 
 
-@query("SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':00] <' || role || '>: ' || substr(text, 1, 20) AS line FROM conversations")
+@query("SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':00] <' || role || '>: ' || text AS line FROM conversations")
 def transcript_lines(spark, sf):
     clock = F.lpad((F.col("turn") % 24).cast("string"), 2, "0")
     return _log(spark, sf).select("conv_id", "turn", F.concat(F.lit("["), clock, F.lit(":00] <"), "role", F.lit(">: "), "text").alias("line"))

@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import core
 from ..sources.tables import table
+from ._catalog import Register
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+query = Register()
 
 
 def _docs(spark, sf):
@@ -50,7 +40,7 @@ def uuid5_ids(spark, sf):
     return _docs(spark, sf).select("doc_id", text.uuid5(name).alias("chunk_id"))
 
 
-@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents WHERE n_chars < 600) SELECT doc_id, len(w)::BIGINT AS n1, greatest(len(w) - 1, 0)::BIGINT AS n2, greatest(len(w) - 2, 0)::BIGINT AS n3, coalesce(md5(w[1] || ' ' || w[2]), '') AS first_pair FROM w")
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n1, greatest(len(w) - 1, 0)::BIGINT AS n2, greatest(len(w) - 2, 0)::BIGINT AS n3, coalesce(md5(w[1] || ' ' || w[2]), '') AS first_pair FROM w")
 def ngram_tokens(spark, sf):
     w = text.words(F.col("text"))
     n = lambda k: F.size(text.ngrams(F.col("w"), k)).cast("long")
@@ -206,11 +196,15 @@ def first_last_seen(spark, sf):
 @query("""WITH l AS (SELECT user_id AS k, max(ts) AS atime, sum(length(props))::BIGINT AS size FROM events GROUP BY user_id), t AS (SELECT *, sum(size) OVER () AS used, sum(size) OVER (ORDER BY atime, k) - size AS ahead FROM l)
 SELECT k FROM t WHERE ahead < used - 0.7 * used""")
 def lru_evict(spark, sf):
-    """Oldest entries first until 70 % of what is used remains."""
-    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("k")).agg(F.max("ts").alias("atime"), F.sum(F.length("props").cast("long")).alias("size"))
-    used = rows.agg(F.sum("size").alias("used"))
-    ahead = F.coalesce(F.sum("size").over(Window.orderBy("atime", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.crossJoin(F.broadcast(used)).withColumn("ahead", ahead).where("ahead < used - 0.7 * used").select("k")
+    """Oldest entries first until 70 % of what is used remains.
+
+    The order is cut into ranges of days; sums of whole days are few, and only within a day entries are ordered one by one.
+    """
+    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("k")).agg(F.max("ts").alias("atime"), F.sum(F.length("props").cast("long")).alias("size")).withColumn("day", F.date_trunc("day", "atime"))
+    days = rows.groupBy("day").agg(F.sum("size").alias("total"))
+    before = days.select("day", (F.sum("total").over(Window.orderBy("day")) - F.col("total")).alias("before"), F.sum("total").over(Window.partitionBy()).alias("used"))
+    within = F.sum("size").over(Window.partitionBy("day").orderBy("atime", "k")) - F.col("size")
+    return rows.withColumn("within", within).join(before, "day").where("before + within < used - 0.7 * used").select("k")
 
 
 @query("SELECT doc_id, lang, approved FROM (SELECT doc_id, lang, n_chars >= 300 AS approved, row_number() OVER (PARTITION BY md5(text) ORDER BY lang, doc_id) AS k FROM documents) WHERE k = 1")
@@ -235,7 +229,8 @@ def one_hop_expand(spark, sf):
     return siblings.union(n.select("n_nationkey", F.lit(1000) + F.col("n_regionkey"))).distinct()
 
 
-@query("SELECT l_partkey AS source, l_suppkey AS target, count(*) AS n FROM lineitem WHERE l_partkey = 7 OR l_suppkey = 7 GROUP BY ALL")
+@query("""WITH e AS (SELECT l_partkey AS source, l_suppkey AS target, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT source AS entity, * FROM e UNION ALL SELECT target, * FROM e WHERE source <> target""")
 def relationships_of(spark, sf):
     """Each entity's edges on either side; edges are counted first, so a popular entity isn't gathered in one task."""
     edges = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).agg(F.count("*").alias("n"))

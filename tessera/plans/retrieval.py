@@ -9,24 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import core
 from ..sources.tables import table
+from ._catalog import Register
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+query = Register()
 
 #: Vectors in a block of the search, and partitions of the query blocks (each meets every partition of the vectors).
 BLOCK, QUERY_PARTS = 256, 4
 
 
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def _blocks(rows):
     """Vectors packed into blocks of at most BLOCK of one length, their norms divided out; a null vector has the length -1."""
 
@@ -89,20 +79,26 @@ def _searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: b
 
 
 SIM = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+PAIRS = f"s AS (SELECT q.vec_id AS q_id, q.label AS q_label, v.vec_id, v.label, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)"
+
+
+def _top(by: str, k: int) -> str:
+    return f"(SELECT q_id, label, vec_id, sim, row_number() OVER (PARTITION BY {by} ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= {k}"
 
 
-@query(f"SELECT v.vec_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY sim DESC, v.vec_id LIMIT 15")
+
+@query(f"WITH {PAIRS} SELECT q_id, vec_id, sim, rank FROM {_top('q_id', 15)}")
 def knn_topk(spark, sf):
     near = _searched(spark, sf, 15).select("q_id", "vec_id", "sim")
     return core.top_k(near, ["q_id"], [F.desc("sim"), "vec_id"], 15)
 
 
-@query(f"SELECT * FROM (SELECT v.label, v.vec_id, {SIM} AS sim, row_number() OVER (PARTITION BY v.label ORDER BY {SIM} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id = 0) WHERE rank <= 5")
+@query(f"WITH {PAIRS} SELECT * FROM {_top('q_id, label', 5)}")
 def knn_per_collection(spark, sf):
     return core.top_k(_searched(spark, sf, 5, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 5)
 
 
-@query(f"SELECT v.vec_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id = 0 AND v.label = q.label AND {SIM} >= 0.05")
+@query(f"WITH {PAIRS} SELECT q_id, vec_id, sim FROM s WHERE label = q_label AND sim >= 0.05")
 def knn_threshold_scoped(spark, sf):
     return _searched(spark, sf, scoped=True, least=0.05).select("q_id", "vec_id", "sim")
 
@@ -121,7 +117,7 @@ def anchor_argmax(spark, sf):
 
 
 @query(f"""SELECT * FROM (SELECT q.vec_id AS fact_id, v.vec_id AS memory_id, {SIM} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, v.vec_id) AS rank
-FROM embeddings q JOIN embeddings v ON q.label = v.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 25 = 0 AND {SIM} >= 0.1) WHERE rank <= 3""")
+FROM embeddings q JOIN embeddings v ON q.label = v.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND {SIM} >= 0.1) WHERE rank <= 3""")
 def fact_memory_join(spark, sf):
     """New facts against the memories of their scope: threshold and top 3; a fact isn't its own memory."""
     near = _searched(spark, sf, 3, scoped=True, least=0.1, itself=False)
@@ -154,9 +150,9 @@ def keyword_overlap(spark, sf):
     return docs.select("doc_id", _keywords(docs).alias("kw"))
 
 
-_HYBRID = f"""{_GRAMS}, cand AS (SELECT * FROM (SELECT v.vec_id, v.label, {SIM} AS sim, row_number() OVER (PARTITION BY v.label ORDER BY {SIM} DESC, v.vec_id) AS k FROM embeddings v, embeddings q WHERE q.vec_id = 0) WHERE k <= 15),
-hyb AS (SELECT vec_id AS doc_id, label, round(0.8 * sim + 0.1 * kw + 0.1 * 0.5 * (d.lang = 'en')::INT, 6) AS hybrid_score FROM cand JOIN kw ON vec_id = doc_id JOIN documents d ON d.doc_id = vec_id),
-rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hybrid_score DESC, doc_id) AS rank FROM hyb)"""
+_HYBRID = f"""{_GRAMS}, {PAIRS}, cand AS (SELECT * FROM {_top("q_id, label", 15)}),
+hyb AS (SELECT q_id, vec_id AS doc_id, label, round(0.8 * sim + 0.1 * kw + 0.1 * 0.5 * (d.lang = 'en')::INT, 6) AS hybrid_score FROM cand JOIN kw ON vec_id = doc_id JOIN documents d ON d.doc_id = vec_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY hybrid_score DESC, doc_id) AS rank FROM hyb)"""
 
 
 def _hybrid(spark, sf):
@@ -169,12 +165,13 @@ def _hybrid(spark, sf):
     return core.ranked(rows.withColumn("hybrid_score", F.round(hybrid, 6)), ["q_id", "label"], [F.desc("hybrid_score"), "doc_id"])
 
 
-@query(f"WITH {_HYBRID} SELECT doc_id, label, rank, hybrid_score FROM rk WHERE rank <= 5")
+@query(f"WITH {_HYBRID} SELECT q_id, doc_id, label, rank, hybrid_score FROM rk WHERE rank <= 5")
 def hybrid_rerank(spark, sf):
     return _hybrid(spark, sf).where("rank <= 5").select("q_id", "doc_id", "label", "rank", "hybrid_score")
 
 
-_FUSED = f"{_HYBRID}, fus AS (SELECT md5(text) AS text_key, min(r.doc_id) AS doc_id, round(sum(10.0 / (60 + rank) + hybrid_score), 6) AS rrf_score FROM rk r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5 GROUP BY md5(text))"
+_FUSED = f"""{_HYBRID}, fus AS (SELECT q_id, min(r.doc_id) AS doc_id, round(sum(10.0 / (60 + rank) + hybrid_score), 6) AS rrf_score FROM rk r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 5 GROUP BY q_id, md5(text)),
+o AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rrf_score DESC, doc_id) AS rank FROM fus)"""
 
 
 def _fused(spark, sf):
@@ -182,13 +179,13 @@ def _fused(spark, sf):
     return rows.groupBy("q_id", "text_key").agg(F.min("doc_id").alias("doc_id"), F.round(F.sum(scores.rrf_term(F.col("rank"), F.col("hybrid_score"))), 6).alias("rrf_score"))
 
 
-@query(f"WITH {_FUSED} SELECT doc_id, rrf_score FROM fus ORDER BY rrf_score DESC, doc_id LIMIT 5")
+@query(f"WITH {_FUSED} SELECT q_id, doc_id, rrf_score, rank FROM o WHERE rank <= 5")
 def rrf_fusion(spark, sf):
     return core.top_k(_fused(spark, sf).select("q_id", "doc_id", "rrf_score"), ["q_id"], [F.desc("rrf_score"), "doc_id"], 5)
 
 
-@query(f"""WITH {_FUSED}, h AS (SELECT fus.doc_id, rrf_score, length(text) // 2 AS tokens, row_number() OVER (ORDER BY rrf_score DESC, fus.doc_id) AS rank FROM fus JOIN documents d ON d.doc_id = fus.doc_id),
-c AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS cum FROM h WHERE rank <= 20) SELECT rank, doc_id, rrf_score, tokens::BIGINT AS tokens, cum::BIGINT AS cum_tokens FROM c WHERE cum <= 3500 OR rank = 1""")
+@query(f"""WITH {_FUSED}, c AS (SELECT q_id, rank, o.doc_id, rrf_score, length(text) // 2 AS tokens, sum(length(text) // 2) OVER (PARTITION BY q_id ORDER BY rank) AS cum FROM o JOIN documents d ON d.doc_id = o.doc_id WHERE rank <= 20)
+SELECT q_id, rank, doc_id, rrf_score, tokens::BIGINT AS tokens, cum::BIGINT AS cum_tokens FROM c WHERE cum <= 3500 OR rank = 1""")
 def retrieve_pack(spark, sf):
     """Search, hybrid rank, fusion, hydration and budget packing in one plan."""
     best = core.top_k(_fused(spark, sf).select("q_id", "doc_id", "rrf_score"), ["q_id"], [F.desc("rrf_score"), "doc_id"], 20)
@@ -248,26 +245,37 @@ def expired_filter(spark, sf):
     return li.crossJoin(F.broadcast(now)).where(~F.coalesce(gone, F.lit(False))).select("l_orderkey", "l_linenumber")
 
 
-_GOLD = """g AS (SELECT item_id, text, lower(regexp_extract(text, '[\\p{L}]+[^\\p{L}]+[\\p{L}]+[^\\p{L}]+[\\p{L}]+')) AS kw FROM benchmark),
-cand AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (contains(d.text, g.text))::INT DESC, doc_id) AS rank FROM g JOIN documents d ON contains(lower(d.text), g.kw)),
-hit AS (SELECT g.item_id, min(CASE WHEN contains(d.text, g.text) THEN rank END) AS first_rank FROM g LEFT JOIN cand USING (item_id) LEFT JOIN documents d USING (doc_id) GROUP BY g.item_id)"""
+#: Words of a passage that make its question, and how many results count.
+ASKED, RESULTS = 8, 5
+_W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_GOLD = f"""g AS (SELECT item_id, text AS gold, {_W}[1:{ASKED}] AS w FROM benchmark), gk AS (SELECT item_id, unnest({_PAIRS}) AS k FROM g),
+dw AS (SELECT doc_id, {_W} AS w FROM documents), dk AS (SELECT doc_id, unnest({_PAIRS}) AS k FROM dw),
+cand AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rank FROM gk JOIN dk USING (k) GROUP BY item_id, doc_id),
+hit AS (SELECT g.item_id, min(CASE WHEN contains(d.text, g.gold) THEN rank END) AS first_rank FROM g LEFT JOIN (SELECT * FROM cand WHERE rank <= {RESULTS}) c USING (item_id) LEFT JOIN documents d USING (doc_id) GROUP BY g.item_id)"""
 
 
-def _gold_hits(spark, sf):
-    """First rank at which a gold passage's document comes back for the passage's first three words.
+def gold_ranks(gold, docs):
+    """``item_id, first_rank``: the rank at which a document that holds the passage comes back for the passage's first words, null beyond the results.
 
-    Both sides are keyed by that three-word phrase's first word, so candidates come from an equi-join.
+    The retriever knows nothing of the passage: it ranks by how many of the question's word pairs a document has. Both
+    sides are exploded into word pairs once and meet in an equi-join; the text is read only of the documents that are returned.
     """
-    pattern = "[\\p{L}]+[^\\p{L}]+[\\p{L}]+[^\\p{L}]+[\\p{L}]+"
-    gold = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"), F.lower(F.regexp_extract("text", pattern, 0)).alias("kw"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    cand = docs.join(F.broadcast(gold), F.contains(F.lower("text"), F.col("kw")))
-    cand = cand.select("item_id", "doc_id", F.contains("text", "gold").alias("hit"))
-    ranks = core.ranked(cand, ["item_id"], [F.desc("hit"), "doc_id"])
-    first = ranks.groupBy("item_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_rank"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
+    pairs = lambda w: F.explode(F.array_distinct(text.ngrams(w, 2))).alias("k")
+    asked = gold.select("item_id", F.slice(words("gold"), 1, ASKED).alias("w")).select("item_id", pairs(F.col("w")))
+    held = docs.select("doc_id", words("text").alias("w")).select("doc_id", pairs(F.col("w")))
+    score = held.join(asked, "k").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    best = core.top_k(score, ["item_id"], [F.desc("score"), "doc_id"], RESULTS)
+    shown = docs.select("doc_id", "text").join(best, "doc_id").join(gold, "item_id")
+    first = shown.groupBy("item_id").agg(F.min(F.when(F.contains("text", "gold"), F.col("rank"))).alias("first_rank"))
     return gold.select("item_id").join(first, "item_id", "left")
 
 
+def _gold_hits(spark, sf):
+    return gold_ranks(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold")), table(spark, sf, "documents"))
+
+
 @query(f"""WITH {_GOLD} SELECT count(*) AS n, round(avg((coalesce(first_rank <= 1, false))::INT), 6) AS hit_1, round(avg((coalesce(first_rank <= 5, false))::INT), 6) AS hit_5,
 round(avg(coalesce(1.0 / first_rank, 0)), 6)::DOUBLE AS mrr FROM hit""")
 def hit_at_k_mrr(spark, sf):

@@ -9,19 +9,9 @@ from ..functions import scores
 from ..operators import core
 from ..sources.tables import table
 from ..streaming import state
+from ._catalog import Register
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+query = Register()
 
 
 def _events(spark, sf):
