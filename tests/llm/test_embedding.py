@@ -67,7 +67,41 @@ def test_dense_groups_in_small_blocks(spark, seed, monkeypatch):
             rows.append((len(rows), (centre + rng.normal(size=16) * rng.choice([0.0, 0.05, 0.12, 0.2])).astype(np.float32).tolist(), int(c % 3)))
     rows += [(500, None, 1), (501, [], 1), (502, [0.0] * 16, 1), (503, [1.0, None] + [0.0] * 14, 1), (504, [float("nan")] * 16, 1), (505, [float("inf")] * 16, 1), (506, rows[0][1], None), (507, rows[0][1][:8], 0), (None, rows[0][1], 0), rows[3], rows[3]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit(1)).repartition(3)
-    assert got(embedding_dedup.near_duplicates(df, codewords=4, sigmas=50.0)) == brute(rows)
+    assert got(embedding_dedup.near_duplicates(df, codewords=4, recall=1)) == brute(rows)
+
+
+@pytest.mark.parametrize("directions", ["few", "along"])
+def test_recall_where_the_data_is_not_isotropic(spark, directions):
+    """Long vectors whose differences lie in few components, and partners along the data's own differences."""
+    rng = np.random.default_rng(4)
+    scale = np.where(np.arange(256) < 6, 6.0, 0.3)
+    base = rng.normal(size=(300, 256)) * scale
+    rows = [(i, x.tolist(), "a" if i % 2 else "b") for i, x in enumerate(base)]
+    for i, x in enumerate(base):
+        step = rng.normal(size=256) * (np.arange(256) < 6) if directions == "few" else base[rng.integers(300)] - base[rng.integers(300)]
+        step = step - (step @ x) / (x @ x) * x
+        size = np.linalg.norm(step)
+        if size > 0:
+            rows.append((1000 + i, (x + step * np.linalg.norm(x) * 0.2 / size).tolist(), "a" if i % 2 else "b"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want, have = brute(rows), got(embedding_dedup.near_duplicates(df, codewords=12))
+    assert sum(x[1] for x in want) > 300
+    assert sum(x[1] for x in have) >= 0.95 * sum(x[1] for x in want)
+
+
+def test_large_ids_and_rows_without_id(spark):
+    v, w = [1.0] * 8, [1.0] * 4 + [-1.0] * 4
+    rows = [(2**62 + 6, v, "x"), (2**62 + 5, v, "x"), (-(2**63), w, "x"), (2**63 - 1, w, "x"), (None, v, "x"), (None, [0.5] * 3, "x"), (None, [0.5] * 3, "x")]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert got(out) == brute(rows)
+    assert {r.vec_id for r in out.collect() if r.kept} >= {2**62 + 5, -(2**63)}
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """A pair whose cosine passes the threshold only after rounding to floats doesn't link."""
+    c = 0.98 - 1e-9
+    rows = [(1, [1.0, 0.0], 0), (2, [c, (1 - c * c) ** 0.5], 0)]
+    assert got(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == [(1, 0, 1), (2, 0, 2)]
 
 
 def test_traversal_visits_nearest_first():

@@ -76,6 +76,17 @@ def test_equals_all_pairs(spark, seed, monkeypatch):
     assert got(jaccard_join.near_components(df)) == brute(rows)
 
 
+def test_large_ids_and_texts_that_share_nothing(spark):
+    """Complementary Thue-Morse words collide under any polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    rows = [(k, w) for k, n in enumerate((512, 1024, 2048, 4096)) for w in (word[:n], word[:n].translate({97: 98, 98: 97}))]
+    rows = [(10 * k + i, w) for i, (k, w) in enumerate(rows)]
+    rows += [(2**62 + 6, "same text"), (2**62 + 5, "same text"), (-(2**63), "other text"), (2**63 - 1, "other text"), (None, "same text")]
+    assert got(jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert got(jaccard_join.near_components(documents)) == brute(rows)

@@ -1,11 +1,13 @@
 """Operators that judge or rewrite one row at a time, against plain Python."""
 
+import gzip
 import hashlib
+import math
 import os
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,12 +105,46 @@ def test_classifier_edges(edge, spark):
     assert out.count() == len(EDGE) and out.where("kept is null").count() == 0
 
 
+def test_posterior_equals_the_definition(spark):
+    """Shrunk means, prior strengths and the document left out of its own site, in plain Python."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        host = rng.choice("aaab")
+        path = rng.choice("xyz")
+        rows.append((i, host, path, rng.gauss(-2 + (host == "b") + (path == "x"), 1), rng.gauss(-3, 1)))
+    scored = spark.createDataFrame(rows, "doc_id long, host_ string, path_ string, odds_toxic double, odds_low double")
+    have = {r.doc_id: (r.p_toxic, r.p_low) for r in quality_classifier.with_posteriors(scored).collect()}
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda x: math.log(x / (1 - x))
+    for k in (0, 1):
+        p = [sigma(r[3 + k]) for r in rows]
+        rate = sum(p) / len(p)
+
+        def prior(key):
+            groups = defaultdict(list)
+            for r, x in zip(rows, p):
+                groups[key(r)].append(x)
+            n = len(p)
+            within = sum((x - sum(g) / len(g)) ** 2 for g in groups.values() for x in g) / (n - len(groups))
+            spread = sum(len(g) * (sum(g) / len(g) - rate) ** 2 for g in groups.values())
+            true = (spread - (len(groups) - 1) * within) / (n - sum(len(g) ** 2 for g in groups.values()) / n)
+            return groups, min(1e6, max(1.0, within / true)) if true > 0 else 1e6
+
+        hosts, k_host = prior(lambda r: r[1])
+        paths, k_path = prior(lambda r: r[1:3])
+        for r, x in zip(rows, p):
+            host = (sum(hosts[r[1]]) - x + k_host * rate) / (len(hosts[r[1]]) - 1 + k_host)
+            path = (sum(paths[r[1:3]]) - x + k_path * host) / (len(paths[r[1:3]]) - 1 + k_path)
+            assert abs(have[r[0]][k] - sigma(r[3 + k] + logit(path) - logit(rate))) < 1e-9
+
+
 def test_sparse_site_shrinks_to_prior(spark):
-    rows = [(i, "fine words here", "en", "big", 1) for i in range(200)] + [(999, "fine words here", "en", "tiny", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
-    out = {r.source: r.p_toxic for r in quality_classifier.classify(docs, labels).select("source", "p_toxic").distinct().collect()}
-    assert abs(out["tiny"] - out["big"]) < 0.02
+    """One bad document says little about its site; many do."""
+    rows = [(i, "good", "x", -3.0 + (i % 3) / 2, -9.0) for i in range(300)] + [(1000 + i, "bad", "x", 1.0 + (i % 3) / 2, -9.0) for i in range(300)]
+    rows += [(5000, "tiny", "x", -1.0, -9.0), (5001, "tiny", "x", 2.0, -9.0), (6000, "bad", "x", -1.0, -9.0), (7000, "good", "x", -1.0, -9.0)]
+    out = {r.doc_id: r.p_toxic for r in quality_classifier.with_posteriors(spark.createDataFrame(rows, "doc_id long, host_ string, path_ string, odds_toxic double, odds_low double")).collect()}
+    assert out[7000] < out[5000] < out[6000]
 
 
 def test_bpe_equals_tiktoken(edge, documents):
@@ -121,6 +157,7 @@ def test_bpe_equals_tiktoken(edge, documents):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.digests(edge.limit(1), "byte_bpe_50k.tiktoken", P.PATTERN).count() == 1  # a name is looked up by the worker
     for docs in (edge, documents.limit(80)):
         texts = {(r.doc_id, r.text) for r in docs.collect()}
         want = set()
@@ -209,6 +246,32 @@ def test_warc_round_trip(spark):
     assert parts.where("kind = 'continuation'").count() > 3
 
 
+def test_foreign_archives_are_read_and_cut_ones_refused(spark, tmp_path):
+    """A member for each record, no private fields, no chunked coding, a revisit that refers to a digest."""
+    body = b"<p>hello</p>" * 300
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    make = lambda kind, block, *more: b"WARC/1.0\r\n" + b"".join(x.encode() + b"\r\n" for x in (f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{kind}>", *more, f"Content-Length: {len(block)}")) + b"\r\n" + block + b"\r\n\r\n"
+    sha = f"WARC-Payload-Digest: sha1:{warc.digest(body)}"
+    rows = [make("warcinfo", b"software: x"), make("response", http + body), make("revisit", http, sha)]
+    whole = b"".join(gzip.compress(r) for r in rows)
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    out = {r.record_type: r for r in warc.read_warc(spark, f"file://{tmp_path}").collect()}
+    assert bytes(out["response"].payload) == body and out["response"].payload_digest == warc.digest(body) and out["response"].page_id is None
+    assert (out["revisit"].payload_bytes, out["revisit"].payload_digest) == (len(body), warc.digest(body))
+    assert [f["warc-type"] for f, _ in warc.parse(warc.inflate(whole))] == ["warcinfo", "response", "revisit"]
+    assert [b for _, b in warc.parse(b"".join(rows)[i : i + 7] for i in range(0, len(b"".join(rows)), 7))] == [b"software: x", http + body, http]
+    for cut in (whole[:-3], whole[:-20], whole[: len(whole) // 2]):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.inflate(cut)))
+    for cut in (b"".join(rows)[:-1], rows[1][:40], rows[1][:-300], b"x" + rows[1]):
+        with pytest.raises(ValueError):
+            list(warc.parse([cut]))
+    wrong = gzip.compress(make("response", http + body, f"WARC-Payload-Digest: sha1:{warc.digest(b'x')}"))
+    (tmp_path / "a.warc.gz").write_bytes(wrong)
+    with pytest.raises(Exception, match="digest"):
+        warc.read_warc(spark, f"file://{tmp_path}").collect()
+
+
 def test_segments_are_verified():
     assert warc.join_segments([2, 1], [b"b", b"a"], 2) == b"ab"
     for numbers, total in (([1, 3], 2), ([1, 1], 2), ([1, 2], 3), ([1, 2], None)):

@@ -63,8 +63,17 @@ def test_equals_brute_force(spark, seed, length, gram, block):
 
 
 def test_production_length_on_documents(documents):
-    docs = documents.where("n_chars < 3000")
-    assert got(suffix_dedup.remove_repeats(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()], 400)
+    """All of them, the longest too; the remaining text is what the spans leave, less the halves of characters."""
+    rows = suffix_dedup.remove_repeats(documents).collect()
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute(list(texts.items()), 400)
+    for r in rows:
+        data, at, rest = texts[r.doc_id].encode(), 0, ""
+        for span in [*r.spans, None]:
+            end = span["start"] if span else len(data)
+            rest += data[at:end].decode(errors="ignore")
+            at = span["end"] if span else end
+        assert r.text == rest
 
 
 def test_edges(edge, empty):
@@ -98,6 +107,48 @@ def test_best_fit_takes_the_tightest_compatible_bin():
         assert packing.best_fit(items, 60) == slow_best_fit(items, 60)
 
 
+def test_clusters_ignore_case_and_white_space(spark, edge):
+    rows = [(1, "\nabc def", "a"), (2, " ABC  def ", "b"), (3, "abc\tDEF", "c"), (4, "abcdef", "d")]
+    out = {r.doc_id: r for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len({out[k].cluster for k in (1, 2, 3)}) == 1 and out[4].cluster != out[1].cluster
+    assert len({out[k].bin_id for k in (1, 2, 3)}) == 3
+
+
+def test_one_block_is_plain_best_fit(documents):
+    """Bins by residual of the whole input, and how full they are where nothing conflicts."""
+    docs = documents.withColumn("source", F.lit(None).cast("string"))
+    rows = packing.pack(docs, capacity=4096, block_items=10**6).collect()
+    items = packing.pieces(docs, "doc_id", "text", "source", 4096).collect()
+    bins = Counter(r.bin_id for r in rows)
+    order = sorted(items, key=lambda r: -r["size"])
+    groups = {c: k for k, c in enumerate({r.cluster for r in items})}
+    slow = slow_best_fit([(r["size"], -1, groups[r.cluster]) for r in order], 4096)
+    assert abs(len(bins) - len({b for b, _ in slow})) <= 0.01 * len(bins)  # ties may fall otherwise
+    full = sum(r["size"] for r in rows) / (len(bins) * 4096)
+    assert full > 0.97
+    blocks = packing.pack(docs, capacity=4096, block_items=len(items) // 4).select("bin_id").distinct().count()
+    assert blocks <= 1.05 * len(bins)
+
+
+def test_pieces_end_between_characters(spark):
+    texts = ["é" * 50, "a€" * 40, "\U0001f600" * 30, "x" * 64, "", None, "y" * 65]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    parts = defaultdict(list)
+    for r in packing.pack(df, capacity=64).collect():
+        assert 0 <= r["size"] <= 64
+        parts[r.doc_id].append((r.piece, (texts[r.doc_id] or "").encode()[r.start : r.start + r["size"]].decode()))
+    assert {k: "".join(t for _, t in sorted(v)) for k, v in parts.items()} == {k: t or "" for k, t in enumerate(texts)}
+    assert len(parts[3]) == 1
+
+
+def test_token_counts_and_given_clusters(spark):
+    rows = [(1, 150, 7, "a"), (2, 40, 7, "b"), (3, 30, 8, "c"), (4, None, None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, component_id long, source string").withColumn("text", F.lit("x"))
+    out = packing.pack(df, capacity=100, size_col="n_tokens", cluster_col="component_id").collect()
+    assert sorted((r.doc_id, r.piece, r.start, r["size"]) for r in out) == [(1, 0, 0, 100), (1, 1, 100, 50), (2, 0, 0, 40), (3, 0, 0, 30), (4, 0, 0, 0)]
+    assert not {r.bin_id for r in out if r.doc_id == 1} & {r.bin_id for r in out if r.doc_id == 2}
+
+
 @pytest.mark.parametrize("name", ["edge", "documents"])
 def test_packing_constraints(request, name):
     docs = request.getfixturevalue(name)
