@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, suffix_dedup
+from tessera.llm import difference_cover, packing, suffix_dedup
 
 from .conftest import EDGE
 
@@ -164,3 +164,17 @@ def test_packing_constraints(request, name):
         assert len(set(named)) == len(named) and len({r.cluster for r in held}) == len(held)
         assert sorted(r.bin_slot for r in held) == list(range(len(held)))
     assert len({(r.doc_id, r.cluster, r.piece) for r in rows}) <= len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_difference_cover_equals_brute_force(spark, seed):
+    """The full algorithm on short texts, with strings that repeat within a text and across texts."""
+    rng = random.Random(seed)
+    shared = "".join(rng.choice("abé") for _ in range(300))
+    rows = [(i, "".join(rng.choice("abé") for _ in range(rng.randint(0, 40))) + shared[rng.randint(0, 20) :] + "x" * rng.randint(0, 3)) for i in range(6)]
+    rows += [(10, "ab" * 200), (11, None), (12, "short"), (None, shared)]
+    length = 260
+    counts = Counter(b[s : s + length] for b in ((t or "").encode() for _, t in rows) for s in range(len(b) - length + 1))
+    want = Counter((i, s) for i, t in rows for s in range(len((t or "").encode()) - length + 1) if counts[(t or "").encode()[s : s + length]] > 1)
+    out = difference_cover.repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
+    assert Counter((r.doc_id, r.pos) for r in out) == want and len(want) > 300
