@@ -61,18 +61,31 @@ def query_tokens(text: Column) -> Column:
     return F.concat(w, ngrams(w, 2), ngrams(w, 3))
 
 
-def keyword_score(query: Column, text: Column, stop: list[str], high: list[str]) -> Column:
-    """Weighted share of the query's tokens that the text holds, at most 1.
+def keyword_score(query: Column, text: Column, stop: list[str], high: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
+    """Weighted share of the query's tokens that the text holds itself or by a synonym, at most 1.
 
-    Words of the high-value list weigh 2, phrases 1.5, others 1. A short word counts only as a whole word.
+    Words of the high-value list weigh 2, phrases 1.5, others 1. A short word counts only as a whole word. A word with a high-value
+    synonym is expected to weigh 2, and does if that synonym is there.
     """
-    weight = lambda t: F.when(t.isin(high), 2.0).when(F.instr(t, " ") > 0, 1.5).otherwise(1.0)
-    body = F.lower(text)
-    bag = words(text, 1)
+    synonyms = synonyms or {}
+    body, bag = F.lower(text), words(text, 1)
+    there = lambda t: F.contains(body, t) & ((F.instr(t, " ") > 0) | (F.length(t) > 3) | F.array_contains(bag, t))
+    plain = lambda t: F.when(t.isin(high), 2.0).when(F.instr(t, " ") > 0, 1.5).otherwise(1.0)
+    rich = [w for w, others in synonyms.items() if set(others) & set(high)]
+
+    def any_there(t: Column, pick) -> Column:
+        out = F.lit(False)
+        for word, others in synonyms.items():
+            for other in filter(pick, others):
+                out = out | ((t == word) & there(F.lit(other)))
+        return out
+
+    expected = lambda t: F.when(t.isin(rich), 2.0).otherwise(plain(t))
+    given = lambda t: F.when(any_there(t, lambda o: o in high), 2.0).otherwise(plain(t))
     content = F.filter(query_tokens(query), lambda t: ~t.isin(stop))
-    found = F.filter(content, lambda t: F.contains(body, t) & ((F.instr(t, " ") > 0) | (F.length(t) > 3) | F.array_contains(bag, t)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, t: s + weight(t))
-    return F.least(F.lit(1.0), total(found) / F.greatest(F.lit(2.0), total(content)))
+    found = F.filter(content, lambda t: there(t) | any_there(t, lambda o: True))
+    total = lambda a, weight: F.aggregate(a, F.lit(0.0), lambda s, t: s + weight(t))
+    return F.least(F.lit(1.0), total(found, given) / F.greatest(F.lit(2.0), total(content, expected)))
 
 
 def sentences(text: Column) -> Column:

@@ -100,15 +100,27 @@ def link_density(spark, sf):
     return rows.select("page_id", F.size("ps").cast("long").alias("paragraphs"), F.size(F.filter("ps", dense)).cast("long").alias("kept"))
 
 
-@query("""WITH u AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS pos FROM pages), s AS (SELECT page_id, round(contains(url, '/en/')::INT + CASE WHEN contains(url, '.org') THEN 2.0 WHEN contains(url, '.net') THEN 1.0 ELSE 0.0 END - 0.1 * (pos - 1), 6)::DOUBLE AS score FROM u WHERE pos <= 8)
-SELECT page_id, score FROM s ORDER BY score DESC, page_id LIMIT 3""")
+# How much an address of each kind is trusted, and what is never opened.
+DOMAINS, NEVER = {".org": 2.0, ".net": 1.0}, ["/ads/", "login."]
+_SITE = "split_part(url, '/', 3)"
+
+
+@query(f"""WITH t AS (SELECT page_id, url, {_SITE} AS site, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages), q AS (SELECT site, list_distinct(list_filter(regexp_extract_all(lower(arg_min(title, page_id)), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3)) AS asked FROM t GROUP BY site),
+r AS (SELECT t.*, asked, row_number() OVER (PARTITION BY site ORDER BY page_id) AS pos FROM t JOIN q USING (site)),
+s AS (SELECT site, page_id, round(len(list_filter(asked, lambda w: contains(lower(url || ' ' || title), w))) + {' + '.join(f"CASE WHEN contains(url, '{d}') THEN {b} ELSE 0.0 END" for d, b in DOMAINS.items())} - 0.1 * (pos - 1), 6)::DOUBLE AS score FROM r WHERE pos <= 8 AND NOT ({' OR '.join(f"contains(url, '{n}')" for n in NEVER)})),
+k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, page_id) AS rank FROM s) SELECT site, page_id, score, rank FROM k WHERE rank <= 3""")
 def url_rank(spark, sf):
-    """The best three of the first eight results by term overlap, domain boost and position."""
-    first = table(spark, sf, "pages").select("page_id", "url").orderBy("page_id").limit(8)
-    boost = F.when(F.contains("url", F.lit(".org")), 2.0).when(F.contains("url", F.lit(".net")), 1.0).otherwise(0.0)
-    rows = core.ranked(first, [], ["page_id"], "pos")
-    score = F.contains("url", F.lit("/en/")).cast("int") + boost - 0.1 * (F.col("pos") - 1)
-    return rows.select("page_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "page_id").limit(3)
+    """The best three of the first eight results of every result list (here a site, asked for its first title): words shared with address and title, trust in the domain, position."""
+    site = F.get(F.split("url", "/"), F.lit(2))
+    rows = table(spark, sf, "pages").select("page_id", "url", site.alias("site"), text.html_title(F.col("html")).alias("title"))
+    asked = F.array_distinct(F.filter(text.words(F.col("q"), 1), lambda w: F.length(w) >= 3))
+    lists = rows.groupBy("site").agg(F.min_by("title", "page_id").alias("q")).select("site", asked.alias("asked"))
+    first = core.top_k(rows, ["site"], ["page_id"], 8, "pos").join(lists, "site")
+    said = F.lower(F.concat("url", F.lit(" "), "title"))
+    boost = sum((F.when(F.contains("url", F.lit(d)), b).otherwise(0.0) for d, b in DOMAINS.items()), F.lit(0.0))
+    score = F.size(F.filter("asked", lambda w: F.contains(said, w))) + boost - 0.1 * (F.col("pos") - 1)
+    good = first.where(~F.greatest(*[F.contains("url", F.lit(n)) for n in NEVER])).select("site", "page_id", F.round(score, 6).alias("score"))
+    return core.top_k(good, ["site"], [F.desc("score"), "page_id"], 3)
 
 
 @query("""SELECT doc_id, CASE WHEN words < 15 OR length(text) < 20 OR (words < 45 AND regexp_matches(lower(text), 'license|copyright|cookie')) THEN 'drop' WHEN q BETWEEN 0.5 AND 0.7 THEN 'rewrite' ELSE 'keep' END AS gate, q AS quality

@@ -134,24 +134,40 @@ def collection_status(spark, sf):
 STOP = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "was"]
 HIGH = ["license", "version"]
 QUERY_TEXT = "the license version of that tion"
+#: Words that count for others.
+SYNONYMS = {"license": ["lizenz", "licence"], "tion": ["version", "sion"]}
+
+
+def _keyword_sql(name: str, held: str) -> str:
+    """``name(doc_id, kw)``: the keyword score of an expression over documents."""
+    there = lambda t: f"(contains(body, {t}) AND (contains({t}, ' ') OR length({t}) > 3 OR list_contains(bag, {t})))"
+    pairs = [(w, o) for w, others in SYNONYMS.items() for o in others]
+    some = " OR ".join(f"(t = '{w}' AND {there(chr(39) + o + chr(39))})" for w, o in pairs)
+    high = " OR ".join(f"(t = '{w}' AND {there(chr(39) + o + chr(39))})" for w, o in pairs if o in HIGH) or "false"
+    return f"""{name} AS (SELECT doc_id, round(least(1.0, coalesce(sum(CASE WHEN {there("t")} OR {some} THEN CASE WHEN {high} THEN 2.0 ELSE plain END ELSE 0 END), 0) / greatest(2.0, (SELECT sum(wt) FROM con))), 6)::DOUBLE AS kw
+  FROM (SELECT doc_id, lower({held}) AS body, regexp_extract_all(lower({held}), '[\\p{{L}}\\p{{N}}_]+') AS bag FROM documents), con GROUP BY doc_id)"""
+
+
 _TOKENS = "(SELECT regexp_extract_all(lower('" + QUERY_TEXT + "'), '[\\p{L}\\p{N}_]{2,}') AS w)"
+_RICH = [w for w, others in SYNONYMS.items() if set(others) & set(HIGH)]
+_HEADING = "source || ' ' || lang || ' version'"
 _GRAMS = f"""tok AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t FROM {_TOKENS}),
-con AS (SELECT t, CASE WHEN t IN ('{"', '".join(HIGH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS wt FROM tok WHERE t NOT IN ('{"', '".join(STOP)}')),
-kw AS (SELECT doc_id, round(least(1.0, coalesce(sum(CASE WHEN contains(lower(text), t) AND (contains(t, ' ') OR length(t) > 3 OR list_contains(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), t)) THEN wt ELSE 0 END), 0) / greatest(2.0, (SELECT sum(wt) FROM con))), 6)::DOUBLE AS kw FROM documents, con GROUP BY doc_id)"""
+con AS (SELECT t, CASE WHEN t IN ('{"', '".join(HIGH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS plain, CASE WHEN t IN ('{"', '".join(HIGH + _RICH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS wt FROM tok WHERE t NOT IN ('{"', '".join(STOP)}')),
+{_keyword_sql("kw", "text")}, {_keyword_sql("hd", _HEADING)}"""
 
 
-def _keywords(docs):
-    return F.round(text.keyword_score(F.lit(QUERY_TEXT), F.col("text"), STOP, HIGH), 6)
+def _keywords(text_col):
+    return F.round(text.keyword_score(F.lit(QUERY_TEXT), text_col, STOP, HIGH, SYNONYMS), 6)
 
 
 @query(f"WITH {_GRAMS} SELECT doc_id, kw FROM kw")
 def keyword_overlap(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", _keywords(docs).alias("kw"))
+    return docs.select("doc_id", _keywords(F.col("text")).alias("kw"))
 
 
 _HYBRID = f"""{_GRAMS}, {PAIRS}, cand AS (SELECT * FROM {_top("q_id, label", 15)}),
-hyb AS (SELECT q_id, vec_id AS doc_id, label, round(0.8 * sim + 0.1 * kw + 0.1 * 0.5 * (d.lang = 'en')::INT, 6) AS hybrid_score FROM cand JOIN kw ON vec_id = doc_id JOIN documents d ON d.doc_id = vec_id),
+hyb AS (SELECT q_id, vec_id AS doc_id, label, round(0.8 * sim + 0.1 * kw.kw + 0.1 * (0.5 * hd.kw + 0.5 * (d.lang = 'en')::INT), 6) AS hybrid_score FROM cand JOIN kw ON vec_id = kw.doc_id JOIN hd ON vec_id = hd.doc_id JOIN documents d ON d.doc_id = vec_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY hybrid_score DESC, doc_id) AS rank FROM hyb)"""
 
 
@@ -159,9 +175,9 @@ def _hybrid(spark, sf):
     """Each query's candidates ranked within their label; a document's keywords are scored once for all queries."""
     near = core.top_k(_searched(spark, sf, 15, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 15, "k")
     docs = table(spark, sf, "documents")
-    docs = docs.select("doc_id", F.md5("text").alias("text_key"), _keywords(docs).alias("kw"), (F.col("lang") == "en").cast("int").alias("en"))
+    docs = docs.select("doc_id", F.md5("text").alias("text_key"), _keywords(F.col("text")).alias("kw"), _keywords(F.concat("source", F.lit(" "), "lang", F.lit(" version"))).alias("heading"), (F.col("lang") == "en").cast("int").alias("en"))
     rows = docs.join(near.withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    hybrid = scores.lore_score(F.col("sim"), F.col("kw"), F.lit(0.0), F.col("en"))
+    hybrid = scores.lore_score(F.col("sim"), F.col("kw"), F.col("heading"), F.col("en"))
     return core.ranked(rows.withColumn("hybrid_score", F.round(hybrid, 6)), ["q_id", "label"], [F.desc("hybrid_score"), "doc_id"])
 
 
