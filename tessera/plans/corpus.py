@@ -229,7 +229,7 @@ def scan_and_select(spark, sf):
 @query("SELECT s_suppkey, n_name AS canonical, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def alias_resolve(spark, sf):
     names = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, sf, "supplier").join(F.broadcast(names), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("canonical"), F.col("r_name").alias("region"))
+    return table(spark, sf, "supplier").join(names, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("canonical"), F.col("r_name").alias("region"))
 
 
 @query("SELECT a.n_nationkey AS entity, b.n_nationkey AS related FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey <> b.n_nationkey UNION SELECT n_nationkey, 1000 + n_regionkey FROM nation")

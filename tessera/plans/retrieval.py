@@ -271,18 +271,26 @@ cand AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER B
 hit AS (SELECT g.item_id, min(CASE WHEN contains(d.text, g.gold) THEN rank END) AS first_rank FROM g LEFT JOIN (SELECT * FROM cand WHERE rank <= {RESULTS}) c USING (item_id) LEFT JOIN documents d USING (doc_id) GROUP BY g.item_id)"""
 
 
-def gold_ranks(gold, docs):
-    """``item_id, first_rank``: the rank at which a document that holds the passage comes back for the passage's first words, null beyond the results.
+def gold_candidates(gold, docs):
+    """``item_id, doc_id, score, rank``: the documents that come back for a passage's first words.
 
-    The retriever knows nothing of the passage: it ranks by how many of the question's word pairs a document has. Both
-    sides are exploded into word pairs once and meet in an equi-join; the text is read only of the documents that are returned.
+    The retriever knows nothing of the rest of the passage: it ranks by how many of the question's word pairs a document has. Both
+    sides are exploded into word pairs once and meet in an equi-join.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
     pairs = lambda w: F.explode(F.array_distinct(text.ngrams(w, 2))).alias("k")
     asked = gold.select("item_id", F.slice(words("gold"), 1, ASKED).alias("w")).select("item_id", pairs(F.col("w")))
     held = docs.select("doc_id", words("text").alias("w")).select("doc_id", pairs(F.col("w")))
     score = held.join(asked, "k").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
-    best = core.top_k(score, ["item_id"], [F.desc("score"), "doc_id"], RESULTS)
+    return core.top_k(score, ["item_id"], [F.desc("score"), "doc_id"], RESULTS)
+
+
+def gold_ranks(gold, docs):
+    """``item_id, first_rank``: the rank at which a document that holds the passage comes back, null beyond the results.
+
+    The text is read only of the documents that are returned.
+    """
+    best = gold_candidates(gold, docs)
     shown = docs.select("doc_id", "text").join(best, "doc_id").join(gold, "item_id")
     first = shown.groupBy("item_id").agg(F.min(F.when(F.contains("text", "gold"), F.col("rank"))).alias("first_rank"))
     return gold.select("item_id").join(first, "item_id", "left")
