@@ -24,7 +24,7 @@ Every step loses no link that matters to the components. Pivots, blocks and quer
 proportion to its documents, and a block with many queries is dealt out in chunks.
 
 Nulls: a null or wordless text has no tokens, ``n_shingles`` 0, and links with nothing; a document
-without id takes part, is nobody's smallest id, and has a null component where it reaches no id.
+without id takes part, is nobody's smallest id, and has a null component where it reaches no id. Ids may be any long.
 Repeated rows are one node with the same result each. An empty table gives no rows. Extra columns are left out.
 """
 
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import components, discard, released, staged
+from ._common import components, discard, flagged, released, staged, unflagged
 from .hashing import Hashes, mixed
 
 SHINGLE, THRESHOLD = 4, 85
@@ -47,8 +47,6 @@ BLOCK, QUERIES = 256, 1024
 PIVOTS = 2
 #: Earlier tokens by which a repeated question is known.
 LOOK_BACK = 4
-#: Surrogate ids of documents without one start here.
-NO_ID = 1 << 62
 
 
 def tokens(text: bytes, size: int) -> np.ndarray:
@@ -76,28 +74,28 @@ def first_needed(n: int, threshold: int) -> int:
 
 
 def sketch(docs: DataFrame, size: int, threshold: int, zone: float) -> DataFrame:
-    """``node, n, s1, s2, first``: first holds the zone's tokens, and more where they are too few."""
+    """``id, n, s1, s2, first``: first holds the zone's tokens, and more where they are too few."""
     limit = np.uint64(int(zone * 2.0**64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for node, text in zip(pdf["id"], pdf["data"]):
+            for id_, no_id, text in zip(pdf["id_"], pdf["no_id"], pdf["data"]):
                 t = tokens(text, size)
                 s1, s2 = signature(t)
                 k = max(int(np.searchsorted(t, limit)), first_needed(len(t), threshold)) if len(t) else 0
-                node = NO_ID | s1 & (NO_ID - 1) if pd.isna(node) else int(node)
-                rows.append((node, len(t), s1, s2, t[:k].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "n", "s1", "s2", "first"])
+                rows.append((id_, no_id, len(t), s1, s2, t[:k].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id_", "no_id", "n", "s1", "s2", "first"])
 
-    return docs.mapInPandas(run, "node long, n int, s1 long, s2 long, first array<long>")
+    rows = docs.select(*flagged("id"), "data").mapInPandas(run, "id_ long, no_id boolean, n int, s1 long, s2 long, first array<long>")
+    return rows.select(unflagged("id"), "n", "s1", "s2", "first")
 
 
 def full_tokens(docs: DataFrame, active: DataFrame, size: int) -> DataFrame:
-    """``cid, tokens`` of the active classes."""
-    wanted = docs.withColumn("node", F.col("id")).join(active.where(F.col("cid") < NO_ID).hint("merge"), F.col("node") == F.col("cid"))
-    lost = active.where(F.col("cid") >= NO_ID)
-    nameless = docs.where("id is null")
+    """``cid, tokens`` of the active classes; a class without id is found by its token set."""
+    named = docs.join(active.where("not nameless").withColumnRenamed("cid", "id").hint("merge"), "id").withColumnRenamed("id", "cid")
+    lost = active.where("nameless").select("cid")
+    without_id = docs.where("id is null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,13 +111,12 @@ def full_tokens(docs: DataFrame, active: DataFrame, size: int) -> DataFrame:
             rows = []
             for text in pdf["data"]:
                 t = tokens(text, size)
-                s1, s2 = signature(t)
-                rows.append((NO_ID | s1 & (NO_ID - 1), t.view(np.int64)))
+                rows.append((signature(t)[0], t.view(np.int64)))
             yield pd.DataFrame(rows, columns=["cid", "tokens"])
 
     schema = "cid long, tokens array<long>"
-    named = wanted.select("cid", "s1", "s2", "data").mapInPandas(run, schema)
-    return named.union(nameless.mapInPandas(name, schema).join(lost.select("cid"), "cid", "left_semi")).dropDuplicates(["cid"])
+    named = named.select("cid", "s1", "s2", "data").mapInPandas(run, schema)
+    return named.union(without_id.select("data").mapInPandas(name, schema).join(lost, "cid", "left_semi")).dropDuplicates(["cid"])
 
 
 def open_groups(queries: DataFrame, members: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
@@ -182,8 +179,10 @@ def near_components(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     whole = staged(sketch(docs, size, threshold, zone), "sketch")
     # pass 1: classes, and exact counts of the zone's tokens over them
-    classes = staged(whole.where("n > 0").groupBy("s1", "s2").agg(F.min("node").alias("cid"), F.min("n").alias("n"), F.min_by("first", "node").alias("first")), "classes")
-    every = staged(whole.select("node", "n", "s1", "s2"), "nodes")
+    classes = staged(whole.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.first("first").alias("first")), "classes")
+    # a class that no id belongs to goes by the hash of its tokens
+    classes = classes.select("s1", "s2", F.coalesce("least", "s1").alias("cid"), F.isnull("least").alias("nameless"), "n", "first")
+    every = staged(whole.select("id", "n", "s1", "s2"), "nodes")
     discard(whole)
     del whole
     released(spark)
@@ -216,19 +215,23 @@ def near_components(
                 yield pd.DataFrame({"cid": np.concatenate(cids), "token": np.concatenate(toks), "n": np.concatenate(sizes), "rest": np.concatenate(rests)})
 
     first = staged(classes.select("cid", "n", "first").join(shared, "cid").mapInPandas(choose, "cid long, token long, n int, rest int"), "first")
-    discard(shared)
-    classes = classes.drop("first")
-    del shared
+    discard(shared, often)
+    every_class, classes = classes, staged(classes.drop("first"), "names")
+    discard(every_class)
+    del shared, every_class
     released(spark)
     pivots = staged(first.groupBy("token").agg(F.min("cid").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k"), "pivots")
-    first = staged(first.join(pivots, "token"), "first")
-    active = classes.join(first.select("cid").distinct(), "cid", "left_semi").select("cid", "s1", "s2")
-    full = staged(full_tokens(docs, staged(active, "active"), size), "tokens")
+    pivoted = staged(first.join(pivots, "token"), "first")
+    discard(first, pivots)
+    first = pivoted
+    active = classes.join(first.select("cid").distinct(), "cid", "left_semi").select("cid", "s1", "s2", "nameless")
+    active = staged(active, "active")
+    full = staged(full_tokens(docs, active, size), "tokens")
     released(spark)
     # pass 2: each class against the pivots it shares most with; pass 3 covers whatever this leaves apart
     ranked = first.where("cid <> pivot").groupBy("cid", "pivot").agg(F.count("*").alias("k")).groupBy("cid")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("k", (-F.col("pivot")).alias("p"))), False), 1, PIVOTS)
-    best = staged(ranked.agg(F.transform(best, lambda x: -x["p"]).alias("best")), "best")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("k", F.bitwise_not("pivot").alias("p"))), False), 1, PIVOTS)
+    best = staged(ranked.agg(F.transform(best, lambda x: F.bitwise_not(x["p"])).alias("best")), "best")
     pairs = best.select(F.col("cid").alias("q"), F.explode("best").alias("grp"))
     alone = pairs.select("grp").distinct().select(F.col("grp").alias("cid"), "grp", F.col("grp").alias("comp"))
     links = staged(open_groups(pairs, alone, full, threshold), "links")
@@ -241,16 +244,19 @@ def near_components(
         .join(best.select("cid", F.get("best", F.lit(0)).alias("home")), "cid", "left")
         .select("cid", F.coalesce("component_id", "cid").alias("comp"), F.coalesce("home", "cid").alias("home"))
     )
-    placed = staged(placed, "placed")
+    homes = placed = staged(placed, "placed")
+    discard(active, best, linked)
     sizes = placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = staged(placed.join(sizes, "home").select("cid", "comp", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("grp")), "placed")
     rows = staged(first.select("token", "cid", "n", "rest").join(placed, "cid"), "rows")
+    discard(homes, first)
+    released(spark)
     several = staged(rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
     order = Window.partitionBy("cid").orderBy(F.desc("rest"))
     before = [F.lag("token", k + 1).over(order).alias(f"b{k}") for k in range(LOOK_BACK)]
     every_row = rows
     rows = staged(rows.join(several, "token", "left_semi").select("*", *before), "rows")
-    discard(every_row)
+    discard(every_row, several)
     # tokens that come shortly before this one in the order of every member of the block that has it
     common = F.array(*[F.when((F.count(f"b{k}") == F.count("*")) & (F.min(f"b{k}") == F.max(f"b{k}")), F.min(f"b{k}")) for k in range(LOOK_BACK)]).alias("common")
     matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("least"), F.max((100 + threshold) * F.col("rest") - threshold * F.col("n")).alias("slack"), common)
@@ -263,19 +269,38 @@ def near_components(
     # whoever shares an earlier token with all of them asks there, where all bounds are wider
     fits = fits & ~F.coalesce(F.arrays_overlap("before", "common"), F.lit(False))
     queries = staged(asks.join(matrix, "token").where(fits).select("q", "grp").distinct(), "queries")
+    discard(rows, matrix)
     released(spark)
     members = placed.join(queries.select("grp").distinct(), "grp", "left_semi").select("cid", "grp", "comp")
     more = staged(open_groups(queries, members, full, threshold), "links")
     joined = staged(components(links.union(more)), "components")
-    for table in (first, full, rows, matrix, queries, often, pivots):
-        discard(table)
-    names = classes.select("s1", "s2", "cid").join(joined.withColumnRenamed("id", "cid"), "cid", "left")
-    names = names.select("s1", "s2", F.coalesce("component_id", "cid").alias("component_id"))
-    out = every.select("node", "n", "s1", "s2").join(staged(names, "names"), ["s1", "s2"], "left")
-    reached = F.coalesce("component_id", "node")
-    known = lambda c: F.when(c < NO_ID, c)
-    return out.select(known(F.col("node")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known(F.when(F.col("n") > 0, reached).otherwise(F.col("node"))).alias("component_id"))
+    discard(full, queries, placed, links, more)
+    # the smallest id of a component is that of a class with ids
+    real = joined.join(classes.where("nameless").select(F.col("cid").alias("id")), "id", "left_anti")
+    least = real.groupBy("component_id").agg(F.min("id").alias("least"))
+    reached = joined.join(least, "component_id", "left").select(F.col("id").alias("cid"), "least", F.lit(True).alias("linked"))
+    own = F.when(~F.col("nameless"), F.col("cid"))
+    names = classes.join(reached, "cid", "left").select("s1", "s2", F.when(F.col("linked"), F.col("least")).otherwise(own).alias("component_id"))
+    out = every.join(staged(names, "names"), ["s1", "s2"], "left")
+    discard(classes, joined)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE_SQL = {
+    "op9_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [md5(array_to_string(w, ' '))]
+  ELSE list_distinct([md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) FOR i IN range(1, len(w) - {SHINGLE - 2})]) END AS t FROM d),
+n AS (SELECT rid, doc_id, len(t) AS n, md5(array_to_string(list_sort(t), '')) AS c, t FROM s),
+c AS (SELECT c, min(doc_id) AS cid, any_value(t) AS t, any_value(n) AS n FROM n WHERE n > 0 GROUP BY c),
+u AS (SELECT cid, n, unnest(t) AS t FROM c),
+p AS (SELECT a.cid AS a, b.cid AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS k FROM u a JOIN u b ON a.t = b.t AND a.cid <> b.cid GROUP BY a.cid, b.cid),
+l AS (SELECT a, b FROM p WHERE 100 * k >= {THRESHOLD} * (total - k)),
+r AS (SELECT cid AS a, cid AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS cid, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n.n::BIGINT AS n_shingles, coalesce(m.component_id, doc_id) AS component_id FROM n LEFT JOIN c USING (c) LEFT JOIN m USING (cid)"""
+}

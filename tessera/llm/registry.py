@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return url_filter.ORACLE_SQL | warc.ORACLE_SQL
+    return {k: v for module in (suffix_dedup, quality_rules, url_filter, embedding_dedup, jaccard_join, warc) for k, v in module.ORACLE_SQL.items()}
