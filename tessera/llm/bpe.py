@@ -3,11 +3,13 @@
 A pre-token's tokens form a linked list; every adjacent pair that has a merge rank waits in
 that rank's bucket of positions. A two-level bitmap marks the ranks whose bucket isn't empty,
 so the next rank is two find-first-set steps away however long the pre-token is.
-Entries whose pair has changed since are skipped when they come up.
+Entries whose pair has changed since are skipped when they come up. Short pre-tokens share one queue, thousands at a time: a
+bucket then holds positions in many of them, which are joined together, the leftmost of each.
 
 Texts are cut at single spaces before the pattern runs, which leaves the pre-tokens
 unchanged (a match takes a space only at its start) and lets whole words be cached; texts with a space
-before other white space go through the pattern whole. The caches have a fixed size per worker.
+before other white space go through the pattern whole. A worker keeps the ids, their text and the decoded bytes of the words it met
+last, up to a fixed size, so a document joins words instead of ids.
 
 Nulls and empty texts have no tokens: ``n_tokens`` 0 and the hash of the empty string. Repeated rows are
 encoded alike; an empty table gives no rows. Extra columns are left out.
@@ -17,12 +19,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import flagged, unflagged
 
 #: Bits of a rank within its span, of a token in a pair.
 SPAN, WIDTH = 8, 24
@@ -31,8 +38,11 @@ MASK = (1 << SPAN) - 1
 BIT = [1 << k for k in range(1 << 12)]
 #: A space before other white space or the end may belong to a longer match.
 UNSAFE = re.compile(r" (?:\s|\Z)")
-CACHE = 250_000
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Words in each of the two generations of a worker's cache, and the longest one kept.
+CACHE, LONGEST = 600_000, 64
+#: New words that are merged together.
+TOGETHER = 50_000
+SCHEMA = "id_ long, no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
@@ -148,6 +158,96 @@ def merge(piece: bytes, ranks: dict[bytes, int], pairs: dict[int, int], single:
     return out
 
 
+class Pairs:
+    """Ranks of pairs of tokens, looked up by the array."""
+
+    def __init__(self, pairs: dict[int, int]) -> None:
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it has none."""
+        wanted = left << WIDTH | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.ranks[at], -1)
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> list[list[int]]:
+    """Token ids of many pre-tokens, by one queue of the same kind over all their bytes."""
+    lengths = np.array([len(p) for p in pieces])
+    if not lengths.sum() or not len(pairs.keys):
+        return [single[np.frombuffer(p, dtype=np.uint8)].tolist() for p in pieces]
+    n, owner = int(lengths.sum()), np.repeat(np.arange(len(pieces)), lengths)
+    ids = single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    ends = np.cumsum(lengths)[lengths > 0]
+    after[ends - 1] = n
+    before[(ends - lengths[lengths > 0])] = -1
+    waiting = np.full(n, -1)
+    inner = np.flatnonzero(after < n)
+    waiting[inner] = pairs.of(ids[inner], ids[inner + 1])
+    buckets: dict[int, list[np.ndarray]] = {}
+    low: dict[int, int] = {}
+    top = 0
+
+    def push(places: np.ndarray) -> None:
+        """Let places wait in the buckets of their ranks."""
+        nonlocal top
+        places = places[waiting[places] >= 0]
+        ranks = waiting[places]
+        order = np.argsort(ranks, kind="stable")
+        places, ranks = places[order], ranks[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, start, end in zip(ranks[np.append(0, cuts)].tolist() if len(ranks) else (), [0, *cuts.tolist()], [*cuts.tolist(), len(ranks)]):
+            held = buckets.get(rank)
+            if held is None:
+                buckets[rank] = [places[start:end]]
+                word = rank >> SPAN
+                low[word] = low.get(word, 0) | BIT[rank & MASK]
+                top |= BIT[word]
+            else:
+                held.append(places[start:end])
+
+    push(inner)
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word << SPAN | (bits & -bits).bit_length() - 1
+        if bits & (bits - 1):
+            low[word] = bits & (bits - 1)
+        else:
+            del low[word]
+            top &= top - 1
+        held = buckets.pop(rank)
+        places = held[0] if len(held) == 1 else np.concatenate(held)
+        places = places[waiting[places] == rank]  # the others are stale
+        if len(places) > 1:
+            places = np.unique(places)
+            of = owner[places]
+            first = np.append(True, of[1:] != of[:-1])
+            later, places = places[~first], places[first]
+        else:
+            later = places[:0]
+        if not len(places):
+            continue
+        gone = after[places]
+        end = after[gone]
+        after[places], ids[places], ids[gone] = end, rank, -1
+        waiting[gone] = waiting[places] = -1
+        right = end < n
+        a, b = places[right], end[right]
+        before[b] = a
+        waiting[a] = pairs.of(ids[a], ids[b])
+        at = before[places]
+        at = at[at >= 0]
+        waiting[at] = pairs.of(ids[at], np.full(len(at), rank))
+        push(np.concatenate([a, at, later]))
+    kept = np.flatnonzero(ids >= 0)
+    stops = np.searchsorted(owner[kept], np.arange(len(pieces)), side="right")
+    flat = ids[kept].tolist()
+    return [flat[s:e] for s, e in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+
 class Codec:
     """Encoder and decoder over one rank table."""
 
@@ -159,82 +259,130 @@ class Codec:
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.pairs = pair_ranks(self.ranks)
         self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.table, self.bytes = Pairs(self.pairs), np.array(self.single, dtype=np.int64)
         self.find = regex.compile(pattern).findall
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        #: By word, without the space before it: the ids as text and the bytes they decode to.
+        self.young: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def piece(self, text: str) -> list[int]:
         """Ids of a text, its pre-tokens merged separately."""
-        found = self.find(text)
-        if len(found) == 1:
-            return merge(text.encode(), self.ranks, self.pairs, self.single)
-        return [i for token in found for i in self.cached(token)]
-
-    def cached(self, text: str) -> list[int]:
-        ids = self.young.get(text)
-        if ids is None:
-            ids = self.old.pop(text, None)
-            if ids is None:
-                ids = self.piece(text)
-            if len(text) <= 64:
-                if len(self.young) >= CACHE:
-                    self.old, self.young = self.young, {}
-                self.young[text] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+        return [i for token in self.find(text) for i in self.merged(token)]
+
+    def merged(self, token: str) -> list[int]:
+        return merge(token.encode(), self.ranks, self.pairs, self.single)
+
+    def word(self, word: str) -> tuple[str, bytes]:
+        """Ids as text and decoded bytes of a space and a word."""
+        found = self.old.pop(word, None)
+        if found is None:
+            tokens = self.find(" " + word)
+            if len(tokens) > 1 and tokens[0] != " ":  # a word with marks: the word itself is often known
+                known = self.young.get(tokens[0][1:]) or self.word(tokens[0][1:])
+                ids = [i for token in tokens[1:] for i in self.merged(token)]
+                found = f"{known[0]} {' '.join(map(str, ids))}", known[1] + self.decode(ids)
+            else:
+                ids = [i for token in tokens for i in self.merged(token)]
+                found = " ".join(map(str, ids)), self.decode(ids)
+        if len(word) <= LONGEST:
+            self._keep(word, found)
+        return found
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Put the words of some texts that are new into the cache, merging them together."""
+        new: dict[str, None] = {}
+        for text in texts:
+            if not UNSAFE.search(text):
+                for word in text.split(" ")[1:]:
+                    if word not in self.young and len(word) <= LONGEST:
+                        new[word] = None
+                if len(new) >= TOGETHER:
+                    self._merge_words(list(new))
+                    new = {}
+        self._merge_words(list(new))
+
+    def _merge_words(self, words: list[str]) -> None:
+        found = [self.find(" " + w) for w in words if w not in self.old]
+        # the word itself, without marks around it
+        bare = list(dict.fromkeys(t[0] for t in found if t and t[0][1:] not in self.young and t[0][1:] not in self.old and t[0] != " "))
+        pieces = [t.encode() for t in bare]
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = iter(merge_many([p for p, w in zip(pieces, whole) if w is None], self.table, self.bytes))
+        for token, known in zip(bare, whole):
+            ids = [known] if known is not None else next(rest)
+            self._keep(token[1:], (" ".join(map(str, ids)), self.decode(ids)))
+
+    def _keep(self, word: str, found: tuple[str, bytes]) -> None:
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        self.young[word] = found
+
+    def written(self, text: str) -> tuple[str, bytes]:
+        """The ids of a text joined by spaces, and the bytes that they decode to."""
         if UNSAFE.search(text):
-            return [i for token in self.find(text) for i in self.cached(token)]
+            ids = self.piece(text)
+            return " ".join(map(str, ids)), self.decode(ids)
         first, *rest = text.split(" ")
-        ids = list(self.cached(first)) if first else []
-        get = self.young.get
+        get, make, parts = self.young.get, self.word, []
+        if first:
+            ids = self.piece(first)
+            parts.append((" ".join(map(str, ids)), self.decode(ids)))
         for word in rest:
-            word = " " + word
-            ids += get(word) or self.cached(word)
-            get = self.young.get
-        return ids
+            found = get(word)
+            if found is None:
+                found = make(word)
+                get = self.young.get
+            parts.append(found)
+        return " ".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+
+    def encode(self, text: str) -> list[int]:
+        return list(map(int, self.written(text)[0].split()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(vocabulary: str, pattern: str) -> Codec:
+    """The codec of a rank file, given by its path or by the name of a public tokenizer, which each worker looks up for itself."""
+    if not os.path.isabs(vocabulary):
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(vocabulary)
+    return Codec(vocabulary, pattern)
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the ids themselves: ``doc_id, ids array<int>``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path, pattern)
+        own = codec(vocabulary, pattern)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf[id_col], "ids": [own.encode(t or "") for t in pdf[text_col]]})
+            yield pd.DataFrame({"id_": pdf["id_"], "no_id": pdf["no_id"], "ids": [own.encode(t or "") for t in pdf["text"]]})
 
-    return docs.select(id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(*flagged(id_col), F.col(text_col).alias("text")).mapInPandas(run, "id_ long, no_id boolean, ids array<int>").select(unflagged("doc_id"), "ids")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode and digest every text without keeping the ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path, pattern)
-        names = list(map(str, range(max(own.tokens) + 1)))
+        own = codec(vocabulary, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for pdf in batches:
             rows = []
-            for text in pdf[text_col]:
-                ids = own.encode(text or "")
-                rows.append((len(ids), sha(" ".join(map(names.__getitem__, ids)).encode()), sha(own.decode(ids))))
+            own.learn(t for t in pdf["text"] if t)
+            for text in pdf["text"]:
+                ids, decoded = own.written(text or "")
+                rows.append((ids.count(" ") + 1 if ids else 0, sha(ids.encode()), sha(decoded)))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf[id_col].astype("Int64").to_numpy())
-            yield out
+            yield out.assign(id_=pdf["id_"].to_numpy(), no_id=pdf["no_id"].to_numpy())
 
-    return docs.select(id_col, text_col).mapInPandas(run, SCHEMA)
+    rows = docs.select(*flagged(id_col), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
+    return rows.select(unflagged("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_bpe(spark, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return digests(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary, public_tokenizers.PATTERN)
