@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,9 @@ def test_bpe_merge_on_any_rank_table():
         while best := min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None):
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         assert bpe.merge(piece, ranks, bpe.pair_ranks(ranks), list(range(256))) == [ranks[x] for x in parts]
+        pieces = [piece, b"", piece[:7], piece[3:30], b"a", piece[::-1]]
+        alone = [bpe.merge(p, {}, bpe.pair_ranks(ranks), list(range(256))) for p in pieces]
+        assert bpe.merge_many(pieces, bpe.Pairs(bpe.pair_ranks(ranks)), np.arange(256)) == alone
 
 
 def test_sharding(edge, spark):
