@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
+from . import bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_warc": warc.op10_warc,
+        "op13_token_counts": token_counts.op13_token_counts,
     }
 
 
