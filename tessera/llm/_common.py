@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ WORD_SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-#: Lists that take the folder of every table staged while they are open.
-_OPEN: list[list[str]] = []
+#: Lists that take the folder of every table staged while they are open, by thread.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("_OPEN", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +42,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    for names in _OPEN:
+    for names in _OPEN.get():
         names.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,11 +50,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def listing(folders: list[str]) -> Iterator[None]:
     """Add the folder of every table staged in this block to ``folders``."""
-    _OPEN.append(folders)
+    token = _OPEN.set((*_OPEN.get(), folders))
     try:
         yield
     finally:
-        _OPEN.pop()
+        _OPEN.reset(token)
 
 
 def delete(spark: SparkSession, folders: Iterable[str]) -> None:
