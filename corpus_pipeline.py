@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from raw documents to packed bins.
 
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``
-for the rows they keep. A stage's result is written and read again before the next stage starts, so each
-stage first deletes what the stages before it have staged, unless ``docs`` still reads it.
+for the rows they keep. A stage called by itself deletes nothing that its result reads; ``run`` writes each result
+and then deletes what that stage has staged on the way, and the result itself once the next one is written.
 
 In every stage a null text is an empty one, columns besides those of ``documents`` are left out whatever their names, and an
 empty table gives no rows. Repeated rows are judged alike in the first two stages; of the rest each stage says what becomes of
@@ -11,8 +11,6 @@ nulls, ties and repeated rows.
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,42 +24,19 @@ from tessera.llm.suffix_dedup import remove_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of the shortest passage that may not repeat.
 PASSAGE = 51
-#: Folders of the tables that the stages of the present run have staged so far.
-_LEFT: list[str] = []
-
-
-def stage(function):
-    """The stage with its staged tables listed, and those of the stages before it deleted once it starts."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if function.__name__ == "rules_stage":
-            _LEFT.clear()  # a new run; what an earlier one has left may still be read
-        elif _LEFT:
-            read = docs.inputFiles()  # none where the rows are cached or in memory; then nothing is deleted
-            gone = [f for f in _LEFT if read and not any(f.rsplit("/", 1)[1] in r for r in read)]
-            delete(spark, gone)
-            _LEFT[:] = [f for f in _LEFT if f not in gone]
-        with listing(_LEFT):
-            return function(spark, docs, sf_dir)
 
-    return run_stage
 
-
-@stage
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and stay near their language's reference. A null language is one of its own."""
     return quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
-@stage
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are neither toxic nor of low quality. A null source or language is a site of its own; without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs.select(*COLUMNS), labels).where("kept").select(*COLUMNS)
 
 
-@stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group, at five words and similarity 0.8.
 
@@ -72,7 +47,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
-@stage
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 400 bytes and passages of over 50 words that occur twice; a text of which nothing is left goes.
 
@@ -83,7 +57,6 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return cut.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
-@stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every text with its bin. A null source never conflicts; repeated rows go to separate bins."""
     return pack(docs)
@@ -102,14 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each but the last written to the shared folder and read again."""
-    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for k, (_, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            folders: list[str] = []
-            with listing(folders):
-                docs = staged(docs, f"stage{k}")
-            delete(spark, written)
-            written = folders
-    return docs
+    """All stages in order, each but the last written to the shared folder and read again.
+
+    Only tables of this run are deleted, so several may run in one session.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, function in STAGES[:-1]:
+        folders: list[str] = []
+        with listing(folders):
+            docs = staged(function(spark, docs, sf_dir), "stage")
+        delete(spark, [*before, *folders[:-1]])
+        before = folders[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
