@@ -68,7 +68,7 @@ def test_blocks_of_sources(spark, monkeypatch):
 
 
 def test_a_task_hands_on_what_it_can_not_hold(monkeypatch):
-    batches = [pa.record_batch([pa.array(["en", "fr"]), pa.array(["a", "a"]), pa.array([f"x y{k} x", "z"])], names=["lang", "source", "text"]) for k in range(9)]
+    batches = [pa.record_batch([pa.array(["en", "fr"]), pa.array(["a", "a"]), pa.array([f"x y{chr(98 + k)} x", "z"])], names=["lang", "source", "text"]) for k in range(9)]
     sums = lambda out: (len(out), pa.Table.from_batches(out).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).sort_by([("lang", "ascending"), ("term", "ascending")]))
     n, whole = sums(list(source_divergence.counted(iter(batches))))
     monkeypatch.setattr(source_divergence, "HELD", 5)
