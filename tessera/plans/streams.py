@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import core
 from ..sources.tables import table
-from ..streaming import state
+from ..streaming import expiring, state
 from ._catalog import Register
 
 query = Register()
@@ -128,3 +128,36 @@ def circadian_bands(spark, sf):
 @query("SELECT event_id, coalesce((props::JSON ->> 'k')::BIGINT, 0) AS k FROM events")
 def json_field(spark, sf):
     return _events(spark, sf).select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).alias("k"))
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_type, coalesce(trim(props, ' '), '') AS content, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL),
+r AS (
+  SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS last, 0::BIGINT AS n, []::STRUCT(id BIGINT, s VARCHAR, c VARCHAR, a BIGINT)[] AS buf, NULL::BIGINT AS id, NULL::BIGINT AS size, NULL::BIGINT AS first_id, NULL::BIGINT AS last_id
+  FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, k, us, n, CASE WHEN fires THEN held[-10:] ELSE held END, event_id, CASE WHEN fires THEN len(held) END, CASE WHEN fires THEN held[1].id END, CASE WHEN fires THEN held[-1].id END
+  FROM (
+    SELECT *, n % 30 = 0 AND len(held) > 0 AS fires FROM (
+      SELECT *, CASE WHEN content = '' OR len(list_filter(old, lambda x: x.s = event_type AND x.c = content AND x.a = us)) > 0 THEN old
+        ELSE list_append(old, {'id': event_id, 's': event_type, 'c': content, 'a': us})[-60:] END AS held
+      FROM (
+        SELECT e.user_id, e.k, e.us, e.event_id, e.event_type, e.content, CASE WHEN fresh THEN 1 ELSE r.n + 1 END AS n, CASE WHEN fresh THEN [] ELSE r.buf END AS old
+        FROM (SELECT r.*, e.us AS next_us, coalesce(e.us >= r.last + 604800000000, false) AS fresh FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) r
+        JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))))
+SELECT user_id AS channel, id, n, size, first_id, last_id FROM r WHERE size IS NOT NULL""")
+def topic_buffer(spark, sf):
+    """Each channel's rolling buffer at every thirtieth message: its size before the trim, and its oldest and newest message."""
+    rows = _events(spark, sf).select("user_id", "ts", "event_id", F.col("event_type").alias("speaker"), F.col("props").alias("content"))
+    found = expiring.fold_table(rows, expiring.TopicBuffer(), "user_id", "ts", "event_id")
+    return found.select(F.col("key").cast("long").alias("channel"), "id", "n", "size", "first_id", "last_id")
+
+
+@query("""WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 7 day, false)::INT AS fresh FROM events WHERE event_type IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM g)
+SELECT event_type, event_id AS id, least(row_number() OVER w, 100) AS kept, first_value(event_id) OVER (PARTITION BY event_type, run ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS oldest_id
+FROM i WINDOW w AS (PARTITION BY event_type, run ORDER BY ts, event_id)""")
+def bounded_history(spark, sf):
+    """After each trace how many of its kind are kept, 100 at most and none across a pause of a week, and the oldest of them."""
+    found = expiring.fold_table(_events(spark, sf).select("event_type", "ts", "event_id"), expiring.History(), "event_type", "ts", "event_id")
+    return found.withColumnRenamed("key", "event_type")
