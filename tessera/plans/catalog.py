@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import asks, context, conversation, corpus, markup, moods, plugins, quality, retrieval, storage, streams
+from . import asks, context, conversation, corpus, markup, moods, plugins, quality, retrieval, storage, streams, tagging
 
-MODULES = (retrieval, conversation, corpus, streams, markup, quality, storage, asks, context, moods, plugins)
+MODULES = (retrieval, conversation, corpus, streams, markup, quality, storage, asks, context, moods, plugins, tagging)
 
 
 def queries() -> dict:

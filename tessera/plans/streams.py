@@ -9,6 +9,7 @@ from ..functions import scores
 from ..operators import core
 from ..sources.tables import table
 from ..streaming import expiring, state
+from ..streaming import json_field as fields
 from ._catalog import Register
 
 query = Register()
@@ -161,3 +162,20 @@ def bounded_history(spark, sf):
     """After each trace how many of its kind are kept, 100 at most and none across a pause of a week, and the oldest of them."""
     found = expiring.fold_table(_events(spark, sf).select("event_type", "ts", "event_id"), expiring.History(), "event_type", "ts", "event_id")
     return found.withColumnRenamed("key", "event_type")
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') AS reply, length(coalesce(text, ''))::INT AS n_chars FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL")
+def streamed_reply(spark, sf):
+    """Each turn as the reply of a model: a JSON object, cut into fragments, whose field is read by the automaton and put together.
+
+    Decoys hold the field's name in a string and in an inner object, and a letter is written as an escape, in the key too.
+    """
+    said = table(spark, sf, "conversations").where("conv_id is not null and turn is not null")
+    parts = [F.lit('say "response": "no"').alias("note"), F.struct(F.lit("inner").alias("response")).alias("meta"), F.array(F.lit("response")).alias("list")]
+    whole = F.replace(F.to_json(F.struct(*parts, F.coalesce("text", F.lit("")).alias("response"), "role")), F.lit("o"), F.lit("\\u006f"))
+    fragments = fields.cut(said.select("conv_id", "turn", whole.alias("json")), "json", ["conv_id", "turn"])
+    pieces = fields.field_table(fragments, "response", ["conv_id", "turn"], "seq", "fragment").where("piece <> ''")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    reply = F.array_join(F.transform(ordered, lambda x: x["piece"]), "")
+    replies = said.select("conv_id", "turn").join(pieces.groupBy("conv_id", "turn").agg(reply.alias("reply")), ["conv_id", "turn"], "left")
+    return replies.select("conv_id", "turn", F.coalesce("reply", F.lit("")).alias("reply"), F.length(F.coalesce("reply", F.lit(""))).alias("n_chars"))
