@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import core
+from ..operators import core, vector_index
+from ..sources import sinks
 from ..sources.tables import table
 from ._catalog import Register
 
@@ -124,6 +125,31 @@ def fact_memory_join(spark, sf):
     return core.top_k(near.select(F.col("q_id").alias("fact_id"), F.col("vec_id").alias("memory_id"), "sim"), ["fact_id"], [F.desc("sim"), "memory_id"], 3)
 
 
+def _index(spark, sf) -> vector_index.VectorIndex:
+    path = sinks.scratch(spark, "vectors")
+    vector_index.build(table(spark, sf, "embeddings"), path, cell_rows=64)
+    return vector_index.VectorIndex(spark, path)
+
+
+@query(f"""SELECT * FROM (SELECT q.vec_id AS q_id, v.vec_id, {SIM} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIM} DESC, v.vec_id) AS rank
+FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 20 = 0) WHERE rank <= 15""")
+def indexed_knn(spark, sf):
+    """The 15 nearest of each query within its label, through a stored index; the same rows as a search of everything."""
+    found = _index(spark, sf).search(table(spark, sf, "embeddings").where("vec_id % 20 = 0"), 15)
+    return found.select("q_id", F.col("id").alias("vec_id"), "sim", "rank")
+
+
+@query(f"""WITH q AS (SELECT vec_id AS q_id, CASE WHEN vec_id % 40 = 0 THEN label + 1000 ELSE label END AS wanted, embedding FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.q_id, v.vec_id, v.label = q.wanted AS fits, {SIM} AS sim, bool_or(v.label = q.wanted) OVER (PARTITION BY q.q_id) AS passed FROM q, embeddings v)
+SELECT q_id, vec_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS rank FROM s WHERE fits OR NOT passed) WHERE rank <= 5""")
+def filtered_knn(spark, sf):
+    """The 5 nearest that pass a query's filter; a filter that nothing passes, as that of every second query here, is dropped."""
+    wanted = F.when(F.col("vec_id") % 40 == 0, F.col("label") + 1000).otherwise(F.col("label"))
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").withColumn("label", wanted)
+    found = _index(spark, sf).search(asked, 5, relax=True)
+    return found.select("q_id", F.col("id").alias("vec_id"), "sim", "rank")
+
+
 @query("SELECT label AS collection, count(*) AS points, min(len(embedding))::BIGINT AS dim_low, max(len(embedding))::BIGINT AS dim_high FROM embeddings GROUP BY label")
 def collection_status(spark, sf):
     v = table(spark, sf, "embeddings").withColumn("dim", F.size("embedding").cast("long"))
