@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import core, vector_index
+from ..operators import core, text_index, vector_index
 from ..sources import sinks
 from ..sources.tables import table
 from ._catalog import Register
@@ -339,6 +339,20 @@ def recall_by_category(spark, sf):
     return _gold_hits(spark, sf).groupBy((F.col("item_id") % 4).alias("category")).agg(F.count("*").alias("n"), F.round(share, 6).alias("recall_5"), (share >= 0.95).alias("passed"))
 
 
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, length(bin((SELECT count(DISTINCT doc_id) FROM documents) // count(*))) AS rarity FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark)),
+s AS (SELECT item_id, doc_id, sum(rarity * (10 * tf // (tf + 1)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) GROUP BY ALL)
+SELECT item_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def keyword_search(spark, sf):
+    """The ten best documents for each benchmark text by its words, through the stored index."""
+    path = sinks.scratch(spark, "words")
+    text_index.build(table(spark, sf, "documents"), path, "doc_id", text.words(F.col("text")))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), text.words(F.col("text")).alias("terms"))
+    found = text_index.TextIndex(spark, path).search(asked, 10)
+    return found.select(F.col("q_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query("""WITH w(cfg, a, b) AS (VALUES (1, 0.8, 0.2), (2, 0.6, 0.4), (3, 0.5, 0.5)), t(th) AS (VALUES (100000.0), (150000.0), (200000.0), (250000.0)),
 s AS (SELECT cfg, th, avg((a * o_totalprice + b * o_custkey >= th)::INT) AS hit FROM orders, w, t GROUP BY cfg, th)
 SELECT cfg, th::DOUBLE AS th, round(0.5 * hit + 0.5 * hit * hit, 6) AS score FROM s ORDER BY round(0.5 * hit + 0.5 * hit * hit, 6) DESC, cfg, th LIMIT 3""")
