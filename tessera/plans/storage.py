@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import core
-from ..sources import sinks
+from ..sources import ledger, sinks
 from ..sources.tables import read_jsonl, table, write_jsonl
 from ._catalog import Literal, Register
 
@@ -326,3 +326,52 @@ def unchanged_pages(spark, sf):
     new = docs.select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
     old = docs.where("doc_id % 4 <> 0").select("doc_id", F.md5("text").alias("old"), (F.col("doc_id") % 4 != 3).alias("processed"))
     return new.join(old, "doc_id", "left").select("doc_id", F.coalesce((F.col("old") == F.col("h")) & F.col("processed"), F.lit(False)).alias("unchanged"))
+
+
+def _ledger(spark, sf) -> ledger.Ledger:
+    """Customers as users, their orders as conversations and the lines of those as messages, in one ledger."""
+    log = ledger.Ledger(spark, sinks.scratch(spark, "ledger"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    with log.change() as change:
+        change.create("users", table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
+        change.create("conversations", orders)
+        change.create("messages", table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("l_custkey"), "l_quantity"))
+    return log
+
+
+@query("""WITH g AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (FROM g)), m AS (SELECT l.*, o_custkey FROM lineitem l JOIN o ON l_orderkey = o_orderkey)
+SELECT 'users' AS part, count(*) AS n, sum(c_custkey)::BIGINT AS keys, 2 AS version FROM customer WHERE c_custkey NOT IN (FROM g)
+UNION ALL SELECT 'conversations', count(*), sum(o_orderkey)::BIGINT, 2 FROM o UNION ALL SELECT 'messages', count(*), sum(l_orderkey * 8 + l_linenumber)::BIGINT, 2 FROM m""")
+def ledger_cascade(spark, sf):
+    """All that belongs to the users of one nation goes from three tables in one commit."""
+    log = _ledger(spark, sf)
+    with log.change() as change:
+        gone = log.read("users").where("c_nationkey = 7").select("c_custkey")
+        for name, key in (("users", "c_custkey"), ("conversations", "o_custkey"), ("messages", "l_custkey")):
+            change.delete(name, gone.toDF(key))
+    state = log.state()
+    sums = {"users": F.col("c_custkey"), "conversations": F.col("o_orderkey"), "messages": F.col("l_orderkey") * 8 + F.col("l_linenumber")}
+    parts = [log.read(name, state=state).agg(F.count("*").alias("n"), F.sum(key).alias("keys")).select(F.lit(name).alias("part"), "n", "keys") for name, key in sums.items()]
+    return parts[0].union(parts[1]).union(parts[2]).withColumn("version", F.lit(state.version))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN n ELSE 0 END AS n_turns, CASE WHEN c_custkey % 5 = 0 AND n > 0 THEN last END AS last_turn
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0 OR n IS NOT NULL
+UNION ALL SELECT c_custkey, 0, NULL FROM customer WHERE c_custkey % 5 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def turn_persistence(spark, sf):
+    """Turns of every fifth user in two batches: the turns are appended and the users' counters raised in one commit; the second batch comes twice."""
+    log = ledger.Ledger(spark, sinks.scratch(spark, "ledger"))
+    turns = table(spark, sf, "orders").where("o_custkey % 5 = 0").select("o_orderkey", "o_custkey")
+    with log.change() as change:
+        change.create("turns", turns.limit(0))
+        change.create("users", table(spark, sf, "customer").select("c_custkey", F.lit(0).cast("long").alias("n_turns"), F.lit(None).cast("long").alias("last_turn")))
+    for batch in (0, 1, 1):
+        with log.change("chat", batch) as change:
+            if change is None:
+                continue
+            part = turns.where(F.col("o_orderkey") % 2 == batch)
+            change.append("turns", part)
+            more = part.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("m"), F.max("o_orderkey").alias("l"))
+            counted = log.read("users", state=change.base).join(more, "c_custkey")
+            change.upsert("users", counted.select("c_custkey", (F.col("n_turns") + F.col("m")).alias("n_turns"), F.greatest("last_turn", "l").alias("last_turn")), ["c_custkey"])
+    return log.read("users")
