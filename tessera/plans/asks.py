@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import core
 from ..sources.tables import table
+from . import retrieval
 from ._catalog import Literal, Register, case_sql, chain, chain_sql, quoted
 
 query = Register()
@@ -168,16 +169,20 @@ def message_split(spark, sf):
 _TOK = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(g.text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3)))[1:6]"
 
 
-@query(f"""WITH q AS (SELECT item_id, {_TOK} AS toks FROM benchmark g), s AS (SELECT item_id, doc_id, substr(text, 1, 300) AS snip, toks, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS pos FROM q JOIN documents ON doc_id % 40 = item_id % 40),
+@query(f"""WITH {retrieval.WORDS_SQL}, q AS (SELECT item_id, {_TOK} AS toks FROM benchmark g), s AS (SELECT item_id, doc_id, substr(text, 1, 300) AS snip, toks, found.rank AS pos FROM q JOIN found USING (item_id) JOIN documents USING (doc_id) WHERE found.rank <= 20),
 g AS (SELECT *, row_number() OVER (PARTITION BY item_id, substr(snip, 1, 80) ORDER BY pos) = 1 AS fresh, length(snip) >= 30 AS long_, len(toks) < 3 OR len(list_filter(toks, lambda t: contains(lower(snip), t))) > 0 AS near FROM s),
 f AS (SELECT *, long_ AND fresh AND near AS good, bool_or(long_ AND fresh AND near) OVER (PARTITION BY item_id) AS any_ FROM g),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS rank FROM f WHERE good OR (NOT any_ AND fresh)) SELECT item_id, doc_id, rank FROM k WHERE rank <= 4""")
 def snippet_filter(spark, sf):
-    """The first four good snippets of each question: long enough, new in their first 80 characters and sharing a word; all new ones where none is good."""
+    """Of the twenty results of each question, searched among all documents, the first four good snippets: long enough, new in their first 80 characters and sharing a word; all new ones where none is good.
+
+    A snippet is the 300 characters that a result shows.
+    """
     toks = F.slice(F.sort_array(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("gold"), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)), lambda w: F.length(w) >= 3))), 1, 6)
-    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold")).select("item_id", toks.alias("toks"), (F.col("item_id") % 40).alias("k"))
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("snip"), (F.col("doc_id") % 40).alias("k")).join(q, "k")
-    rows = core.ranked(core.ranked(rows, ["item_id"], ["doc_id"], "pos"), ["item_id", F.substring("snip", 1, 80)], ["pos"], "same")
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold")).select("item_id", toks.alias("toks"))
+    results = retrieval.by_words(spark, sf, 20).withColumnRenamed("rank", "pos").join(q, "item_id")
+    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("snip")).join(results, "doc_id")
+    rows = core.ranked(rows, ["item_id", F.substring("snip", 1, 80)], ["pos"], "same")
     near = (F.size("toks") < 3) | F.exists("toks", lambda t: F.contains(F.lower("snip"), t))
     rows = rows.withColumn("fresh", F.col("same") == 1).withColumn("good", (F.length("snip") >= 30) & F.col("fresh") & near)
     rows = rows.withColumn("any_", F.bool_or("good").over(Window.partitionBy("item_id")))
@@ -222,9 +227,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY sim DESC, memor
 SELECT vec_id AS fact_id, CASE WHEN sim >= 0.85 THEN 'DUPLICATE' WHEN sim >= 0.3 THEN 'CONTRADICT' ELSE 'KEEP_BOTH' END AS decision, CASE WHEN sim >= 0.3 THEN candidate END AS replaces FROM embeddings LEFT JOIN m ON vec_id = fact_id WHERE vec_id % 20 = 0""")
 def conflict_reconciliation(spark, sf):
     """New facts against their best stored candidates: a duplicate is dropped, a near one replaced, anything else kept beside; without a candidate both stay."""
-    from . import retrieval
-
-    near = core.top_k(retrieval._searched(spark, sf, 3, scoped=True, least=0.1, itself=False), ["q_id"], [F.desc("sim"), "vec_id"], 3, "k")
+    near = core.top_k(retrieval.searched(spark, sf, 3, scoped=True, least=0.1, itself=False), ["q_id"], [F.desc("sim"), "vec_id"], 3, "k")
     best = near.groupBy(F.col("q_id").alias("fact_id")).agg(F.min_by("vec_id", "k").alias("candidate"), F.max("sim").alias("sim"))
     facts = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("fact_id"))
     decision = F.when(F.col("sim") >= 0.85, "DUPLICATE").when(F.col("sim") >= 0.3, "CONTRADICT").otherwise("KEEP_BOTH")
@@ -290,12 +293,12 @@ def sequential_guard(spark, sf):
     return grouped.select("q", "n", ((F.col("n") >= 2) & (F.col("parts") == F.sort_array("parts"))).alias("sequential"))
 
 
-@query("""WITH h AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND NOT starts_with(text, '{') THEN '{"response":' || to_json(text) || '}' ELSE text END AS wrapped FROM conversations) SELECT conv_id, turn, starts_with(wrapped, '{"response":') AS wrapped, length(wrapped) >= 0 AS ok FROM h""")
+@query("""WITH h AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND NOT starts_with(text, '{') THEN '{"response":' || to_json(text) || '}' ELSE text END AS wrapped FROM conversations) SELECT conv_id, turn, starts_with(wrapped, '{"response":') AS wrapped, md5(wrapped) AS digest FROM h""")
 def history_wrapping(spark, sf):
     """Replies in a history are wrapped as JSON unless they are JSON already."""
     wrap = (F.col("role") == "assistant") & ~F.col("text").startswith("{")
     doc = F.when(wrap, F.to_json(F.struct(F.col("text").alias("response")))).otherwise(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", doc.startswith('{"response":').alias("wrapped"), (F.length(doc) >= 0).alias("ok"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", doc.startswith('{"response":').alias("wrapped"), F.md5(doc).alias("digest"))
 
 
 REPLIES = Literal("replies", "id long, raw string", [

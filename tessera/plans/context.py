@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import core
 from ..sources.tables import table
+from . import retrieval
 from ._catalog import Literal, Register, case_sql, quoted
 
 query = Register()
@@ -55,17 +56,14 @@ def any_match_fallback(spark, sf):
     return rows.where("hit or not any_").select("q", "id", (~F.col("any_")).alias("relaxed"))
 
 
-@query("""WITH i AS (SELECT vec_id, label, vec_id % 3 = 0 AS community, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)::DOUBLE[]), 4) AS score FROM embeddings WHERE vec_id % 11 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY community, label ORDER BY score DESC, vec_id) AS k FROM i WHERE score >= 0.05) SELECT community, label, vec_id, score FROM r WHERE k <= 5""")
+@query(f"""WITH {retrieval.PAIRS}, i AS (SELECT q_id, vec_id % 3 = 0 AS community, label, vec_id, sim FROM s WHERE sim >= 0.05 AND vec_id IN (SELECT page_id FROM pages)),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id, community, label ORDER BY sim DESC, vec_id) AS k FROM i) SELECT q_id, community, label, vec_id, sim FROM r WHERE k <= 5""")
 def image_memories(spark, sf):
-    """Images whose file still exists, by cosine to the newest request, in a community's scope or a user's own: the best five of each."""
-    from ..functions import scores
-
-    v = table(spark, sf, "embeddings")
-    files = v.where("vec_id % 11 <> 0").select("vec_id")
-    probe = v.agg(F.min_by("embedding", "vec_id").alias("q"))
-    rows = v.join(files, "vec_id", "left_semi").crossJoin(F.broadcast(probe)).select("vec_id", "label", (F.col("vec_id") % 3 == 0).alias("community"), F.round(scores.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
-    return core.top_k(rows.where("score >= 0.05"), ["community", "label"], [F.desc("score"), "vec_id"], 5, "k").select("community", "label", "vec_id", "score")
+    """Images whose page still exists, by cosine to each request, in a community's scope or a user's own: the best five of each."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("vec_id"))
+    images = table(spark, sf, "embeddings").join(pages, "vec_id", "left_semi")
+    near = [retrieval.searched(spark, sf, 5, by_label=True, least=0.05, among=images.where(cond)).withColumn("community", F.lit(shared)) for cond, shared in (("vec_id % 3 = 0", True), ("vec_id % 3 <> 0", False))]
+    return core.top_k(near[0].union(near[1]), ["q_id", "community", "label"], [F.desc("sim"), "vec_id"], 5, "k").select("q_id", "community", "label", "vec_id", "sim")
 
 
 @query("""WITH s AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role <> 'system' AND NOT starts_with(text, '!') AND length(trim(text)) > 0)
@@ -302,11 +300,21 @@ def stages(rows: DataFrame, *functions) -> DataFrame:
     return reduce(DataFrame.transform, functions, rows)
 
 
-@query("SELECT item_id, 16 AS dim, 1.0::DOUBLE AS norm FROM benchmark WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
+def _crc(x: str) -> str:
+    """CRC-32 of a text in SQL: its UTF-8 bytes, each followed by eight shifts."""
+    data = f"list_transform(range(1, strlen({x}) + 1), lambda i: ('0x' || substr(hex(encode({x})), 2 * i - 1, 2))::BIGINT)"
+    steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform({data}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda a, y: CASE WHEN y >= 0 THEN xor(a, y) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower('passage: ' || text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM benchmark WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}_]')),
+h AS (SELECT w, {_crc("w")} % 16 AS slot, CASE WHEN {_crc("w || '#'")} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (SELECT DISTINCT w FROM w)),
+s AS (SELECT item_id, slot, sum(sign) AS x FROM w JOIN h USING (w) GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY item_id)
+SELECT i.item_id, k::INT AS slot, CASE WHEN norm > 0 THEN round(coalesce(x, 0) / norm, 6) ELSE 0 END::DOUBLE AS value FROM (SELECT item_id, norm, unnest(range(16)) AS k FROM n) i LEFT JOIN s ON s.item_id = i.item_id AND s.slot = k""")
 def embedding_stage(spark, sf):
-    """Embeds every passage; the vectors have length one."""
+    """Embeds every passage; each component of each vector."""
     rows = stages(table(spark, sf, "benchmark"), lambda df: df.where(F.regexp_like("text", F.lit("[\\p{L}\\p{N}_]"))), embed)
-    return rows.select("item_id", F.size("vector").alias("dim"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    return rows.select("item_id", F.posexplode("vector").alias("slot", "x")).select("item_id", "slot", F.round(F.col("x") + 0.0, 6).alias("value"))
 
 
 #: Tools by name: what they are found by, and what they do to a message.
@@ -323,12 +331,12 @@ def tool_execution(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tool.alias("tool"), F.md5(result).alias("result"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations), l AS (SELECT conv_id, count(*) AS messages, string_agg(substr(text, 1, 40), ' | ' ORDER BY turn) AS summary FROM t WHERE k <= 100 GROUP BY conv_id)
+@query("""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations), l AS (SELECT conv_id, count(*) AS messages, string_agg(text, ' | ' ORDER BY turn) AS summary FROM t WHERE k <= 100 GROUP BY conv_id)
 SELECT conv_id, messages, md5(summary) AS summary, messages % 10 = 0 AS due FROM l""")
 def conversation_summary(spark, sf):
     """A stand-in summary of each talk's last hundred messages, and whether one is due after every ten."""
     last = core.top_k(table(spark, sf, "conversations"), ["conv_id"], [F.desc("turn")], 100, "k")
-    rows = last.groupBy("conv_id").agg(F.count("*").alias("messages"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("s")))), lambda x: x["s"]), " | ").alias("summary"))
+    rows = last.groupBy("conv_id").agg(F.count("*").alias("messages"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("s")))), lambda x: x["s"]), " | ").alias("summary"))
     return rows.select("conv_id", "messages", F.md5("summary").alias("summary"), (F.col("messages") % 10 == 0).alias("due"))
 
 

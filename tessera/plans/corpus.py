@@ -123,13 +123,14 @@ def url_rank(spark, sf):
     return core.top_k(good, ["site"], [F.desc("score"), "page_id"], 3)
 
 
-@query("""SELECT doc_id, CASE WHEN words < 15 OR length(text) < 20 OR (words < 45 AND regexp_matches(lower(text), 'license|copyright|cookie')) THEN 'drop' WHEN q BETWEEN 0.5 AND 0.7 THEN 'rewrite' ELSE 'keep' END AS gate, q AS quality
+@query("""SELECT doc_id, CASE WHEN words < 5 OR length(text) < 20 OR (words < 45 AND regexp_matches(lower(text), 'license|copyright|cookie')) THEN 'drop' WHEN q BETWEEN 0.5 AND 0.7 THEN 'rewrite' ELSE 'keep' END AS gate, q AS quality
 FROM (SELECT *, CASE WHEN words >= 30 AND NOT starts_with(text, '{') THEN 0.95 WHEN words >= 15 THEN 0.85 ELSE 0.7 END::DOUBLE AS q FROM (SELECT *, len(regexp_extract_all(text, '[^ \\t\\n]+')) AS words FROM documents))""")
 def chunk_gate(spark, sf):
+    """What becomes of a chunk; the least number of words is a setting of the gate, 5 here, so that short chunks of quality 0.7 reach the rewrite."""
     t, n = F.col("text"), F.col("words")
     rows = _docs(spark, sf).withColumn("words", text.word_count(t))
     rows = rows.withColumn("quality", F.when((n >= 30) & ~t.startswith("{"), 0.95).when(n >= 15, 0.85).otherwise(0.7))
-    drop = (n < 15) | (F.length(t) < 20) | ((n < 45) & F.regexp_like(F.lower(t), F.lit("license|copyright|cookie")))
+    drop = (n < 5) | (F.length(t) < 20) | ((n < 45) & F.regexp_like(F.lower(t), F.lit("license|copyright|cookie")))
     return rows.select("doc_id", F.when(drop, "drop").when(F.col("quality").between(0.5, 0.7), "rewrite").otherwise("keep").alias("gate"), "quality")
 
 
@@ -265,9 +266,9 @@ def mention_join(spark, sf):
     return core.mention_join(_docs(spark, sf).select("doc_id", "text"), "text", words, "word").select("doc_id", "word").distinct()
 
 
-@query("SELECT doc_id, [x FOR x IN ['a', 'b', lang, source] IF x <> 'b'] IS NOT NULL AS ok, array_to_string(list_sort(list_distinct([lang, source, 'a'])), ',') AS tags FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct([x FOR x IN ['a', 'b', lang, source] IF x <> 'b'])), ',') AS others, array_to_string(list_sort(list_distinct([lang, source, 'a'])), ',') AS tags FROM documents")
 def tag_union(spark, sf):
     """Ordered set operations on tag arrays."""
     tags = F.array_union(F.array("lang", "source"), F.array(F.lit("a")))
-    ok = F.array_except(F.array(F.lit("a"), F.lit("b"), F.col("lang"), F.col("source")), F.array(F.lit("b"))).isNotNull()
-    return _docs(spark, sf).select("doc_id", ok.alias("ok"), F.array_join(F.sort_array(tags), ",").alias("tags"))
+    others = F.array_except(F.array(F.lit("a"), F.lit("b"), F.col("lang"), F.col("source")), F.array(F.lit("b")))
+    return _docs(spark, sf).select("doc_id", F.array_join(F.sort_array(others), ",").alias("others"), F.array_join(F.sort_array(tags), ",").alias("tags"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import core
 from ..sources.tables import table
 from ..streaming import state
+from ..streaming import json_field as fields
 from ._catalog import Literal, Register, case_sql, quoted
 
 query = Register()
@@ -106,9 +107,9 @@ def local_times(spark, sf):
     return rows.select("event_id", shown.alias("shown"))
 
 
-@query(f"WITH {_STATE} SELECT a.user_id, round((greatest(0.0, 1.0 - abs(a.joy - b.joy)) + greatest(0.0, 1.0 - abs(a.sadness - b.sadness))) / 2, 6)::DOUBLE AS match, 0.5::DOUBLE AS without FROM s a JOIN s b ON b.user_id = a.user_id")
+@query(f"WITH {_STATE} SELECT a.user_id, round((greatest(0.0, 1.0 - abs(a.joy - b.joy)) + greatest(0.0, 1.0 - abs(a.sadness - b.sadness))) / 2, 6)::DOUBLE AS match FROM s a JOIN s b ON b.user_id = a.user_id + 1")
 def emotion_match(spark, sf):
-    """Mean closeness of two states over the channels that both have, 0.5 where they share none."""
+    """Mean closeness of a user's state and the next user's over the channels that both have, 0.5 where they share none."""
     shared = lambda a, b: F.array_intersect(F.map_keys(a), F.map_keys(b))
 
     def match(a: Column, b: Column) -> Column:
@@ -116,9 +117,10 @@ def emotion_match(spark, sf):
         return F.when(F.size(shared(a, b)) == 0, 0.5).otherwise(total / F.size(shared(a, b)))
 
     own = F.create_map(F.lit("joy"), "joy", F.lit("sadness"), "sadness", F.lit("trust"), "trust")
-    then = F.create_map(F.lit("joy"), "joy", F.lit("sadness"), "sadness", F.lit("comfort"), "comfort")
-    none = F.create_map(F.lit("other"), F.lit(1.0))
-    return _states(spark, sf).select("user_id", F.round(match(own, then), 6).alias("match"), F.round(match(own, none), 6).alias("without"))
+    theirs = F.create_map(F.lit("joy"), "joy", F.lit("sadness"), "sadness", F.lit("comfort"), "comfort")
+    states = _states(spark, sf)
+    others = states.select((F.col("user_id") - 1).alias("user_id"), theirs.alias("theirs"))
+    return states.select("user_id", own.alias("own")).join(others, "user_id").select("user_id", F.round(match(F.col("own"), F.col("theirs")), 6).alias("match"))
 
 
 #: Tokens of the three budgets, and their overrun.
@@ -239,10 +241,12 @@ def circuit_breaker(spark, sf):
     return state.breaker(table(spark, sf, "events"), failures=2, rest=3600.0)
 
 
-@query("""SELECT conv_id, string_agg(substr(text, 1, 5), '' ORDER BY turn) AS emitted FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(text, '' ORDER BY turn) AS emitted FROM conversations GROUP BY conv_id""")
 def incremental_field(spark, sf):
-    """A field's value as it comes in fragments: what all fragments up to the last one make."""
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 5).alias("part")))).alias("parts"))
-    doc = F.concat(F.lit('{"response": "'), F.array_join(F.transform("parts", lambda p: F.regexp_replace(F.regexp_replace(p["part"], "\\\\", "\\\\\\\\"), '"', '\\\\"')), ""), F.lit('"'))
-    closed = F.concat(F.replace(doc, F.lit("\n"), F.lit("\\n")), F.lit("}"))
-    return rows.select("conv_id", F.get_json_object(closed, "$.response").alias("emitted"))
+    """A whole conversation as one JSON field that comes in fragments: what all of them together give."""
+    said = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("said"))
+    whole = F.to_json(F.struct(F.array_join(F.transform("said", lambda x: x["text"]), "").alias("response")))
+    fragments = fields.cut(said.select("conv_id", whole.alias("json")), "json", ["conv_id"], 50)
+    pieces = fields.field_table(fragments, "response", ["conv_id"], "seq", "fragment")
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    return pieces.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("emitted"))

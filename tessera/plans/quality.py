@@ -295,13 +295,13 @@ def bilingual_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "source", (head == "").alias("first_empty"), n(head).alias("curated"), (n("text") - n(head)).alias("raw"), F.when(F.contains("text", F.lit("\n")), "curated+raw").otherwise("curated").alias("provenance"))
 
 
-@query("""WITH s AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents)
-SELECT doc_id, lag(doc_id) OVER w AS previous, coalesce(right(lag(text) OVER w, 100), '') || substr(text, 1, 20) AS overlapped FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")
+@query("""SELECT doc_id, lag(doc_id) OVER w AS previous, md5(coalesce(right(lag(text) OVER w, 100), '') || text) AS overlapped FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")
 def chunk_overlap(spark, sf):
-    """Each chunk begins with the last 100 characters of the chunk before it on its page."""
+    """Each chunk begins with the last 100 characters of the chunk before it on its page; only ids and those ends are put in order."""
+    docs = table(spark, sf, "documents")
     w = Window.partitionBy("source").orderBy("doc_id")
-    before = F.coalesce(F.right(F.lag("text").over(w), F.lit(100)), F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", F.lag("doc_id").over(w).alias("previous"), F.concat(before, F.substring("text", 1, 20)).alias("overlapped"))
+    before = docs.select("doc_id", F.lag("doc_id").over(w).alias("previous"), F.coalesce(F.lag(F.right("text", F.lit(100))).over(w), F.lit("")).alias("before"))
+    return docs.select("doc_id", "text").join(before, "doc_id").select("doc_id", "previous", F.md5(F.concat("before", "text")).alias("overlapped"))
 
 
 @query()

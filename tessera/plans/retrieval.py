@@ -36,12 +36,13 @@ def _blocks(rows):
     return rows.select("vec_id", "label", "embedding").mapInPandas(pack, "dim int, ids array<long>, labels array<int>, data binary")
 
 
-def _searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: bool = False, least: float | None = None, itself: bool = True):
+def searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: bool = False, least: float | None = None, itself: bool = True, among=None):
     """``q_id, label, vec_id, sim`` of the query set, every vector whose id is divisible by 20, against all vectors.
 
     Both sides meet block by block, so no task holds more than a block of each, and neither side is broadcast whole.
     With ``k`` a block pair gives only the best k of each query, or of each query and label; the first k of all
-    are among them. ``scoped`` compares within a label, ``least`` is a threshold, and ``itself`` keeps a query's own row.
+    are among them. ``scoped`` compares within a label, ``least`` is a threshold, ``itself`` keeps a query's own row, and
+    ``among`` are the vectors searched if not all.
     """
     v = table(spark, sf, "embeddings")
     q = _blocks(v.where("vec_id % 20 = 0")).toDF("q_dim", "q_ids", "q_labels", "q_data").coalesce(QUERY_PARTS)
@@ -76,7 +77,7 @@ def _searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: b
                     if len(r):
                         yield pd.DataFrame({"q_id": q_ids[r], "label": pd.array(labels[c], dtype="Int32"), "vec_id": ids[c], "sim": sims[r, c]})
 
-    return _blocks(v).crossJoin(q).mapInPandas(search, "q_id long, label int, vec_id long, sim double")
+    return _blocks(v if among is None else among).crossJoin(q).mapInPandas(search, "q_id long, label int, vec_id long, sim double")
 
 
 SIM = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -90,18 +91,18 @@ def _top(by: str, k: int) -> str:
 
 @query(f"WITH {PAIRS} SELECT q_id, vec_id, sim, rank FROM {_top('q_id', 15)}")
 def knn_topk(spark, sf):
-    near = _searched(spark, sf, 15).select("q_id", "vec_id", "sim")
+    near = searched(spark, sf, 15).select("q_id", "vec_id", "sim")
     return core.top_k(near, ["q_id"], [F.desc("sim"), "vec_id"], 15)
 
 
 @query(f"WITH {PAIRS} SELECT * FROM {_top('q_id, label', 5)}")
 def knn_per_collection(spark, sf):
-    return core.top_k(_searched(spark, sf, 5, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 5)
+    return core.top_k(searched(spark, sf, 5, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 5)
 
 
 @query(f"WITH {PAIRS} SELECT q_id, vec_id, sim FROM s WHERE label = q_label AND sim >= 0.05")
 def knn_threshold_scoped(spark, sf):
-    return _searched(spark, sf, scoped=True, least=0.05).select("q_id", "vec_id", "sim")
+    return searched(spark, sf, scoped=True, least=0.05).select("q_id", "vec_id", "sim")
 
 
 @query(f"""WITH a AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), q AS (SELECT a.label AS anchor, e.embedding FROM a JOIN embeddings e USING (vec_id)),
@@ -121,7 +122,7 @@ def anchor_argmax(spark, sf):
 FROM embeddings q JOIN embeddings v ON q.label = v.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND {SIM} >= 0.1) WHERE rank <= 3""")
 def fact_memory_join(spark, sf):
     """New facts against the memories of their scope: threshold and top 3; a fact isn't its own memory."""
-    near = _searched(spark, sf, 3, scoped=True, least=0.1, itself=False)
+    near = searched(spark, sf, 3, scoped=True, least=0.1, itself=False)
     return core.top_k(near.select(F.col("q_id").alias("fact_id"), F.col("vec_id").alias("memory_id"), "sim"), ["fact_id"], [F.desc("sim"), "memory_id"], 3)
 
 
@@ -156,55 +157,84 @@ def collection_status(spark, sf):
     return v.groupBy(F.col("label").alias("collection")).agg(F.count("*").alias("points"), F.min("dim").alias("dim_low"), F.max("dim").alias("dim_high"))
 
 
+#: ``found(item_id, doc_id, score, rank)``: all documents for each benchmark text by the rarity and frequency of its words.
+WORDS_SQL = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+wt AS (SELECT term, length(bin((SELECT count(DISTINCT doc_id) FROM documents) // count(*))) AS rarity FROM tf GROUP BY term),
+qt AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark)),
+sc AS (SELECT item_id, doc_id, sum(rarity * (10 * tf // (tf + 1)))::BIGINT AS score FROM qt JOIN tf USING (term) JOIN wt USING (term) GROUP BY ALL),
+found AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc)"""
+
+
+def by_words(spark, sf, k: int):
+    """``item_id, doc_id, score, rank``: the k best documents for each benchmark text by its words, through a stored index."""
+    path = sinks.scratch(spark, "words")
+    text_index.build(table(spark, sf, "documents"), path, "doc_id", text.words(F.col("text")))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), text.words(F.col("text")).alias("terms"))
+    found = text_index.TextIndex(spark, path).search(asked, k)
+    return found.select(F.col("q_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query(f"WITH {WORDS_SQL} SELECT item_id, doc_id, score, rank FROM found WHERE rank <= 10")
+def keyword_search(spark, sf):
+    return by_words(spark, sf, 10)
+
+
 # Words without weight and words of high value for the keyword score.
 STOP = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "was"]
 HIGH = ["license", "version"]
-QUERY_TEXT = "the license version of that tion"
 #: Words that count for others.
 SYNONYMS = {"license": ["lizenz", "licence"], "tion": ["version", "sion"]}
 
 
 def _keyword_sql(name: str, held: str) -> str:
-    """``name(doc_id, kw)``: the keyword score of an expression over documents."""
+    """``name(item_id, doc_id, kw)``: the keyword score of an expression over the documents in ``scored(item_id, doc_id)``."""
     there = lambda t: f"(contains(body, {t}) AND (contains({t}, ' ') OR length({t}) > 3 OR list_contains(bag, {t})))"
     pairs = [(w, o) for w, others in SYNONYMS.items() for o in others]
     some = " OR ".join(f"(t = '{w}' AND {there(chr(39) + o + chr(39))})" for w, o in pairs)
     high = " OR ".join(f"(t = '{w}' AND {there(chr(39) + o + chr(39))})" for w, o in pairs if o in HIGH) or "false"
-    return f"""{name} AS (SELECT doc_id, round(least(1.0, coalesce(sum(CASE WHEN {there("t")} OR {some} THEN CASE WHEN {high} THEN 2.0 ELSE plain END ELSE 0 END), 0) / greatest(2.0, (SELECT sum(wt) FROM con))), 6)::DOUBLE AS kw
-  FROM (SELECT doc_id, lower({held}) AS body, regexp_extract_all(lower({held}), '[\\p{{L}}\\p{{N}}_]+') AS bag FROM documents), con GROUP BY doc_id)"""
+    return f"""{name} AS (SELECT s.item_id, doc_id, round(least(1.0, coalesce(sum(CASE WHEN {there("t")} OR {some} THEN CASE WHEN {high} THEN 2.0 ELSE plain END ELSE 0 END), 0) / greatest(2.0, coalesce(sum(wt), 0))), 6)::DOUBLE AS kw
+  FROM (SELECT item_id, doc_id, lower({held}) AS body, regexp_extract_all(lower({held}), '[\\p{{L}}\\p{{N}}_]+') AS bag FROM scored JOIN documents USING (doc_id)) s LEFT JOIN con USING (item_id) GROUP BY s.item_id, doc_id)"""
 
 
-_TOKENS = "(SELECT regexp_extract_all(lower('" + QUERY_TEXT + "'), '[\\p{L}\\p{N}_]{2,}') AS w)"
 _RICH = [w for w, others in SYNONYMS.items() if set(others) & set(HIGH)]
 _HEADING = "source || ' ' || lang || ' version'"
-_GRAMS = f"""tok AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t FROM {_TOKENS}),
-con AS (SELECT t, CASE WHEN t IN ('{"', '".join(HIGH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS plain, CASE WHEN t IN ('{"', '".join(HIGH + _RICH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS wt FROM tok WHERE t NOT IN ('{"', '".join(STOP)}')),
-{_keyword_sql("kw", "text")}, {_keyword_sql("hd", _HEADING)}"""
+_GRAMS = f"""tok AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM benchmark)),
+con AS (SELECT item_id, t, CASE WHEN t IN ('{"', '".join(HIGH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS plain, CASE WHEN t IN ('{"', '".join(HIGH + _RICH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS wt FROM tok WHERE t NOT IN ('{"', '".join(STOP)}'))"""
 
 
-def _keywords(text_col):
-    return F.round(text.keyword_score(F.lit(QUERY_TEXT), text_col, STOP, HIGH, SYNONYMS), 6)
+def _keywords(asked, text_col):
+    return F.round(text.keyword_score(asked, text_col, STOP, HIGH, SYNONYMS), 6)
 
 
-@query(f"WITH {_GRAMS} SELECT doc_id, kw FROM kw")
+@query(f"WITH {WORDS_SQL}, scored AS (SELECT item_id, doc_id FROM found WHERE rank <= 15), {_GRAMS}, {_keyword_sql('kw', 'text')} SELECT item_id, doc_id, kw FROM kw")
 def keyword_overlap(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", _keywords(F.col("text")).alias("kw"))
+    """The keyword score of the fifteen candidates of each benchmark text."""
+    asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("asked"))
+    rows = table(spark, sf, "documents").select("doc_id", "text").join(by_words(spark, sf, 15), "doc_id").join(asked, "item_id")
+    return rows.select("item_id", "doc_id", _keywords(F.col("asked"), F.col("text")).alias("kw"))
 
 
-_HYBRID = f"""{_GRAMS}, {PAIRS}, cand AS (SELECT * FROM {_top("q_id, label", 15)}),
-hyb AS (SELECT q_id, vec_id AS doc_id, label, round(0.8 * sim + 0.1 * kw.kw + 0.1 * (0.5 * hd.kw + 0.5 * (d.lang = 'en')::INT), 6) AS hybrid_score FROM cand JOIN kw ON vec_id = kw.doc_id JOIN hd ON vec_id = hd.doc_id JOIN documents d ON d.doc_id = vec_id),
+#: The text of a query vector: the benchmark texts in turn.
+_HYBRID = f"""{_GRAMS}, {PAIRS}, asks AS (SELECT vec_id AS q_id, (vec_id // 20) % (SELECT max(item_id) + 1 FROM benchmark) AS item_id FROM embeddings WHERE vec_id % 20 = 0),
+cand AS (SELECT * FROM {_top("q_id, label", 15)}), scored AS (SELECT DISTINCT item_id, vec_id AS doc_id FROM cand JOIN asks USING (q_id)), {_keyword_sql("kw", "text")}, {_keyword_sql("hd", _HEADING)},
+hyb AS (SELECT q_id, vec_id AS doc_id, label, round(0.8 * sim + 0.1 * coalesce(kw.kw, 0) + 0.1 * (0.5 * coalesce(hd.kw, 0) + 0.5 * (d.lang = 'en')::INT) + 1e-9, 6) AS hybrid_score
+  FROM cand JOIN asks USING (q_id) JOIN documents d ON d.doc_id = vec_id LEFT JOIN kw ON vec_id = kw.doc_id AND kw.item_id = asks.item_id LEFT JOIN hd ON vec_id = hd.doc_id AND hd.item_id = asks.item_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY hybrid_score DESC, doc_id) AS rank FROM hyb)"""
 
 
 def _hybrid(spark, sf):
-    """Each query's candidates ranked within their label; a document's keywords are scored once for all queries."""
-    near = core.top_k(_searched(spark, sf, 15, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 15, "k")
-    docs = table(spark, sf, "documents")
-    docs = docs.select("doc_id", F.md5("text").alias("text_key"), _keywords(F.col("text")).alias("kw"), _keywords(F.concat("source", F.lit(" "), "lang", F.lit(" version"))).alias("heading"), (F.col("lang") == "en").cast("int").alias("en"))
-    rows = docs.join(near.withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    hybrid = scores.lore_score(F.col("sim"), F.col("kw"), F.col("heading"), F.col("en"))
-    return core.ranked(rows.withColumn("hybrid_score", F.round(hybrid, 6)), ["q_id", "label"], [F.desc("hybrid_score"), "doc_id"])
+    """Each query's candidates ranked within their label, by its own text; only candidates are scored."""
+    near = core.top_k(searched(spark, sf, 15, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 15, "k").withColumnRenamed("vec_id", "doc_id")
+    gold = table(spark, sf, "benchmark")
+    n = gold.agg((F.max("item_id") + 1).alias("n_items"))
+    near = near.crossJoin(F.broadcast(n)).withColumn("item_id", F.floor(F.col("q_id") / 20) % F.col("n_items")).drop("n_items")
+    asked = gold.select("item_id", F.col("text").alias("asked"))
+    rows = table(spark, sf, "documents").select("doc_id", "text", "source", "lang").join(near, "doc_id").join(asked, "item_id", "left")
+    score = lambda held: F.coalesce(_keywords(F.col("asked"), held), F.lit(0.0))
+    hybrid = scores.lore_score(F.col("sim"), score(F.col("text")), score(F.concat("source", F.lit(" "), "lang", F.lit(" version"))), (F.col("lang") == "en").cast("int"))
+    rows = rows.select("q_id", "doc_id", "label", F.md5("text").alias("text_key"), F.round(hybrid + 1e-9, 6).alias("hybrid_score"))  # exact halves go up in any order of summation
+    return core.ranked(rows, ["q_id", "label"], [F.desc("hybrid_score"), "doc_id"])
 
 
 @query(f"WITH {_HYBRID} SELECT q_id, doc_id, label, rank, hybrid_score FROM rk WHERE rank <= 5")
@@ -339,20 +369,6 @@ def recall_by_category(spark, sf):
     return _gold_hits(spark, sf).groupBy((F.col("item_id") % 4).alias("category")).agg(F.count("*").alias("n"), F.round(share, 6).alias("recall_5"), (share >= 0.95).alias("passed"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-w AS (SELECT term, length(bin((SELECT count(DISTINCT doc_id) FROM documents) // count(*))) AS rarity FROM tf GROUP BY term),
-q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark)),
-s AS (SELECT item_id, doc_id, sum(rarity * (10 * tf // (tf + 1)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) GROUP BY ALL)
-SELECT item_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
-def keyword_search(spark, sf):
-    """The ten best documents for each benchmark text by its words, through the stored index."""
-    path = sinks.scratch(spark, "words")
-    text_index.build(table(spark, sf, "documents"), path, "doc_id", text.words(F.col("text")))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), text.words(F.col("text")).alias("terms"))
-    found = text_index.TextIndex(spark, path).search(asked, 10)
-    return found.select(F.col("q_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
-
-
 @query("""WITH w(cfg, a, b) AS (VALUES (1, 0.8, 0.2), (2, 0.6, 0.4), (3, 0.5, 0.5)), t(th) AS (VALUES (100000.0), (150000.0), (200000.0), (250000.0)),
 s AS (SELECT cfg, th, avg((a * o_totalprice + b * o_custkey >= th)::INT) AS hit FROM orders, w, t GROUP BY cfg, th)
 SELECT cfg, th::DOUBLE AS th, round(0.5 * hit + 0.5 * hit * hit, 6) AS score FROM s ORDER BY round(0.5 * hit + 0.5 * hit * hit, 6) DESC, cfg, th LIMIT 3""")
