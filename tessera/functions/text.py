@@ -68,24 +68,29 @@ def keyword_score(query: Column, text: Column, stop: list[str], high: list[str],
     synonym is expected to weigh 2, and does if that synonym is there.
     """
     synonyms = synonyms or {}
-    body, bag = F.lower(text), words(text, 1)
-    there = lambda t: F.contains(body, t) & ((F.instr(t, " ") > 0) | (F.length(t) > 3) | F.array_contains(bag, t))
-    plain = lambda t: F.when(t.isin(high), 2.0).when(F.instr(t, " ") > 0, 1.5).otherwise(1.0)
     rich = [w for w, others in synonyms.items() if set(others) & set(high)]
-
-    def any_there(t: Column, pick) -> Column:
-        out = F.lit(False)
-        for word, others in synonyms.items():
-            for other in filter(pick, others):
-                out = out | ((t == word) & there(F.lit(other)))
-        return out
-
+    plain = lambda t: F.when(t.isin(high), 2.0).when(F.instr(t, " ") > 0, 1.5).otherwise(1.0)
     expected = lambda t: F.when(t.isin(rich), 2.0).otherwise(plain(t))
-    given = lambda t: F.when(any_there(t, lambda o: o in high), 2.0).otherwise(plain(t))
-    content = F.filter(query_tokens(query), lambda t: ~t.isin(stop))
-    found = F.filter(content, lambda t: there(t) | any_there(t, lambda o: True))
     total = lambda a, weight: F.aggregate(a, F.lit(0.0), lambda s, t: s + weight(t))
-    return F.least(F.lit(1.0), total(found, given) / F.greatest(F.lit(2.0), total(content, expected)))
+
+    def score(held: Column) -> Column:
+        body, bag, content = held["body"], held["bag"], held["content"]
+        there = lambda t: F.contains(body, t) & ((F.instr(t, " ") > 0) | (F.length(t) > 3) | F.array_contains(bag, t))
+
+        def any_there(t: Column, pick) -> Column:
+            out = F.lit(False)
+            for word, others in synonyms.items():
+                for other in filter(pick, others):
+                    out = out | ((t == word) & there(F.lit(other)))
+            return out
+
+        given = lambda t: F.when(any_there(t, lambda o: o in high), 2.0).otherwise(plain(t))
+        found = F.filter(content, lambda t: there(t) | any_there(t, lambda o: True))
+        return F.least(F.lit(1.0), total(found, given) / F.greatest(F.lit(2.0), total(content, expected)))
+
+    # an array of one struct, so that the text is lower-cased and cut into words once and not for every token
+    held = F.struct(F.lower(text).alias("body"), words(text, 1).alias("bag"), F.filter(query_tokens(query), lambda t: ~t.isin(stop)).alias("content"))
+    return F.get(F.transform(F.array(held), score), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
