@@ -1,9 +1,9 @@
 """URL filter: prefix rules first, then an empirical-Bayes reputation of the host.
 
 Labelled page outcomes (good or bad) are summed by host, registered domain and suffix.
-Each level is a beta-binomial whose prior mean is its parent's posterior mean and whose prior
-strength is fitted by moments; a page whose host is unseen takes its domain's posterior,
-then its suffix's, then the global one. A page is allowed if the lower posterior bound
+Each level is a beta-binomial. A group's prior mean is its parent's posterior mean without the group's own outcomes, and the
+prior strength of a level is fitted by moments about those means: where hosts are like their domains, sparse hosts take their domain's
+word. A page whose host is unseen takes its domain's posterior, then its suffix's, then the global one. A page is allowed if the lower posterior bound
 (mean minus ``z`` standard deviations) reaches ``threshold``.
 
 Nulls: a null url, or one without ``://``, has empty host and path and the empty suffix; null
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import without
+from ._common import staged, without
 
 #: The contract's rules, as (verdict, rule).
 RULES = (
@@ -29,6 +29,10 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Z, THRESHOLD = 1.6448536, 0.5
 LEVELS = ("suffix", "domain", "host")
+#: Second labels that belong to the suffix before a country's two letters, as in ``co.uk``.
+SHARED_SUFFIX = "(^|[.])(ac|co|com|edu|gov|net|org)[.][a-z][a-z]$"
+#: Strength where no group has two outcomes, and its bounds, in outcomes.
+STRENGTH, WEAKEST, STRONGEST = 20.0, 2.0, 200.0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -51,34 +55,36 @@ def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 
 def with_site(df: DataFrame) -> DataFrame:
-    """Adds ``domain`` (the last two labels) and ``suffix`` (the last label) of ``host``."""
-    return df.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    """Adds ``suffix`` (the last label, or two as in ``co.uk``) of ``host`` and ``domain``, the suffix with the label before it."""
+    shared = F.regexp_like("host", F.lit(SHARED_SUFFIX))
+    last = lambda n: F.substring_index("host", ".", -n)
+    return df.withColumn("domain", F.when(shared, last(3)).otherwise(last(2))).withColumn("suffix", F.when(shared, last(2)).otherwise(last(1)))
 
 
-def reputation(sites: DataFrame) -> tuple[dict[str, DataFrame], float]:
-    """Posterior tables by level from ``sites(host, domain, suffix, good long, seen long)``, and the global mean."""
-    total = sites.agg(F.sum("good"), F.sum("seen")).first()
-    mean = (total[0] + 1.0) / (total[1] + 2.0) if total[1] else 0.5
+def reputation(sites: DataFrame) -> dict[str, DataFrame]:
+    """Posteriors ``keys, a, b, mean`` by level from ``sites(host, domain, suffix, good long, seen long)``. One row of sums a level reaches the driver."""
+    total = sites.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("seen"), F.lit(0)).alias("seen")).first()
     tables: dict[str, DataFrame] = {}
+    good, seen = F.col("good"), F.col("seen")
     for k, level in enumerate(LEVELS):
         keys = [*LEVELS[: k + 1]]
         sums = sites.groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("seen").alias("seen"))
-        spread = sums.where("seen > 0").agg(
-            F.count("*").alias("groups"),
-            F.sum("seen").alias("seen"),
-            F.sum(F.col("seen") * F.pow(F.col("good") / F.col("seen") - F.lit(mean), F.lit(2.0))).alias("squares"),
-        ).first()
-        strength = 20.0
-        if spread["groups"] > 1:
-            noise = mean * (1 - mean)
-            excess = (spread["squares"] - noise * spread["groups"]) / spread["seen"]
-            strength = min(200.0, max(2.0, noise / excess - 1)) if excess > 0 else 200.0
-        above = tables[LEVELS[k - 1]].select(*keys[:-1], F.col("mean").alias("prior")) if k else None
-        joined = sums.join(above, keys[:-1]) if k else sums.withColumn("prior", F.lit(mean))
-        a = F.col("prior") * F.lit(strength) + F.col("good")
-        b = (1 - F.col("prior")) * F.lit(strength) + F.col("seen") - F.col("good")
+        if k:
+            joined = sums.join(tables[LEVELS[k - 1]].select(*keys[:-1], F.col("a").alias("pa"), F.col("b").alias("pb")), keys[:-1])
+        else:
+            joined = sums.withColumns({"pa": F.lit(total["good"] + 1.0), "pb": F.lit(total["seen"] - total["good"] + 1.0)})
+        joined = joined.withColumn("prior", (F.col("pa") - good) / (F.col("pa") + F.col("pb") - seen)).drop("pa", "pb")
+        noise = F.col("prior") * (1 - F.col("prior"))
+        away = seen * F.pow(good / seen - F.col("prior"), F.lit(2.0))
+        spread = joined.where("seen > 0").agg(F.sum(away).alias("squares"), F.sum(noise).alias("noise"), F.sum(noise * (seen - 1)).alias("room")).first()
+        strength = STRENGTH
+        if spread["room"]:
+            excess = (spread["squares"] - spread["noise"]) / spread["room"]  # 1 / (strength + 1) in a beta-binomial
+            strength = min(STRONGEST, max(WEAKEST, 1 / excess - 1)) if excess > 0 else STRONGEST
+        a = F.col("prior") * F.lit(strength) + good
+        b = (1 - F.col("prior")) * F.lit(strength) + seen - good
         tables[level] = joined.withColumn("a", a).withColumn("b", b).withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).select(*keys, "a", "b", "mean")
-    return tables, mean
+    return tables
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,8 +107,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z
         .agg(F.sum("good").alias("good"), F.count("*").alias("seen"))
     )
     unseen = base.select(*LEVELS).distinct().withColumns({"good": F.lit(0).cast("long"), "seen": F.lit(0).cast("long")})
-    sites = judged.unionByName(unseen).groupBy(*LEVELS).agg(F.sum("good").alias("good"), F.sum("seen").alias("seen"))
-    hosts = reputation(sites)[0]["host"]
+    sites = staged(judged.unionByName(unseen).groupBy(*LEVELS).agg(F.sum("good").alias("good"), F.sum("seen").alias("seen")), "sites")
+    hosts = reputation(sites)["host"]
     total = F.col("a") + F.col("b")
     bound = F.col("mean") - F.lit(z) * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
     hosts = hosts.select("host", F.col("mean").alias("good_mean"), bound.alias("good_bound"))
@@ -125,17 +131,13 @@ def op7_url_filter(spark, sf_dir: str) -> DataFrame:
 
 def _level_sql(name: str, keys: list[str], above: str | None) -> str:
     on = " AND ".join(f"s.{k} = p.{k}" for k in keys[:-1])
-    prior = "p.mean" if above else "(SELECT mu FROM g)"
     cols = ", ".join(keys)
     return f"""
-{name}_s AS (SELECT {cols}, sum(good) AS good, sum(seen) AS seen FROM sites GROUP BY {cols}),
-{name}_v AS (SELECT count(*) AS groups, sum(seen) AS seen,
-  sum(seen * pow(good::DOUBLE / seen - (SELECT mu FROM g), 2)) AS squares FROM {name}_s WHERE seen > 0),
-{name}_k AS (SELECT CASE WHEN groups > 1 THEN CASE WHEN (squares - mu * (1 - mu) * groups) / seen > 0
-  THEN least(200.0, greatest(2.0, mu * (1 - mu) / ((squares - mu * (1 - mu) * groups) / seen) - 1)) ELSE 200.0 END ELSE 20.0 END AS k
-  FROM {name}_v, g),
-{name}_t AS (SELECT {", ".join("s." + k for k in keys)}, {prior} * k + s.good AS a, (1 - {prior}) * k + s.seen - s.good AS b
-  FROM {name}_s s {f"JOIN {above}_p p ON {on}" if above else ""}, {name}_k),
+{name}_s AS (SELECT {cols}, sum(good)::DOUBLE AS good, sum(seen)::DOUBLE AS seen FROM sites GROUP BY {cols}),
+{name}_m AS (SELECT s.*, (p.a - s.good) / (p.a + p.b - s.seen) AS prior FROM {name}_s s {f"JOIN {above}_p p ON {on}" if above else "CROSS JOIN g p"}),
+{name}_v AS (SELECT sum(seen * pow(good / seen - prior, 2)) AS squares, sum(prior * (1 - prior)) AS noise, sum(prior * (1 - prior) * (seen - 1)) AS room FROM {name}_m WHERE seen > 0),
+{name}_k AS (SELECT CASE WHEN room > 0 THEN CASE WHEN squares > noise THEN least({STRONGEST}, greatest({WEAKEST}, room / (squares - noise) - 1)) ELSE {STRONGEST} END ELSE {STRENGTH} END AS k FROM {name}_v),
+{name}_t AS (SELECT {cols}, prior * k + good AS a, (1 - prior) * k + seen - good AS b FROM {name}_m, {name}_k),
 {name}_p AS (SELECT *, a / (a + b) AS mean FROM {name}_t)"""
 
 
@@ -151,11 +153,11 @@ def _oracle() -> str:
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-base AS (SELECT *, CASE WHEN len(string_split(host, '.')) >= 2 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain,
-  string_split(host, '.')[-1] AS suffix FROM h),
+base AS (SELECT page_id, host, path, array_to_string(p[-n - 1:], '.') AS domain, array_to_string(p[-n:], '.') AS suffix
+  FROM (SELECT *, string_split(host, '.') AS p, CASE WHEN regexp_matches(host, '{SHARED_SUFFIX}') THEN 2 ELSE 1 END AS n FROM h)),
 sites AS (SELECT host, domain, suffix, coalesce(sum(CASE WHEN quality IS NULL OR toxic IS NULL THEN NULL WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END), 0) AS good,
   count(CASE WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 1 END) AS seen FROM base LEFT JOIN labels ON page_id = doc_id GROUP BY ALL),
-g AS (SELECT CASE WHEN sum(seen) > 0 THEN (sum(good) + 1.0) / (sum(seen) + 2.0) ELSE 0.5 END::DOUBLE AS mu FROM sites),
+g AS (SELECT coalesce(sum(good), 0)::DOUBLE + 1 AS a, coalesce(sum(seen) - sum(good), 0)::DOUBLE + 1 AS b FROM sites),
 {_level_sql("suffix", ["suffix"], None)},
 {_level_sql("domain", ["suffix", "domain"], "suffix")},
 {_level_sql("host", ["suffix", "domain", "host"], "domain")}
