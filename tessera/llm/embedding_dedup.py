@@ -34,8 +34,18 @@ from ._common import components, discard, staged
 
 COSINE, RECALL, FIT_ROWS, FIT_FLOATS = 0.98, 0.995, 20_000, 4_000_000
 BLOCK, QUERIES = 512, 4096
-#: Vectors of a label that a cell is meant to hold, and the range of codewords a half may have.
-CELL, CODEWORDS = 16, (4, 256)
+#: Vectors of a label that a cell is meant to hold, and the least codewords of a half. They grow with the input; only the fit
+#: sample bounds them, at one codeword for every ``PER_CODEWORD`` of its vectors.
+CELL, CODEWORDS, PER_CODEWORD = 16, 4, 2
+#: Distances to codewords that a task holds at once.
+DISTANCES = 1 << 22
+
+
+def units(vectors: list) -> np.ndarray:
+    """Rows of length 1. Each is first scaled by a power of two, which is exact, so that squares of large or tiny components don't overflow or vanish."""
+    x = np.array(vectors, dtype=np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.sqrt((x**2).sum(1))[:, None]
 
 
 def codebook(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
@@ -43,7 +53,8 @@ def codebook(x: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.ndarr
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = ((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)).argmin(1)
+        step = max(1, DISTANCES // len(centres))
+        near = np.concatenate([((centres**2).sum(1) - 2 * x[s : s + step] @ centres.T).argmin(1) for s in range(0, len(x), step)])
         for c in range(len(centres)):
             if (near == c).any():
                 centres[c] = x[near == c].mean(0)
@@ -54,7 +65,8 @@ def bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's own codeword, and the squared distance to the hyperplane towards every other one."""
     d = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
     own = d.argmin(1)
-    gap = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[own]
+    c = centres[own]
+    gap = np.sqrt(np.maximum((c**2).sum(1)[:, None] - 2 * c @ centres.T + (centres**2).sum(1), 0))
     far = np.maximum(d - d.min(1)[:, None], 0) / np.maximum(2 * gap, 1e-12)
     far[np.arange(len(x)), own] = 0
     return own, far**2
@@ -88,9 +100,12 @@ def reach_of(x: np.ndarray, one: np.ndarray, two: np.ndarray, cosine: float, rec
         step -= (step * x).sum(1, keepdims=True) * x
         size = np.sqrt((step**2).sum(1, keepdims=True))
         near = (1 - r2 / 2) * x + np.sqrt(r2 - r2 * r2 / 4) * np.divide(step, size, out=np.zeros_like(step), where=size > 0)
-        need = np.zeros(len(x))
+        need, rows = np.zeros(len(x)), max(1, DISTANCES // len(one))
         for centres, a, b in ((one, x[:, :half], near[:, :half]), (two, x[:, half:], near[:, half:])):
-            need += bounds(a, centres)[1][np.arange(len(x)), bounds(b, centres)[0]]
+            for at in range(0, len(x), rows):
+                some = slice(at, at + rows)
+                far, own = bounds(a[some], centres)[1], bounds(b[some], centres)[0]
+                need[some] += far[np.arange(len(own)), own]
         reach = max(reach, float(np.quantile(need, recall)))
     return min(r2, reach)
 
@@ -101,13 +116,14 @@ def cells(classes: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray, flo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
-                x = np.array(part["embedding"].tolist(), dtype=np.float64)
-                x /= np.sqrt((x**2).sum(1))[:, None]
                 one, two, reach = books[dim]
-                (i, near1), (j, near2) = bounds(x[:, : dim // 2], one), bounds(x[:, dim // 2 :], two)
-                home = i * len(two) + j
-                asked = [[c for p, q in traverse(f, s, reach) if (c := p * len(two) + q) > h] for f, s, h in zip(near1, near2, home)]
-                yield part.assign(home=home.astype(np.int32), asked=asked)
+                step = max(1, DISTANCES // len(one))
+                for some in (part.iloc[k : k + step] for k in range(0, len(part), step)):
+                    x = units(some["embedding"].tolist())
+                    (i, near1), (j, near2) = bounds(x[:, : dim // 2], one), bounds(x[:, dim // 2 :], two)
+                    home = i * len(two) + j
+                    asked = [[c for p, q in traverse(f, s, reach) if (c := p * len(two) + q) > h] for f, s, h in zip(near1, near2, home)]
+                    yield some.assign(home=home.astype(np.int32), asked=asked)
 
     kind = classes.schema["embedding"].dataType.simpleString()
     return classes.mapInPandas(run, f"cid long, m long, label string, embedding {kind}, home int, asked array<int>")
@@ -176,8 +192,7 @@ def compare(rows: DataFrame, cosine: float) -> DataFrame:
                             block.close(cosine, at[1] == 0, out)
                         block.end(out)
                     at, block = (grp, part), Block()
-                x = np.array(rows_["embedding"].tolist(), dtype=np.float64)
-                x /= np.sqrt((x**2).sum(1))[:, None]
+                x = units(rows_["embedding"].tolist())
                 ids, weights = rows_["cid"].to_numpy(), rows_["m"].to_numpy()
                 if not kind:
                     block.add(ids, weights, x)
@@ -222,9 +237,8 @@ def near_duplicates(
     sample = [r[0] for r in classes.where(F.pmod(F.xxhash64(F.lit(3), "cid"), F.lit(1 << 30)) < share).select("embedding").collect()]
     books = {}
     for dim, r in lengths.items():
-        x = np.array([v for v in sample if len(v) == dim] or [[1.0] * dim], dtype=np.float64)
-        x /= np.sqrt((x**2).sum(1))[:, None]
-        k = codewords or int(min(CODEWORDS[1], max(CODEWORDS[0], round((r["most"] / CELL) ** 0.5))))
+        x = units([v for v in sample if len(v) == dim] or [[1.0] * dim])
+        k = codewords or int(max(CODEWORDS, min(len(x) // PER_CODEWORD, round((r["most"] / CELL) ** 0.5))))
         one, two = codebook(x[:, : dim // 2], k), codebook(x[:, dim // 2 :], k)
         books[dim] = one, two, reach_of(x, one, two, cosine, recall)
     placed = staged(cells(classes.select("cid", "m", "label", "embedding"), books), "cells")

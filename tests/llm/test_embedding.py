@@ -104,6 +104,27 @@ def test_doubles_are_compared_as_doubles(spark):
     assert got(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_huge_and_tiny_components_keep_their_direction(spark):
+    """Squares of these overflow or vanish; the cosine is what it is after scaling."""
+    rows = [(1, [1e200, 2e200], 0), (2, [1e200, 2.0001e200], 0), (3, [1e-200, 2e-200], 0), (4, [5e-324, 1e-323], 0), (5, [1.7e308, -1.7e308], 0), (6, [1.0, 2.0], 0), (7, [-1e200, -2e200], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(embedding_dedup.near_duplicates(df)) == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 0, 5), (6, 4, 1), (7, 0, 7)]
+
+
+def test_codewords_follow_the_input_without_a_ceiling(spark, monkeypatch):
+    """A cell is meant to hold few vectors at any size: with cells of one vector the grid has more than 256 codewords a half, and the links stay."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 8))
+    x[750:] = x[:750] + rng.normal(size=(750, 8)) * 0.02
+    seen = []
+    fit = embedding_dedup.codebook
+    monkeypatch.setattr(embedding_dedup, "CELL", 0.01)
+    monkeypatch.setattr(embedding_dedup, "codebook", lambda x, k, **o: (seen.append(k), fit(x, k, **o))[1])
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    have = got(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=1))
+    assert min(seen) > 256 and have == brute(rows)
+
+
 def test_traversal_visits_nearest_first():
     a, b = np.array([0.0, 0.3, 0.1]), np.array([0.2, 0.0])
     seen = embedding_dedup.traverse(a, b, 0.35)
