@@ -86,6 +86,11 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def group_key(column: str) -> Column:
+    """A string key under which null is a group of its own, apart from the empty string."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
+
+
 def flagged(id_col: str) -> list[Column]:
     """An id as ``id_``, 0 where it is null, and ``no_id``: pandas would turn a column of longs with a null into doubles."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id_"), F.isnull(id_col).alias("no_id")]

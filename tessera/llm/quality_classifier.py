@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, staged, without
+from ._common import discard, group_key, staged, without
 
 TARGETS = ("toxic", "low")
 SITE = ("n", "hn", "h_toxic", "h_low", "s_toxic", "s_low")
@@ -178,7 +178,7 @@ def classify(
     docs = without(docs, (*OUTPUT, "odds", "odds_toxic", "odds_low", "host_", "path_", *SITE))
     models = train(docs, labels, id_col, text_col, max_labelled)
     scored = scores(docs, models, text_col)
-    scored = staged((scored if keep_text else scored.drop(text_col)).withColumns({"host_": F.coalesce(F.col(host_col).cast("string"), F.lit("")), "path_": F.coalesce(F.col(path_col).cast("string"), F.lit(""))}), "scored")
+    scored = staged((scored if keep_text else scored.drop(text_col)).withColumns({"host_": group_key(host_col), "path_": group_key(path_col)}), "scored")
     out = with_posteriors(scored)
     out = out.withColumn("kept", (F.col("p_toxic") < REJECT) & (F.col("p_low") < REJECT))
     return out.drop("host_", "path_", *[f"odds_{t}" for t in TARGETS])

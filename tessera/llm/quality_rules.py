@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEPARATOR_RUN, WORD_SEPARATORS, staged, without
+from ._common import SEPARATOR_RUN, WORD_SEPARATORS, group_key, staged, without
 
 # Frequent function words by language.
 COMMON_WORDS = {
@@ -91,7 +91,7 @@ def text_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 def references(counted: DataFrame, lang_col: str = "lang") -> DataFrame:
     """Summed histograms by language: ``lang_key, class_ref, word_ref``."""
     sums = lambda col, n: F.array(*[F.sum(F.get(col, F.lit(i))).cast("double") for i in range(n)])
-    return counted.groupBy(F.coalesce(lang_col, F.lit("")).alias("lang_key")).agg(
+    return counted.groupBy(group_key(lang_col).alias("lang_key")).agg(
         sums("class_hist", len(CLASSES) + 1).alias("class_ref"), sums("word_hist", N_COMMON + 1).alias("word_ref")
     )
 
@@ -115,7 +115,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     counted = text_counts(docs, text_col, lang_col)
     counted = staged(counted if keep_text else counted.drop(text_col), "quality")
     refs = staged(references(counted, lang_col), "references")
-    joined = counted.withColumn("lang_key", F.coalesce(lang_col, F.lit(""))).join(refs, "lang_key", "left")
+    joined = counted.withColumn("lang_key", group_key(lang_col)).join(refs, "lang_key", "left")
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
@@ -161,11 +161,11 @@ g AS (SELECT *, list_append(found, n_words - list_sum(found)) AS word_hist, list
 v AS (SELECT rid, s, md5(array_to_string(w[s:s + {WINDOW - 1}], ' ')) AS m FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM w WHERE len(w) > {WINDOW})),
 r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, m) AS n FROM v) WHERE n > 1),
 p AS (SELECT rid, sum(least({WINDOW}, s - before)) AS n FROM (SELECT rid, s, coalesce(lag(s) OVER (PARTITION BY rid ORDER BY s), -{WINDOW}) AS before FROM r) GROUP BY rid),
-f AS (SELECT coalesce(lang, '') AS k, {sums('class_hist', len(CLASSES) + 1)} AS class_ref, {sums('word_hist', N_COMMON + 1)} AS word_ref FROM g GROUP BY 1),
+f AS (SELECT coalesce('=' || lang, 'null') AS k, {sums('class_hist', len(CLASSES) + 1)} AS class_ref, {sums('word_hist', N_COMMON + 1)} AS word_ref FROM g GROUP BY 1),
 b AS (SELECT doc_id, n_words::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words,
   {distance('class_hist', 'class_ref', MIN_CHARS)}::DOUBLE AS class_distance, {distance('word_hist', 'word_ref', MIN_WORDS)}::DOUBLE AS word_distance
-  FROM g JOIN f ON coalesce(lang, '') = k LEFT JOIN p USING (rid)),
+  FROM g JOIN f ON coalesce('=' || lang, 'null') = k LEFT JOIN p USING (rid)),
 e AS (SELECT * REPLACE (coalesce(word_chars, 0) AS word_chars), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT *, NOT base_failed AND NOT coalesce(class_distance > {MAX_CLASS_DISTANCE}, false) AND NOT coalesce(word_distance > {MAX_WORD_DISTANCE}, false) AS kept FROM e"""
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, quality_classifier, quality_rules, sharding, url_filter, warc
+from tessera.llm import _common, bpe, quality_classifier, quality_rules, sharding, url_filter, warc
 
 from .conftest import EDGE, SF
 
@@ -283,3 +283,19 @@ def test_segments_are_verified():
             warc.join_segments(numbers, [b"a", b"b"], total)
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nab\r\n0\r\n\r\n")
+
+
+def test_null_and_empty_are_groups_of_their_own(spark):
+    """In op1 a null host isn't the empty one; in op4 a null language has its own reference."""
+    text = "word after word of plain prose that goes on for a while and says nothing much at all today " * 8
+    odd = "q7 $ 9 & zz 8 # x% 1 0 5 9 4 " * 20
+    rows = [(k, text, None if k < 40 else "", "s", 0) for k in range(40)] + [(40 + k, odd, "", "s", 0) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counted = quality_rules.text_counts(docs)
+    refs = {r.lang_key: list(r.class_ref) for r in quality_rules.references(counted).collect()}
+    assert len(refs) == 2 and refs["null"] != refs["="]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    sites = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.lit("")))
+    assert quality_classifier.classify(sites, labels).count() == 80
+    keys = {r[0] for r in sites.select(_common.group_key("source")).collect()}
+    assert keys == {"=", "null"}
