@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import html_tree, text
 from ..operators import core
 from ..sources.tables import table
 from ._catalog import Register
@@ -272,3 +272,35 @@ def tag_union(spark, sf):
     tags = F.array_union(F.array("lang", "source"), F.array(F.lit("a")))
     others = F.array_except(F.array(F.lit("a"), F.lit("b"), F.col("lang"), F.col("source")), F.array(F.lit("b")))
     return _docs(spark, sf).select("doc_id", F.array_join(F.sort_array(others), ",").alias("others"), F.array_join(F.sort_array(tags), ",").alias("tags"))
+
+
+_HIDDEN = "|".join(sorted(html_tree.HIDDEN))
+#: Pages without comments and what is no content, and a text with its markup as blanks and its entities read.
+_SHOWN = "shown AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)" + "|".join(f"<{t}(?: [^>]*)?>.*?</{t}>" for t in sorted(html_tree.HIDDEN)) + "', ' ', 'g') AS h FROM pages)"
+
+
+def _bare(x: str) -> str:
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for name, c in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{c}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {_SHOWN}, heads AS (SELECT page_id, 0 AS k, {_bare("regexp_extract(h, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS t FROM shown),
+paras AS (SELECT page_id, i AS k, {_bare("p")} AS t, p FROM (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT page_id, [regexp_extract(x, '(?s)^(.*?)(?:</p>|</?(?:div|ul|ol|table|h[1-6]|article|section|li|body)[ >]|$)', 1) FOR x IN regexp_split_to_array(h, '<p(?: [^>]*)?>')[2:]] AS ps FROM shown))),
+linked AS (SELECT *, coalesce(list_sum([length({_bare("x")}) FOR x IN regexp_extract_all(p, '(?s)<a[^>]*>(.*?)</a>', 1)]), 0) AS n FROM paras),
+parts AS (SELECT page_id, k, t FROM heads WHERE length(t) >= 15 UNION ALL SELECT page_id, k, t FROM linked WHERE length(t) >= 40 AND n <= 0.4 * length(t))
+SELECT page_id, count(*) AS n_parts, md5(string_agg(t, chr(10) || chr(10) ORDER BY k)) AS body FROM parts GROUP BY page_id""")
+def page_main_text(spark, sf):
+    """A page's own text by its tree: the heading and the paragraphs that aren't mostly links."""
+    found = html_tree.main_text(html_tree.page_nodes(table(spark, sf, "pages")))
+    return found.select("page_id", "n_parts", F.md5("body").alias("body"))
+
+
+@query(f"""WITH {_SHOWN}, cut AS (SELECT page_id, regexp_extract(h, '(?s)^(.*?)<h1', 1) AS lead, {_bare("regexp_extract(h, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS title, regexp_extract(h, '(?s)</h1>(.*)$', 1) AS rest FROM shown),
+s AS (SELECT page_id, 0 AS level, '' AS title, {_bare("lead")} AS t FROM cut UNION ALL SELECT page_id, 1, title, {_bare("rest")} FROM cut)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY level) - 1)::INT AS section, level, title AS path, md5(t) AS body FROM s WHERE level > 0 OR t <> ''""")
+def page_outline(spark, sf):
+    """Sections of every page with the headings above them."""
+    found = html_tree.page_sections(table(spark, sf, "pages"))
+    return found.select("page_id", "section", "level", "path", F.md5("text").alias("body"))
