@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import core
-from ..sources import ledger, sinks
+from ..sources import ledger, page_files, sinks
 from ..sources.tables import read_jsonl, table, write_jsonl
 from ._catalog import Literal, Register
 
@@ -375,3 +375,16 @@ def turn_persistence(spark, sf):
             counted = log.read("users", state=change.base).join(more, "c_custkey")
             change.upsert("users", counted.select("c_custkey", (F.col("n_turns") + F.col("m")).alias("n_turns"), F.greatest("last_turn", "l").alias("last_turn")), ["c_custkey"])
     return log.read("users")
+
+
+@query("""SELECT CASE WHEN page_id % 4 = 3 THEN NULL ELSE page_id END AS page_id, (page_id % 7)::VARCHAR AS category, length(html)::INT AS n_chars, md5(html) AS body FROM pages WHERE page_id % 7 IN (2, 5)""")
+def page_tree(spark, sf):
+    """Pages written as a tree of files and read back through the data source, two of its seven categories; every fourth page has no metadata."""
+    page_files.register(spark)
+    root = sinks.scratch(spark, "page-tree")
+    own = F.when(F.col("page_id") % 4 != 3, F.col("page_id"))
+    pages = table(spark, sf, "pages").select((F.col("page_id") % 7).cast("string").alias("category"), F.format_string("p%012d", "page_id").alias("stem"), own.alias("page_id"), F.lit(None).cast("string").alias("title"), F.col("html").alias("text"))
+    pages.write.format("page_files").mode("append").save(root)
+    found = spark.read.format("page_files").option("splits", 4).load(root).where("category in ('2', '5')")
+    given = F.when(F.substring("stem", 2, 12).cast("long") % 4 != 3, F.col("page_id"))
+    return found.select(given.alias("page_id"), "category", F.length("text").alias("n_chars"), F.md5("text").alias("body"))

@@ -23,11 +23,11 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_pages(spark: SparkSession, path: str, extensions: str = "wikitext") -> DataFrame:
     """Whole files of a tree as ``path, stem, page_id, text``, redirects left out.
 
-    The id is the first seven hex digits of the path's MD5.
+    The id is the first fifteen hex digits of the path's MD5, 60 bits.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extensions}").text(path, wholetext=True)
     name = F.col("_metadata.file_path")
-    out = files.select(name.alias("path"), F.regexp_replace(F.element_at(F.split(name, "/"), -1), "\\.[^.]*$", "").alias("stem"), F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long").alias("page_id"), F.col("value").alias("text"))
+    out = files.select(name.alias("path"), F.regexp_replace(F.element_at(F.split(name, "/"), -1), "\\.[^.]*$", "").alias("stem"), F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("page_id"), F.col("value").alias("text"))
     return out.where(~F.regexp_like(F.lower(F.trim("text")), F.lit("^# ?redirect")))
 
 
