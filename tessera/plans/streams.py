@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import core
 from ..sources.tables import table
-from ..streaming import expiring, state
+from ..streaming import emotions, expiring, state
 from ..streaming import json_field as fields
 from ._catalog import Register
 
@@ -70,10 +70,10 @@ def anchored_rate_limit(spark, sf):
     return state.anchored_limit(_events(spark, sf), 6 * 3600, 1)
 
 
-@query()
+@query(emotions.oracle())
 def emotion_fold(spark, sf):
-    """Eight-channel state folded over each user's events in order; see ``streaming.state``."""
-    return state.emotion_states(_events(spark, sf))
+    """Eight-channel state folded over each user's events in order; see ``streaming.emotions``."""
+    return emotions.emotion_states(_events(spark, sf))
 
 
 @query("SELECT e.event_id FROM events e JOIN (SELECT user_id, min(ts) AS cutoff FROM events WHERE event_type = 'error' GROUP BY user_id) c USING (user_id) WHERE ts > cutoff UNION ALL SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")

@@ -3,13 +3,14 @@
 import math
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
 from tessera.operators import core
 from tessera.sources import tables
-from tessera.streaming import state
+from tessera.streaming import emotions, state
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,8 +151,8 @@ def test_breaker_and_emotion_twins(spark, events):
     want = {tuple(r) for r in state.breaker(events, 2, 90000.0).collect()}
     got = {tuple(r) for r in stream(spark, lambda s: state.stream_breaker(s, 2, 90000.0), "breaker", events).collect()}
     assert got == want
-    last = {r.user_id: r for r in sorted(stream(spark, state.stream_emotions, "moods", events, mode="update").collect(), key=lambda r: r.n)}
-    assert {tuple(r) for r in last.values()} == {tuple(r) for r in state.emotion_states(events).collect()}
+    last = {r.user_id: r for r in sorted(stream(spark, emotions.stream_emotions, "moods", events, mode="update").collect(), key=lambda r: r.n)}
+    assert {tuple(r) for r in last.values()} == {tuple(r) for r in emotions.emotion_states(events).collect()}
 
 
 def test_cache_buffer_barrier_and_trace_twins(spark, events):
@@ -189,28 +190,38 @@ def test_tumbling_counts_twin(spark, events):
     assert found and found <= want  # windows that the watermark hasn't passed are still open
 
 
+def step(now, seconds, reaction, stance, power, swing):
+    """One user's turn, by names of channels."""
+    power, swing = 0.5 if power is None else power, 0.0 if swing is None else swing
+    reaction = reaction if reaction in emotions.REACTION else "calm_warmth"
+    stance = stance or emotions.implied(reaction, swing)
+    row = np.array([[now[c] for c in state.CHANNELS]])
+    after = emotions.turn(row, np.array([seconds]), np.array([emotions.REACTION[reaction]]), np.array([emotions.STANCE[stance]]), np.array([power]), np.array([swing]))
+    return dict(zip(state.CHANNELS, after[0].tolist()))
+
+
 def test_emotion_steps_by_hand():
     rest = dict(state.RESTING)
-    assert state.emotion_step({c: 1.0 for c in state.CHANNELS}, 0.0, "neutral", "neutral", 0.0, 0.0)["trust"] == 1.0
+    assert step({c: 1.0 for c in state.CHANNELS}, 0.0, "neutral", "neutral", 0.0, 0.0)["trust"] == 1.0
     # decay alone: intensity 0 leaves half of the distance to rest after one half-life
     far = rest | {"irritation": 0.2, "curiosity": 0.5}
-    assert abs(state.emotion_step(far, 900.0, "neutral", "neutral", 0.0, 0.0)["irritation"] - 0.1) < 1e-9
-    assert abs(state.emotion_step(far, 1800.0, "neutral", "neutral", 0.0, 0.0)["curiosity"] - 0.3) < 1e-9
-    assert state.emotion_step(rest | {"attachment": 0.4}, 1e9, "neutral", "playful", 0.0, 0.0)["attachment"] >= 0.4
+    assert abs(step(far, 900.0, "neutral", "neutral", 0.0, 0.0)["irritation"] - 0.1) < 1e-9
+    assert abs(step(far, 1800.0, "neutral", "neutral", 0.0, 0.0)["curiosity"] - 0.3) < 1e-9
+    assert step(rest | {"attachment": 0.4}, 1e9, "neutral", "playful", 0.0, 0.0)["attachment"] >= 0.4
     # a cheerful turn of full power from rest: 0.55 on joy, open 1.0, room 0.85
-    joyful = state.emotion_step(rest, 0.0, "cheerful_joy", "loving", 1.0, 0.0)
+    joyful = step(rest, 0.0, "cheerful_joy", "loving", 1.0, 0.0)
     assert abs(joyful["joy"] - (0.15 + 0.55 * 0.85)) < 1e-9 and abs(joyful["trust"] - (0.5 + 0.04 * 0.5)) < 1e-9
     warmth = 0.015 * joyful["shyness"] + 0.010 * joyful["comfort"] + 0.005 * joyful["joy"]
     assert abs(joyful["attachment"] - min(0.03, 0.03 + warmth)) < 1e-9
     # a hostile one: irritation 0.5 * 1.8 * wary 1.0, trust loses 0.2 * 1.8 * 0.5
-    hurt = state.emotion_step(rest, 0.0, "guarded_cold", "hostile", 1.0, 0.0)
+    hurt = step(rest, 0.0, "guarded_cold", "hostile", 1.0, 0.0)
     assert abs(hurt["irritation"] - 0.9) < 1e-9 and abs(hurt["trust"] - (0.5 - 0.2 * 1.8 * 1.0 * 0.5)) < 1e-9
     assert hurt["shyness"] == 0.0 and hurt["attachment"] == 0.0 and hurt["comfort"] < 0.1
     # a pout among friends is shielded: no withdrawal
     close = rest | {"trust": 0.8, "attachment": 0.5}
-    assert state.emotion_step(close, 0.0, "playful_pout", "playful", 1.0, 0.0)["attachment"] > 0.5
+    assert step(close, 0.0, "playful_pout", "playful", 1.0, 0.0)["attachment"] > 0.5
     for kind in ("none", None):
-        assert all(0 <= v <= 1 for v in state.emotion_step(rest, 10.0, kind, None, None, None).values())
+        assert all(0 <= v <= 1 for v in step(rest, 10.0, kind, None, None, None).values())
 
 
 def test_gold_ranks_follow_the_retriever(spark):
