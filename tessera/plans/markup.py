@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import core
+from ..sources.tables import table
 from ._catalog import Literal, Register, chain, chain_sql
 
 query = Register()
@@ -347,18 +348,21 @@ def scene_entities(spark, sf):
 
 @query()
 def dialogue_chunks(spark, sf):
-    """Turns packed in order: a chunk ends before 60 tokens would be passed, or once it has 20 tokens and three turns."""
-    rows = turns(TALK.frame(spark)).withColumn("line", F.concat("speaker", F.lit(": "), "said"))
-    packed = rows.groupBy("scene").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]).alias("lines"))
+    """Turns of each conversation packed in order: a chunk ends before 512 tokens would be passed, or once it has 256 tokens and three turns."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+    packed = said.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]).alias("lines"))
     sizes = F.transform("lines", lambda x: texts.chunk_token_estimate(x))
-    return packed.select("scene", F.posexplode(core.greedy_pack(F.col("lines"), sizes, 20, 60, least=3)).alias("chunk", "c"), "lines").select("scene", F.col("chunk").cast("long").alias("chunk"), F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n").alias("body"), F.col("c.size").alias("tokens"))
+    chunks = packed.select("conv_id", "lines", F.posexplode(core.greedy_pack(F.col("lines"), sizes, 256, 512, least=3)).alias("chunk", "c"))
+    body = F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n")
+    return chunks.select("conv_id", F.col("chunk").cast("long").alias("chunk"), F.md5(body).alias("body"), F.col("c.size").alias("tokens"))
 
 
 @query()
 def table_chunks(spark, sf):
-    """Inlined table rows packed under a label: 256 tokens end a chunk, 512 are the most."""
-    rows = table_rows(spark, sf).groupBy("page_id", "table_").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_", "inlined"))), lambda x: F.concat(F.lit("- "), x["inlined"])).alias("rows"))
-    rows = rows.join(PAGES.frame(spark).select("page_id", "title"), "page_id")
-    packed = rows.select("page_id", "table_", "title", "rows", F.posexplode(core.greedy_pack(F.col("rows"), F.transform("rows", lambda r: texts.chunk_token_estimate(r)), 256, 512)).alias("chunk", "c"))
-    body = F.concat_ws("\n", F.concat(F.lit("["), "title", F.lit("]")), F.array_join(F.slice("rows", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n"))
-    return packed.select("page_id", "table_", F.col("chunk").cast("long").alias("chunk"), body.alias("body"))
+    """A supplier's lines as a table whose rows are inlined and packed under its name: 256 tokens end a chunk, 512 are the most."""
+    inlined = F.concat(F.lit("- order: "), "l_orderkey", F.lit("; line: "), "l_linenumber", F.lit("; part: "), "l_partkey", F.lit("; flag: "), "l_returnflag")
+    rows = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", inlined.alias("row")))), lambda x: x["row"]).alias("rows"))
+    rows = rows.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    packed = rows.select("l_suppkey", "s_name", "rows", F.posexplode(core.greedy_pack(F.col("rows"), F.transform("rows", lambda r: texts.chunk_token_estimate(r)), 256, 512)).alias("chunk", "c"))
+    body = F.concat_ws("\n", F.concat(F.lit("["), "s_name", F.lit("]")), F.array_join(F.slice("rows", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n"))
+    return packed.select("l_suppkey", F.col("chunk").cast("long").alias("chunk"), F.md5(body).alias("body"))
