@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
+
 
 class Register:
     """Queries and their SQL by name."""
@@ -34,19 +36,27 @@ def quoted(value) -> str:
 
 
 class Literal:
-    """A small fixed table, for operators whose input none of the driver's tables holds."""
+    """A small fixed table of cases that none of the driver's tables holds, followed by rows of a given table.
+
+    ``given`` is a table's name and an expression for each column, in words that both dialects read; an array is written ``[a, b]``.
+    """
 
-    def __init__(self, name: str, schema: str, rows: list[tuple]) -> None:
-        self.name, self.schema, self.rows = name, schema, rows
+    def __init__(self, name: str, schema: str, rows: list[tuple], given: tuple[str, list[str]] | None = None) -> None:
+        self.name, self.schema, self.rows, self.given = name, schema, rows, given
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def frame(self, spark: SparkSession, sf: str | None = None) -> DataFrame:
+        cases = spark.createDataFrame(self.rows, self.schema)
+        if self.given is None:
+            return cases
+        columns = [f"array({c[1:-1]})" if c.startswith("[") else c for c in self.given[1]]
+        return cases.union(table(spark, sf, self.given[0]).selectExpr(*columns))
 
     @property
     def sql(self) -> str:
         """The table as a common table expression."""
         columns = ", ".join(c.split()[0] for c in self.schema.split(", "))
-        return f"{self.name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in self.rows)})"
+        more = f" UNION ALL SELECT {', '.join(self.given[1])} FROM {self.given[0]}" if self.given else ""
+        return f"{self.name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in self.rows)}{more})"
 
 
 def chain(col: Column, rules: list[tuple[str, str]]) -> Column:

@@ -15,7 +15,8 @@ query = Register()
 # What a chat platform puts into messages.
 MENTIONS = [("<@!?&?[0-9]+>", ""), ("<#[0-9]+>", ""), ("<a?:[a-zA-Z0-9_]+:[0-9]+>", ""), ("<t:[0-9]+(?::[a-zA-Z])?>", ""), ("@(everyone|here)\\b", ""), ("[ \\t\\n\\r]+", " ")]
 #: Words around a question, by what is stripped: abbreviations, greetings, requests before it and particles after it. Parameters of a deployment.
-SHORT = [("\\bu\\b", "you"), ("\\bpls\\b", "please"), ("\\br\\b", "are")]
+#: Short forms as whole words, also beside letters beyond ASCII; twice, as neighbours share the blank between them.
+SHORT = [(f"(^|[^\\p{{L}}\\p{{N}}_]){short}([^\\p{{L}}\\p{{N}}_]|$)", f"\\1{long}\\2") for short, long in (("u", "you"), ("pls", "please"), ("r", "are"))] * 2
 GREETINGS, REQUESTS, ENDINGS, NAMES = ["hello there", "hello", "hi", "hey"], ["can you tell me about", "tell me about", "do you know", "please"], ["please", "thanks", "right", "ok"], ["bot"]
 REACTIONS = ["haha", "ok", "okay", "wow", "thanks", "bye", "yes", "no", "it", "me", "you"]
 CODE = "(?i)\\bclass\\s+\\w+|\\bstruct\\s+\\w+|\\bpublic\\s*:|\\bprivate\\s*:|\\b#include\\b|\\bint\\s+main\\b|\\bdef\\s+\\w+\\s*\\(|\\bfunction\\s+\\w+\\s*\\(|\\bvoid\\s+\\w+\\s*\\(|\\bunordered_map<|\\bvector<|\\bconsole\\.log\\("
@@ -26,7 +27,7 @@ TOOLS = [("summary", "(?i)summar(y|ise|ize)|so far"), ("report", "(?i)(show|give
 ASKS = Literal("asks", "id long, message string, entities array<string>", [
     (1, "<@!123> Hello there, can you tell me about the salt harbor please?", ["Salt Harbor"]), (2, "haha ok", []), (3, "And where is it?", []), (4, "def run(x): return x", []), (5, "Show me the picture of the bow", ["Long Bow"]),
     (6, "hi bot pls search the web for tides <:wave:77>", []), (7, "Give a report <t:1700000000:R> @everyone", []), (8, "", []), (9, "   ", None), (10, "tell me about Mira and the long bow, thanks", ["Mira Vale", "Long Bow"]), (11, "what did we say so far", []), (12, None, []),
-])
+], given=("conversations", ["1000000 + conv_id * 1000 + turn", "text", "[role]"]))
 
 
 def _any(words: list[str]) -> str:
@@ -53,7 +54,7 @@ _CLEAN = f"CASE WHEN {chain_sql(f'lower({_PLAIN})', QUESTION)} = '' THEN {_PLAIN
 
 @query(f"WITH {ASKS.sql} SELECT id, {_PLAIN} AS plain, {_CLEAN} AS question FROM asks")
 def query_cleaning(spark, sf):
-    return ASKS.frame(spark).select("id", chain(F.coalesce("message", F.lit("")), CLEANING).alias("plain"), cleaned(F.col("message")).alias("question"))
+    return ASKS.frame(spark, sf).select("id", chain(F.coalesce("message", F.lit("")), CLEANING).alias("plain"), cleaned(F.col("message")).alias("question"))
 
 
 def meaningful(question: Column) -> Column:
@@ -75,7 +76,7 @@ def message_tests(spark, sf):
     tool = F.lit(None).cast("string")
     for name, pattern in reversed(TOOLS):
         tool = F.when(F.regexp_like(m, F.lit(pattern)), name).otherwise(tool)
-    return ASKS.frame(spark).select(
+    return ASKS.frame(spark, sf).select(
         "id", meaningful(cleaned(F.col("message"))).alias("meaningful"), F.regexp_like(m, F.lit(REFERS)).alias("refers"), F.regexp_like(m, F.lit(CODE)).alias("code"),
         (has(IMAGE_ANCHORS) | (has(IMAGE_NOUNS) & has(IMAGE_ACTIONS))).alias("image"), tool.alias("tool"),
     )
@@ -85,12 +86,12 @@ _ROUTE = f"""c AS (SELECT id, coalesce(message, '') AS m, entities, {_CLEAN} AS
 {case_sql([(f"regexp_matches(m, {quoted(p)})", quoted(t)) for t, p in TOOLS])} AS tool, len(string_split(trim(m), ' ')) AS n FROM c)"""
 
 
-def _routed(spark) -> DataFrame:
+def _routed(spark, sf) -> DataFrame:
     m = F.coalesce("message", F.lit(""))
     tool = F.lit(None).cast("string")
     for name, pattern in reversed(TOOLS):
         tool = F.when(F.regexp_like(m, F.lit(pattern)), name).otherwise(tool)
-    rows = ASKS.frame(spark).withColumns({"q": cleaned(F.col("message")), "code": F.regexp_like(m, F.lit(CODE)), "named": F.coalesce(F.size("entities") > 0, F.lit(False)), "tool": tool, "n": F.size(F.split(F.trim(m), " ")).cast("long")})
+    rows = ASKS.frame(spark, sf).withColumns({"q": cleaned(F.col("message")), "code": F.regexp_like(m, F.lit(CODE)), "named": F.coalesce(F.size("entities") > 0, F.lit(False)), "tool": tool, "n": F.size(F.split(F.trim(m), " ")).cast("long")})
     return rows.withColumn("means", meaningful(F.col("q"))).withColumn("named", F.col("named"))
 
 
@@ -103,7 +104,7 @@ def intent_routing(spark, sf):
     intents = F.array_compact(F.array(F.when(F.col("tool").isNotNull(), "TOOL"), F.when(F.col("named"), "LORE"), F.when(F.col("code"), "CODE"), F.when(~F.col("means"), "CHAT")))
     web = F.col("tool").eqNullSafe("web_search")
     mode = F.when(web & F.col("named"), "HYBRID").when(web, "WEB").when(F.col("named") | F.col("means"), "VECTOR").otherwise("BYPASS")
-    return _routed(spark).select("id", intent.alias("intent"), F.array_join(intents, ";").alias("intents"), mode.alias("mode"))
+    return _routed(spark, sf).select("id", intent.alias("intent"), F.array_join(intents, ";").alias("intents"), mode.alias("mode"))
 
 
 @query(f"""WITH {ASKS.sql}, c AS (SELECT id, {_CLEAN} AS q, entities FROM asks), a AS (SELECT *, list_sort(list_distinct(list_filter(coalesce(entities, []), lambda e: NOT contains(lower(q), lower(e))))) AS more FROM c)
@@ -111,18 +112,18 @@ SELECT id, CASE WHEN len(more) > 0 THEN q || ' (' || array_to_string(more, ', ')
 def query_enrichment(spark, sf):
     """Entities that the question doesn't name in full are appended, sorted."""
     more = F.sort_array(F.array_distinct(F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: ~F.contains(F.lower("q"), F.lower(e)))))
-    rows = ASKS.frame(spark).withColumn("q", cleaned(F.col("message"))).withColumn("more", more)
+    rows = ASKS.frame(spark, sf).withColumn("q", cleaned(F.col("message"))).withColumn("more", more)
     return rows.select("id", F.when(F.size("more") > 0, F.concat("q", F.lit(" ("), F.array_join("more", ", "), F.lit(")"))).otherwise(F.col("q")).alias("enriched"))
 
 
 SLANG = Literal("slang", "pattern string, canonical string", [("green dragon", "Jade Wyrm"), ("the port", "Salt Harbor"), ("bow lady", "Mira Vale")])
-CHATTER = Literal("chatter", "id long, said string", [(1, "Where is the port?"), (2, "I met Green Dragon near the port"), (3, "bow ladybird"), (4, "nothing"), (5, None)])
+CHATTER = Literal("chatter", "id long, said string", [(1, "Where is the port?"), (2, "I met Green Dragon near the port"), (3, "bow ladybird"), (4, "nothing"), (5, None)], given=("conversations", ["1000000 + conv_id * 1000 + turn", "text"]))
 
 
 @query(f"WITH {CHATTER.sql} SELECT id, {chain_sql('said', [(f'(?i)' + chr(92) + 'b' + p + chr(92) + 'b', c) for p, c in SLANG.rows])} AS resolved FROM chatter")
 def slang_resolution(spark, sf):
     """Nicknames become canonical names; the rules are a small table in order."""
-    return CHATTER.frame(spark).select("id", chain(F.col("said"), [(f"(?i)\\b{p}\\b", c) for p, c in SLANG.rows]).alias("resolved"))
+    return CHATTER.frame(spark, sf).select("id", chain(F.col("said"), [(f"(?i)\\b{p}\\b", c) for p, c in SLANG.rows]).alias("resolved"))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, CASE WHEN starts_with(text, '!') THEN text WHEN turn % 3 = 0 THEN '!ask ' || text ELSE text END AS text FROM conversations)
@@ -218,7 +219,7 @@ SELECT id, k AS kind FROM k WHERE k IN ('{"', '".join(STORED)}') AND length(fact
 def fact_validation(spark, sf):
     """Extracted facts that may be stored: known kinds, long and important enough, not about the assistant."""
     kind = F.when(F.col("kind").isin(AS_FACT), "user_fact").otherwise(F.col("kind"))
-    rows = FACTS.frame(spark).withColumn("kind", kind)
+    rows = FACTS.frame(spark, sf).withColumn("kind", kind)
     return rows.where(F.col("kind").isin(STORED) & (F.length("fact") >= 8) & (F.col("importance") >= 0.65) & ~F.regexp_like("fact", F.lit(PERSONA))).select("id", "kind")
 
 
@@ -241,7 +242,7 @@ PARTS = Literal("parts", "id long, spec string, most int", [(1, "1,3,5-8", 7), (
 n AS (SELECT id, most, unnest(range(a::INT, CASE WHEN b = '' THEN a::INT ELSE b::INT END + 1)) AS i FROM b WHERE a <> '') SELECT id, string_agg(DISTINCT i, ',' ORDER BY i) AS chosen FROM n WHERE i BETWEEN 1 AND most GROUP BY id""")
 def index_ranges(spark, sf):
     """Selections like ``1,3,5-8`` as sorted distinct numbers within bounds; what isn't one is left out."""
-    rows = PARTS.frame(spark).select("id", "most", F.explode(F.split("spec", ",")).alias("p"))
+    rows = PARTS.frame(spark, sf).select("id", "most", F.explode(F.split("spec", ",")).alias("p"))
     rows = rows.select("id", "most", F.regexp_extract(F.trim("p"), "^(\\d+)(?:-(\\d+))?$", 1).alias("a"), F.regexp_extract(F.trim("p"), "^(\\d+)(?:-(\\d+))?$", 2).alias("b")).where("a <> ''")
     low, high = F.col("a").cast("int"), F.when(F.col("b") == "", F.col("a")).otherwise(F.col("b")).cast("int")
     rows = rows.where(low <= high).select("id", "most", F.explode(F.sequence(low, high)).alias("i")).where("i between 1 and most")
@@ -303,7 +304,7 @@ def history_wrapping(spark, sf):
 
 REPLIES = Literal("replies", "id long, raw string", [
     (1, '{"response": "Hi", "tags": ["a", "b"]}'), (2, 'Sure!\n```json\n{"response": "Fenced"}\n```'), (3, 'noise {"response": "Span", "caption": "c"} tail'), (4, 'broken "response": "Field", {'), (5, "plain words"), (6, None), (7, "{}"),
-])
+], given=("conversations", ["1000000 + conv_id * 1000 + turn", "text"]))
 _FENCE = "regexp_extract(raw, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1)"
 _SPAN = "regexp_extract(raw, '(?s)(\\{.*\\})', 1)"
 
@@ -317,5 +318,5 @@ def robust_json(spark, sf):
     fence, span = F.regexp_extract(raw, "(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```", 1), F.regexp_extract(raw, "(?s)(\\{.*\\})", 1)
     doc = F.when(F.try_parse_json(raw).isNotNull(), raw).when((fence != "") & valid(fence), fence).when((span != "") & valid(span), span)
     field = F.when(F.regexp_like(raw, F.lit('"response"\\s*:\\s*"')), F.regexp_extract(raw, '"response"\\s*:\\s*"([^"]*)"', 1)).otherwise(F.coalesce(raw, F.lit("")))
-    rows = REPLIES.frame(spark).withColumn("doc", doc)
+    rows = REPLIES.frame(spark, sf).withColumn("doc", doc)
     return rows.select("id", F.when(F.col("doc").isNotNull(), F.coalesce(F.get_json_object("doc", "$.response"), F.lit(""))).otherwise(field).alias("response"), F.col("doc").isNotNull().alias("parsed"))

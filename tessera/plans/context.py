@@ -143,7 +143,7 @@ SETS = Literal("sets", "id long, found array<string>, mine array<string>, keywor
 array_to_string(list_concat(list_filter(keywords, lambda x: NOT list_contains(found, x)), found), ';') AS merged, array_to_string(found[1:2], ';') AS first_two, coalesce(found[live + 1], 'none') AS picked FROM sets""")
 def array_sets(spark, sf):
     """Differences, intersections, slices, facts put in front where absent, and picks with a bounds check."""
-    rows = SETS.frame(spark)
+    rows = SETS.frame(spark, sf)
     absent = F.filter("keywords", lambda x: ~F.array_contains("found", x))
     return rows.select(
         "id", F.array_join(F.sort_array(F.array_distinct(F.array_except("found", "mine"))), ";").alias("third_party"), F.arrays_overlap("found", "keywords").alias("matches"), F.array_join(F.slice("found", F.lit(1), F.greatest(F.lit(0), F.size("found") - F.col("live"))), ";").alias("older"),
@@ -181,7 +181,7 @@ def purpose_labels(spark, sf):
     label = F.when(c.startswith("loop_cycle_"), F.concat(F.lit("Refinement "), F.substring(c, 12, 100))).otherwise(F.coalesce(c, F.lit("unknown")))
     for code, said in LABELS:
         label = F.when(c == code, said).otherwise(label)
-    return PURPOSES.frame(spark).select("code", label.alias("label"))
+    return PURPOSES.frame(spark, sf).select("code", label.alias("label"))
 
 
 @query("""WITH p AS (SELECT conv_id, count(*) AS n, sum(CASE WHEN role = 'user' THEN length(text) // 2 ELSE 0 END) AS user_tokens, sum(CASE WHEN role = 'assistant' THEN length(text) // 2 ELSE 0 END) AS reply_tokens, sum(CASE WHEN role = 'system' THEN length(text) // 2 ELSE 0 END) AS system_tokens, sum(length(text)) // 2 AS total FROM conversations GROUP BY conv_id)
@@ -222,7 +222,7 @@ CANDIDATES = Literal("candidates", "item long, fact int, cands array<string>", [
 @query(f"WITH {DECISIONS.sql}, {CANDIDATES.sql} SELECT item, fact, coalesce(verdict, 'KEEP_BOTH') AS verdict, cands[choice + 1] AS replaces FROM candidates LEFT JOIN decisions USING (item, fact)")
 def decision_join_back(spark, sf):
     """Decisions joined back to their facts; without one both stay, and a choice out of bounds replaces nothing."""
-    rows = CANDIDATES.frame(spark).join(DECISIONS.frame(spark), ["item", "fact"], "left")
+    rows = CANDIDATES.frame(spark, sf).join(DECISIONS.frame(spark, sf), ["item", "fact"], "left")
     return rows.select("item", "fact", F.coalesce("verdict", F.lit("KEEP_BOTH")).alias("verdict"), F.get("cands", F.col("choice")).alias("replaces"))
 
 

@@ -22,7 +22,7 @@ PAGES = Literal("pages_", "page_id long, title string, categories array<string>,
     (3, "List of bows", [], "# Bows\n{{Weapon|Long Bow}} and {{Tooltip|Short Bow|a small one}}.\n<u>Old</u> <b>and</b> <i>new</i><br/>bows\n}}\n__TOC__"),
     (4, "Mira Vale/Backstory", ["Coastal Union", "Stub"], "{{Quote|The tide waits|Tam}}\n== Part 1 ==\nA long road.\n==== Deep ====\nDeeper.\n=== Side ===\n\n== Part 2 ==\nHome."),
     (5, "Empty", None, ""),
-])
+], given=("documents", ["1000000 + doc_id", "source", "[lang]", "text"]))
 
 # Markup patterns, each with what it becomes.
 HTML = [("(?is)<u[^>]*>(.*?)</u>", "**\\1**"), ("(?is)<b[^>]*>(.*?)</b>", "**\\1**"), ("(?is)<i[^>]*>(.*?)</i>", "*\\1*"), ("(?i)<br\\s*/?>", "\n"), ("<[^>]+>", "")]
@@ -78,25 +78,25 @@ def markdown_sql(expr: str) -> str:
 MD = f"{PAGES.sql}, md AS (SELECT page_id, title, categories, wikitext, {markdown_sql('wikitext')} AS md FROM pages_)"
 
 
-def _md(spark) -> DataFrame:
-    return PAGES.frame(spark).withColumn("md", markdown(F.col("wikitext")))
+def _md(spark, sf) -> DataFrame:
+    return PAGES.frame(spark, sf).withColumn("md", markdown(F.col("wikitext")))
 
 
 @query(f"WITH {PAGES.sql} SELECT page_id, {chain_sql('wikitext', HTML)} AS html, {_TRIM.format(chain_sql('wikitext', HEADER))} AS header, {chain_sql('wikitext', BRACKETS)} AS brackets FROM pages_")
 def markup_tags(spark, sf):
     """HTML tags as markdown, titles without markup, and orphaned braces removed."""
     w = F.col("wikitext")
-    return PAGES.frame(spark).select("page_id", chain(w, HTML).alias("html"), trimmed(chain(w, HEADER)).alias("header"), chain(w, BRACKETS).alias("brackets"))
+    return PAGES.frame(spark, sf).select("page_id", chain(w, HTML).alias("html"), trimmed(chain(w, HEADER)).alias("header"), chain(w, BRACKETS).alias("brackets"))
 
 
 @query(f"WITH {PAGES.sql} SELECT page_id, {sanitized_sql('wikitext')} AS clean FROM pages_")
 def wikitext_sanitized(spark, sf):
-    return PAGES.frame(spark).select("page_id", sanitized(F.col("wikitext")).alias("clean"))
+    return PAGES.frame(spark, sf).select("page_id", sanitized(F.col("wikitext")).alias("clean"))
 
 
 @query(f"WITH {MD} SELECT page_id, md FROM md")
 def wikitext_markdown(spark, sf):
-    return _md(spark).select("page_id", "md")
+    return _md(spark, sf).select("page_id", "md")
 
 
 #: What an infobox is read from: links in its values hold pipes, so they become their text first.
@@ -118,7 +118,7 @@ def infobox(wikitext: Column) -> tuple[Column, Column]:
 @query(f"WITH {PAGES.sql} SELECT page_id, trim({_BOX[1]}, ' ' || chr(10)) AS template, array_to_string(list_sort(list_transform({_PARAMS}, lambda p: p[1] || '=' || p[2])), ';') AS params FROM pages_")
 def infobox_params(spark, sf):
     name, params = infobox(F.col("wikitext"))
-    rows = PAGES.frame(spark).select("page_id", name.alias("template"), F.map_entries(params).alias("p"))
+    rows = PAGES.frame(spark, sf).select("page_id", name.alias("template"), F.map_entries(params).alias("p"))
     return rows.select("page_id", "template", F.array_join(F.sort_array(F.transform("p", lambda p: F.concat(p["key"], F.lit("="), p["value"]))), ";").alias("params"))
 
 
@@ -127,7 +127,7 @@ SELECT page_id, CASE WHEN len(p) = 0 THEN '' ELSE coalesce(m['name'], title) ||
 def infobox_sentence(spark, sf):
     """The infobox as one sentence, image and name fields aside."""
     params = infobox(F.col("wikitext"))[1]
-    rows = PAGES.frame(spark).select("page_id", F.coalesce(F.try_element_at(params, F.lit("name")), "title").alias("name"), F.filter(F.map_entries(params), lambda p: ~p["key"].isin("image", "name")).alias("p"))
+    rows = PAGES.frame(spark, sf).select("page_id", F.coalesce(F.try_element_at(params, F.lit("name")), "title").alias("name"), F.filter(F.map_entries(params), lambda p: ~p["key"].isin("image", "name")).alias("p"))
     said = F.array_join(F.transform("p", lambda p: F.concat(p["key"], F.lit(": "), p["value"])), "; ")
     return rows.select("page_id", F.when(F.size("p") == 0, "").otherwise(F.concat("name", F.lit(" — "), said, F.lit("."))).alias("sentence"))
 
@@ -136,7 +136,7 @@ def infobox_sentence(spark, sf):
 SELECT page_id, trim(split_part(body, '|', 1)) AS template, len(string_split(body, '|')) - 1 AS n_args FROM t WHERE NOT contains(lower(split_part(body, '|', 1)), 'infobox')""")
 def template_list(spark, sf):
     """The innermost templates besides infoboxes, with their numbers of arguments."""
-    rows = PAGES.frame(spark).select("page_id", F.explode(F.regexp_extract_all("wikitext", F.lit("\\{\\{([^{}]*)\\}\\}"), F.lit(1))).alias("body"))
+    rows = PAGES.frame(spark, sf).select("page_id", F.explode(F.regexp_extract_all("wikitext", F.lit("\\{\\{([^{}]*)\\}\\}"), F.lit(1))).alias("body"))
     name = F.substring_index("body", "|", 1)
     return rows.where(~F.contains(F.lower(name), F.lit("infobox"))).select("page_id", F.trim(name).alias("template"), (F.size(F.split("body", "\\|")) - 1).cast("long").alias("n_args"))
 
@@ -144,7 +144,7 @@ def template_list(spark, sf):
 @query(f"""WITH {PAGES.sql}, t AS (SELECT lower(unnest(regexp_extract_all(wikitext, '\\{{\\{{([^{{}}|]+)', 1))) AS template FROM pages_) SELECT trim(template, ' ' || chr(10)) AS template, count(*) AS n FROM t GROUP BY 1""")
 def unknown_templates(spark, sf):
     """How often each template name occurs."""
-    rows = PAGES.frame(spark).select(F.explode(F.regexp_extract_all("wikitext", F.lit("\\{\\{([^{}|]+)"), F.lit(1))).alias("t"))
+    rows = PAGES.frame(spark, sf).select(F.explode(F.regexp_extract_all("wikitext", F.lit("\\{\\{([^{}|]+)"), F.lit(1))).alias("t"))
     return rows.groupBy(F.btrim(F.lower("t"), F.lit(" \n")).alias("template")).agg(F.count("*").alias("n"))
 
 
@@ -167,7 +167,7 @@ def markup_entities(spark, sf):
     links = F.regexp_extract_all("wikitext", F.lit("\\[\\[([^\\]|]+)"), F.lit(1))
     named = F.regexp_extract_all("wikitext", F.lit(f"(?i)\\{{\\{{(?:{NAMED})\\|([^}}|]+)"), F.lit(1))
     names = F.filter(F.transform(F.concat(links, named), entity_name), lambda e: e != "")
-    return PAGES.frame(spark).select("page_id", F.array_join(F.sort_array(F.array_distinct(names)), ";").alias("entities"))
+    return PAGES.frame(spark, sf).select("page_id", F.array_join(F.sort_array(F.array_distinct(names)), ";").alias("entities"))
 
 
 @query(f"""WITH {MD}, e AS (SELECT page_id, md, {_ENT} AS es FROM md) SELECT page_id, array_to_string(list_filter(es, lambda e: length(e) BETWEEN 2 AND 40 AND lower(e) NOT IN ('{"', '".join(STOP + BLACK)}') AND contains(lower(md), lower(e)) AND NOT regexp_matches(e, '^[0-9]|:')), ';') AS entities FROM e""")
@@ -176,12 +176,12 @@ def entity_list_clean(spark, sf):
     links = F.regexp_extract_all("wikitext", F.lit("\\[\\[([^\\]|]+)"), F.lit(1))
     named = F.regexp_extract_all("wikitext", F.lit(f"(?i)\\{{\\{{(?:{NAMED})\\|([^}}|]+)"), F.lit(1))
     good = lambda e: F.length(e).between(2, 40) & ~F.lower(e).isin(STOP + BLACK) & F.contains(F.lower("md"), F.lower(e)) & ~F.regexp_like(e, F.lit("^[0-9]|:"))
-    return _md(spark).select("page_id", F.array_join(F.filter(F.concat(links, named), good), ";").alias("entities"))
+    return _md(spark, sf).select("page_id", F.array_join(F.filter(F.concat(links, named), good), ";").alias("entities"))
 
 
-def _lines(spark) -> DataFrame:
+def _lines(spark, sf) -> DataFrame:
     """A row for each markdown line: ``page_id, seq, line, level, heading``; level 0 where it is no heading."""
-    rows = _md(spark).select("page_id", "title", F.posexplode(F.split("md", "\n")).alias("seq", "line"))
+    rows = _md(spark, sf).select("page_id", "title", F.posexplode(F.split("md", "\n")).alias("seq", "line"))
     rows = rows.withColumn("seq", F.col("seq").cast("long"))
     return rows.withColumns({"level": F.length(F.regexp_extract("line", "^(#{1,6})\\s", 1)).cast("long"), "heading": F.when(F.regexp_like("line", F.lit("^#{1,6}\\s")), F.trim(F.regexp_replace("line", "^#{1,6}\\s+", "")))})
 
@@ -200,7 +200,7 @@ r AS (SELECT *, lower(coalesce(sec, '')) IN ('{"', '".join(BOILERPLATE)}') AS go
 SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY seq) FILTER (NOT gone), '') AS kept, coalesce(string_agg(heading, ';' ORDER BY seq) FILTER (gone AND heading IS NOT NULL), '') AS removed FROM r GROUP BY page_id""")
 def boilerplate_removed(spark, sf):
     """Lines under the last heading are dropped if its title is on the list; the titles dropped are reported."""
-    rows = _lines(spark).withColumn("gone", F.lower(F.coalesce(F.last("heading", ignorenulls=True).over(_so_far()), F.lit(""))).isin(BOILERPLATE))
+    rows = _lines(spark, sf).withColumn("gone", F.lower(F.coalesce(F.last("heading", ignorenulls=True).over(_so_far()), F.lit(""))).isin(BOILERPLATE))
     joined = lambda c, cond, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("seq", c)))), lambda x: x[c]), sep)
     return rows.groupBy("page_id").agg(joined("line", ~F.col("gone"), "\n").alias("kept"), joined("heading", F.col("gone") & F.col("heading").isNotNull(), ";").alias("removed"))
 
@@ -216,22 +216,22 @@ SECTIONS = f"""{LINES}, n AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY
 sections AS (SELECT page_id, section, max(title) AS title, coalesce(max(heading), 'Lead') AS heading, max(level) AS level, coalesce(trim(string_agg(line, chr(10) ORDER BY seq) FILTER (level = 0), chr(10) || ' '), '') AS content, min(seq) AS start FROM n GROUP BY page_id, section)"""
 
 
-def _sections(spark) -> DataFrame:
+def _sections(spark, sf) -> DataFrame:
     """A row for each section, the lead being section 0: ``page_id, section, title, heading, level, content, start``."""
-    rows = _lines(spark).withColumn("section", F.sum((F.col("level") > 0).cast("long")).over(_so_far()))
+    rows = _lines(spark, sf).withColumn("section", F.sum((F.col("level") > 0).cast("long")).over(_so_far()))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("seq", "line")))), lambda x: x["line"]), "\n")
     return rows.groupBy("page_id", "section").agg(F.max("title").alias("title"), F.coalesce(F.max("heading"), F.lit("Lead")).alias("heading"), F.max("level").alias("level"), F.btrim(body, F.lit("\n ")).alias("content"), F.min("seq").alias("start"))
 
 
 @query(f"WITH {SECTIONS} SELECT page_id, section::BIGINT AS section, heading, level, content FROM sections WHERE content <> '' OR level > 0")
 def page_sections(spark, sf):
-    return _sections(spark).where("content <> '' or level > 0").select("page_id", "section", "heading", "level", "content")
+    return _sections(spark, sf).where("content <> '' or level > 0").select("page_id", "section", "heading", "level", "content")
 
 
 @query(f"WITH {SECTIONS} SELECT page_id, section::BIGINT AS section, start, coalesce(lead(start) OVER (PARTITION BY page_id ORDER BY section), -1) AS end_ FROM sections")
 def section_ends(spark, sf):
     """Where each section ends: the start of the next one, or -1."""
-    return _sections(spark).select("page_id", "section", "start", F.coalesce(F.lead("start").over(Window.partitionBy("page_id").orderBy("section")), F.lit(-1)).alias("end_"))
+    return _sections(spark, sf).select("page_id", "section", "start", F.coalesce(F.lead("start").over(Window.partitionBy("page_id").orderBy("section")), F.lit(-1)).alias("end_"))
 
 
 PATHS = f"""{SECTIONS}, h2 AS (SELECT *, sum((level IN (1, 2))::INT) OVER w AS i2 FROM sections WINDOW w AS (PARTITION BY page_id ORDER BY section)),
@@ -239,11 +239,11 @@ paths AS (SELECT *, sum((level = 3)::INT) OVER (PARTITION BY page_id, i2 ORDER B
   last_value(CASE WHEN level = 3 THEN heading END IGNORE NULLS) OVER (PARTITION BY page_id, i2 ORDER BY section) AS t3 FROM h2)"""
 
 
-def _paths(spark) -> DataFrame:
+def _paths(spark, sf) -> DataFrame:
     """Sections with the counters and titles of their h2 and h3; the h3 counter starts anew under each h2."""
     page, under = Window.partitionBy("page_id").orderBy("section"), Window.partitionBy("page_id", "i2").orderBy("section")
     top = F.col("level").isin(1, 2)
-    rows = _sections(spark).withColumn("i2", F.sum(top.cast("long")).over(page))
+    rows = _sections(spark, sf).withColumn("i2", F.sum(top.cast("long")).over(page))
     return rows.withColumns({
         "i3": F.sum((F.col("level") == 3).cast("long")).over(under), "t2": F.max(F.when(top, F.col("heading"))).over(Window.partitionBy("page_id", "i2")),
         "t3": F.last(F.when(F.col("level") == 3, F.col("heading")), ignorenulls=True).over(under),
@@ -253,7 +253,7 @@ def _paths(spark) -> DataFrame:
 @query(f"WITH {PATHS} SELECT page_id, section::BIGINT AS section, i2::BIGINT AS i2, i3::BIGINT AS i3, concat_ws(' > ', title, t2, t3) AS path, page_id || ':' || i2 || '.' || i3 AS section_id FROM paths")
 def heading_paths(spark, sf):
     path = F.concat_ws(" > ", "title", "t2", "t3")
-    return _paths(spark).select("page_id", "section", "i2", "i3", path.alias("path"), F.concat_ws("", F.col("page_id"), F.lit(":"), "i2", F.lit("."), "i3").alias("section_id"))
+    return _paths(spark, sf).select("page_id", "section", "i2", "i3", path.alias("path"), F.concat_ws("", F.col("page_id"), F.lit(":"), "i2", F.lit("."), "i3").alias("section_id"))
 
 
 @query(f"""WITH {PATHS} SELECT page_id, page_id || ':' || i2 || '.' || i3 AS parent_id, max(concat_ws(' > ', title, t2, t3)) AS path,
@@ -261,7 +261,7 @@ string_agg(CASE WHEN level > 3 THEN repeat('#', level::BIGINT) || ' ' || heading
 def page_parents(spark, sf):
     """One parent for each h2 and each h3 below it; deeper headings are folded into the body."""
     own = F.concat(F.when(F.col("level") > 3, F.concat(F.repeat(F.lit("#"), F.col("level").cast("int")), F.lit(" "), "heading", F.lit("\n"))).otherwise(""), "content")
-    rows = _paths(spark).where("content <> ''").select("*", F.struct("section", own.alias("own")).alias("part"))
+    rows = _paths(spark, sf).where("content <> ''").select("*", F.struct("section", own.alias("own")).alias("part"))
     grouped = rows.groupBy("page_id", "i2", "i3").agg(F.max(F.concat_ws(" > ", "title", "t2", "t3")).alias("path"), F.sort_array(F.collect_list("part")).alias("parts"))
     return grouped.select("page_id", F.concat_ws("", "page_id", F.lit(":"), "i2", F.lit("."), "i3").alias("parent_id"), "path", F.array_join(F.transform("parts", lambda p: p["own"]), "\n\n").alias("body"))
 
@@ -274,9 +274,9 @@ hd AS (SELECT *, list_transform(string_split_regex(regexp_replace(list_filter(rs
 ce AS (SELECT page_id, table_, hs, i - 1 AS row_, list_transform(string_split_regex(regexp_replace(ds[i], '^\\|\\s*', ''), '\\s*\\|\\|\\s*|\\n\\s*\\|\\s*'), lambda c: {chain_sql('trim(c)', _CELL)}) AS cs FROM (SELECT *, unnest(range(1, len(ds) + 1)) AS i FROM hd))"""
 
 
-def _tables(spark) -> DataFrame:
+def _tables(spark, sf) -> DataFrame:
     """A row for each table row: ``page_id, table_, row_, hs, cs``, headers and cells without markup."""
-    rows = PAGES.frame(spark).select("page_id", F.posexplode(F.regexp_extract_all("wikitext", F.lit(_TABLE), F.lit(1))).alias("table_", "body"))
+    rows = PAGES.frame(spark, sf).select("page_id", F.posexplode(F.regexp_extract_all("wikitext", F.lit(_TABLE), F.lit(1))).alias("table_", "body"))
     rs = F.filter(F.transform(F.split("body", "\\n\\|-[^\\n]*\\n"), lambda r: F.btrim(r, F.lit(" \n"))), lambda r: r != "")
     rows = rows.select("page_id", F.col("table_").cast("long").alias("table_"), rs.alias("rs"))
     head = F.get(F.filter("rs", lambda r: r.startswith("!")), F.lit(0))
@@ -290,13 +290,13 @@ def _tables(spark) -> DataFrame:
 def table_rows(spark, sf):
     """Wikitext tables as sentences: cells zipped with their headers, short rows allowed."""
     said = F.transform(F.arrays_zip("hs", "cs"), lambda p: F.when(p["hs"].isNotNull() & p["cs"].isNotNull(), F.concat(p["hs"], F.lit(": "), p["cs"], F.lit("."))))
-    return _tables(spark).select("page_id", "table_", "row_", F.array_join(said, " ").alias("inlined"))
+    return _tables(spark, sf).select("page_id", "table_", "row_", F.array_join(said, " ").alias("inlined"))
 
 
 @query(f"WITH {TABLES} SELECT page_id, table_, '| ' || array_to_string(max(hs), ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', len(max(hs))) || chr(10) || string_agg('| ' || array_to_string(cs, ' | ') || ' |', chr(10) ORDER BY row_) AS gfm FROM ce GROUP BY page_id, table_")
 def tables_as_markdown(spark, sf):
     line = lambda c: F.concat(F.lit("| "), F.array_join(c, " | "), F.lit(" |"))
-    rows = _tables(spark).groupBy("page_id", "table_").agg(F.first("hs").alias("hs"), F.sort_array(F.collect_list(F.struct("row_", line("cs").alias("line")))).alias("rows"))
+    rows = _tables(spark, sf).groupBy("page_id", "table_").agg(F.first("hs").alias("hs"), F.sort_array(F.collect_list(F.struct("row_", line("cs").alias("line")))).alias("rows"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size("hs")))
     return rows.select("page_id", "table_", F.concat_ws("\n", line("hs"), rule, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("gfm"))
 
@@ -306,15 +306,15 @@ def tables_as_markdown(spark, sf):
 SELECT page_id, section::BIGINT AS section, table_ FROM s JOIN t USING (page_id, k)""")
 def table_sections(spark, sf):
     """The i-th table of a page belongs to the i-th section that holds one."""
-    tables = core.ranked(_tables(spark).select("page_id", "table_").distinct(), ["page_id"], ["table_"], "k")
-    holders = core.ranked(_sections(spark).where(F.contains("content", F.lit("{|"))), ["page_id"], ["section"], "k")
+    tables = core.ranked(_tables(spark, sf).select("page_id", "table_").distinct(), ["page_id"], ["table_"], "k")
+    holders = core.ranked(_sections(spark, sf).where(F.contains("content", F.lit("{|"))), ["page_id"], ["section"], "k")
     return holders.join(tables, ["page_id", "k"]).select("page_id", "section", "table_")
 
 
 TALK = Literal("talk", "scene long, seq long, line string", [
     (1, 0, "Mira: Where is the tide?"), (1, 1, "It moved."), (1, 2, "Tam: Behind the wall."), (1, 3, "(Approach the door)"), (1, 4, "Narrator: Night falls."), (1, 5, "A bell rings."), (1, 6, "Mira: I see."), (1, 7, "Tam: Go on."),
     (2, 0, "Silence."), (2, 1, "Tam: Who is there?"), (2, 2, "And why?"),
-])
+], given=("conversations", ["1000000 + conv_id", "turn", "concat(role, ': ', text)"]))
 SPEAKER = "^([\\p{L}][\\p{L} ]{0,30}): "
 TURNS = f"""{TALK.sql}, sp AS (SELECT *, CASE WHEN regexp_matches(line, '{SPEAKER}') THEN regexp_extract(line, '{SPEAKER}', 1) WHEN line[1:1] = '(' THEN 'Rule' END AS who FROM talk),
 pv AS (SELECT *, last_value(who IGNORE NULLS) OVER (PARTITION BY scene ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sp),
@@ -337,13 +337,13 @@ def turns(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {TURNS} SELECT scene, turn::BIGINT AS turn, speaker, said FROM turns")
 def dialogue_turns(spark, sf):
-    return turns(TALK.frame(spark))
+    return turns(TALK.frame(spark, sf))
 
 
 @query(f"WITH {TURNS} SELECT scene, array_to_string(list_sort(list_distinct(list_concat(list(speaker), ['Mira', 'Harbor']))), ';') AS entities FROM turns GROUP BY scene")
 def scene_entities(spark, sf):
     """A scene's speakers together with the entities of its section, sorted."""
-    return turns(TALK.frame(spark)).groupBy("scene").agg(F.array_join(F.sort_array(F.array_union(F.collect_set("speaker"), F.array(F.lit("Mira"), F.lit("Harbor")))), ";").alias("entities"))
+    return turns(TALK.frame(spark, sf)).groupBy("scene").agg(F.array_join(F.sort_array(F.array_union(F.collect_set("speaker"), F.array(F.lit("Mira"), F.lit("Harbor")))), ";").alias("entities"))
 
 
 @query()

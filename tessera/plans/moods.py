@@ -147,7 +147,7 @@ def content_tags(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_compact(F.array(*tags)), ";").alias("tags"), F.when(F.length("text") > 80, F.concat(F.substring("text", 1, 77), F.lit("..."))).otherwise(F.col("text")).alias("caption"))
 
 
-NOTES = Literal("notes", "id long, raw string", [(1, '["Likes tea", " ", "Lives by the sea"]'), (2, "One line\n- two\n\n* three"), (3, ""), (4, None)])
+NOTES = Literal("notes", "id long, raw string", [(1, '["Likes tea", " ", "Lives by the sea"]'), (2, "One line\n- two\n\n* three"), (3, ""), (4, None)], given=("documents", ["1000000 + doc_id", "text"]))
 
 
 @query(f"""WITH {NOTES.sql}, l AS (SELECT id, CASE WHEN raw IS NULL THEN [] WHEN starts_with(raw, '[') THEN (raw::JSON)::VARCHAR[] ELSE string_split(raw, chr(10)) END AS ls FROM notes)
@@ -156,7 +156,7 @@ def fact_bullets(spark, sf):
     """Facts that come as a list or as lines, as bullet points."""
     items = F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")).otherwise(F.split("raw", "\n"))
     bare = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(F.trim(x), "^[-*]\\s*", ""))), lambda x: x != "")
-    return NOTES.frame(spark).select("id", F.array_join(F.transform(bare, lambda x: F.concat(F.lit("- "), x)), "\n").alias("bullets"))
+    return NOTES.frame(spark, sf).select("id", F.array_join(F.transform(bare, lambda x: F.concat(F.lit("- "), x)), "\n").alias("bullets"))
 
 
 ANSWERS = Literal("answers", "id long, doc string", [(1, '{"response": "Hi", "sentiment": "0.7", "images": ["a", "b", "c", "d"], "tags": "x"}'), (2, '{"response": 5, "images": []}'), (3, "{}")])
@@ -167,7 +167,7 @@ def response_fields(spark, sf):
     """Fields of a reply with their types forced: texts, a number or 0, and at most three images."""
     get = lambda p: F.get_json_object("doc", p)
     images = F.from_json(get("$.images"), "array<string>")
-    return ANSWERS.frame(spark).select("id", F.coalesce(get("$.response"), F.lit("")).alias("response"), F.coalesce(F.expr("try_cast(get_json_object(doc, '$.sentiment') as double)"), F.lit(0.0)).alias("sentiment"), F.least(F.lit(3), F.coalesce(F.size(images), F.lit(0))).cast("long").alias("images"))
+    return ANSWERS.frame(spark, sf).select("id", F.coalesce(get("$.response"), F.lit("")).alias("response"), F.coalesce(F.expr("try_cast(get_json_object(doc, '$.sentiment') as double)"), F.lit(0.0)).alias("sentiment"), F.least(F.lit(3), F.coalesce(F.size(images), F.lit(0))).cast("long").alias("images"))
 
 
 FILES = Literal("files", "id long, head string, ip string", [(1, "FFD8FFE0", "10.1.2.3"), (2, "89504E470D0A1A0A", "8.8.8.8"), (3, "52494646AAAAAAAA57454250", "127.0.0.1"), (4, "4749463839", "192.168.0.9"), (5, "00", "172.20.1.1"), (6, "25504446", "169.254.1.1"), (7, "FFD8", "x")])
@@ -192,7 +192,7 @@ def fetch_guards(spark, sf):
         kind = F.when(F.regexp_like("head", F.lit(pattern)), name).otherwise(kind)
     part = lambda k: F.regexp_extract("ip", "^(\\d+)\\.(\\d+)\\.(\\d+)\\.(\\d+)$", k)
     n = F.when(part(1) != "", part(1).cast("long") * 16777216 + part(2).cast("long") * 65536 + part(3).cast("long") * 256 + part(4).cast("long"))
-    rows = FILES.frame(spark).withColumn("n", n)
+    rows = FILES.frame(spark, sf).withColumn("n", n)
     inside = [F.shiftright("n", 32 - m) == (_number(net) >> (32 - m)) for net, m in DENIED]
     denied = F.col("n").isNull()
     for test in inside:

@@ -35,7 +35,7 @@ MODES = Literal("modes", "mode string, stages array<string>", [("full", ["scan",
 
 @query(f"WITH {MODES.sql} SELECT mode, k AS step, stages[k] AS stage, k = len(stages) AS last FROM (SELECT *, unnest(range(1, len(stages) + 1)) AS k FROM modes)")
 def pipeline_modes(spark, sf):
-    rows = MODES.frame(spark).select("mode", F.size("stages").alias("n"), F.posexplode("stages").alias("k", "stage"))
+    rows = MODES.frame(spark, sf).select("mode", F.size("stages").alias("n"), F.posexplode("stages").alias("k", "stage"))
     return rows.select("mode", (F.col("k") + 1).cast("long").alias("step"), "stage", (F.col("k") + 1 == F.col("n")).alias("last"))
 
 
@@ -68,7 +68,7 @@ ENTITIES = Literal("seed", "name string, kind string, aliases array<string>, reg
 def seed_entities(spark, sf):
     """The entities that a registry starts with, and which part of a persona speaks of each kind."""
     snippet = F.when(F.col("kind") == "CHARACTER", "personality").when(F.col("kind") == "REGION", "profile").otherwise("both")
-    return ENTITIES.frame(spark).select("name", "kind", F.size("aliases").cast("long").alias("n_aliases"), F.coalesce("region", F.lit("")).alias("region"), snippet.alias("snippet"))
+    return ENTITIES.frame(spark, sf).select("name", "kind", F.size("aliases").cast("long").alias("n_aliases"), F.coalesce("region", F.lit("")).alias("region"), snippet.alias("snippet"))
 
 
 @query("SELECT doc_id, lang, source, n_chars, CASE WHEN length(text) >= 50 THEN lang || ';EnrichedLore' ELSE lang END AS categories, md5(text) AS text_hash FROM documents")
@@ -110,7 +110,7 @@ w AS (SELECT *, len(regexp_extract_all(body, '[^ \\t\\n]+')) AS n FROM c) SELECT
 n < 15 OR length(body) < 20 OR (n < 45 AND regexp_matches(lower(body), 'license|copyright|cookie')) AS dropped FROM w""")
 def chunk_json_clean(spark, sf):
     """Stored chunks cleaned: markup and spacing, entities that occur, a prefix, and the gate; lines that are no JSON go."""
-    rows = CHUNKS.frame(spark).withColumn("c", F.from_json(F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")), "title string, text string, entities array<string>")).where("c is not null")
+    rows = CHUNKS.frame(spark, sf).withColumn("c", F.from_json(F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")), "title string, text string, entities array<string>")).where("c is not null")
     body = F.trim(F.regexp_replace(F.regexp_replace("c.text", "<[^>]*>", ""), " +([.,])", "$1"))
     rows = rows.select("id", "c", body.alias("body")).withColumn("n", texts.word_count(F.col("body")))
     kept = F.filter(F.coalesce("c.entities", F.array().cast("array<string>")), lambda e: (F.length(e) >= 2) & (e != "the") & F.contains("body", e))

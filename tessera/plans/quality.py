@@ -40,7 +40,7 @@ SECTION_RULES = [
 PROFILE = Literal("profile", "page_id long, title string, categories array<string>, infobox string, sections array<string>", [
     (1, "Mira Vale", ["Playable Characters", "Weapons"], "Character Infobox", ["Story"]), (2, "Tide Bow", [], "Weapon Infobox", []), (3, "Blade", None, "Weapon Stats Infobox", []), (4, "Mira/Backstory", [], None, []),
     (5, "Chapter 3", [], "", []), (6, "List of ports", ["Harbors"], None, []), (7, "Guild", [], None, ["Members", "Departments", "Dialogue"]), (8, "Foo", [], None, ["History"]), (9, "The Gate", ["World Quests"], None, []), (10, "Vale (disambiguation)", None, None, None),
-])
+], given=("documents", ["1000000 + doc_id", "source", "[lang]", "lang", "[source]"]))
 
 
 def classified(rows: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ SELECT page_id, v.kind AS kind, v.confidence AS confidence, v.source AS source,
 
 @query(_classes_sql())
 def page_types(spark, sf):
-    return classified(PROFILE.frame(spark)).select("page_id", "kind", "confidence", "source", "is_skip")
+    return classified(PROFILE.frame(spark, sf)).select("page_id", "kind", "confidence", "source", "is_skip")
 
 
 # Deductions of the gates.
@@ -100,12 +100,12 @@ g AS (SELECT page_id, count(*) AS n, sum((above > 0 AND level > above + 2)::INT)
 SELECT page_id, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE round(greatest(0.0, 1.0 - {SKIP} * coalesce(skips, 0) - {EMPTY} * coalesce(empty, 0) - {FAILED_TABLE} * ({_FAILED})), 2) END::DOUBLE AS score, coalesce(n, 0)::BIGINT AS sections FROM pages_ LEFT JOIN g USING (page_id)""")
 def gate_structure(spark, sf):
     """1 less what skipped heading levels, empty sections and tables that can't be parsed cost; 0 without sections."""
-    rows = markup._sections(spark).where("content <> '' or level > 0").withColumn("above", F.lag("level").over(Window.partitionBy("page_id").orderBy("section")))
+    rows = markup._sections(spark, sf).where("content <> '' or level > 0").withColumn("above", F.lag("level").over(Window.partitionBy("page_id").orderBy("section")))
     skip = F.coalesce((F.col("above") > 0) & (F.col("level") > F.col("above") + 2), F.lit(False))
     found = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(skip.cast("int")).alias("skips"), F.sum((F.col("content") == "").cast("int")).alias("empty"))
     failed = F.regexp_count("wikitext", F.lit("\\{\\|")) - F.size(F.regexp_extract_all("wikitext", F.lit("(?s)\\{\\|.*?\\n\\|\\}"), F.lit(0)))
     score = F.greatest(F.lit(0.0), 1.0 - SKIP * F.col("skips") - EMPTY * F.col("empty") - FAILED_TABLE * failed)
-    rows = PAGES.frame(spark).join(found, "page_id", "left")
+    rows = PAGES.frame(spark, sf).join(found, "page_id", "left")
     return rows.select("page_id", F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.round(score, 2)).alias("score"), F.coalesce("n", F.lit(0)).alias("sections"))
 
 
@@ -122,7 +122,7 @@ def gate_content_entities(spark, sf):
     content = 1.0 - NAVIGATION * nav.cast("int") - NO_CONTENT * (F.col("md") == "").cast("int")
     entity = 1.0 - NO_PRIMARY * (F.size(names) == 0).cast("int") - NO_NAME * F.contains("title", F.lit("/")).cast("int")
     least = lambda x: F.round(F.greatest(F.lit(0.0), x), 2)
-    return markup._md(spark).select("page_id", least(content).alias("content_score"), ((F.col("md") != "") & ~nav).alias("content_ok"), least(entity).alias("entity_score"))
+    return markup._md(spark, sf).select("page_id", least(content).alias("content_score"), ((F.col("md") != "") & ~nav).alias("content_ok"), least(entity).alias("entity_score"))
 
 
 _G4 = """g AS (SELECT doc_id, source, lang, greatest(1, floor(length(text) / 1.3)) AS tokens, min(doc_id) OVER (PARTITION BY md5(text)) < doc_id AS again FROM documents),
@@ -159,7 +159,7 @@ def chunks_per_page(spark, sf):
 
 # Categories without meaning for readers.
 JUNK, JUNK_WORDS = "(?i)^(pages|articles) (with|using)|stubs?$|templates?$", ["hidden categories", "maintenance"]
-CATS = Literal("cats", "page_id long, names array<string>", [(1, ["Ports", "ports", "Pages with maps", "Hidden Categories"]), (2, ["Bow stub", "Ports", ""]), (3, None), (4, ["Ports", "Regions", "Ports"])])
+CATS = Literal("cats", "page_id long, names array<string>", [(1, ["Ports", "ports", "Pages with maps", "Hidden Categories"]), (2, ["Bow stub", "Ports", ""]), (3, None), (4, ["Ports", "Regions", "Ports"])], given=("documents", ["1000000 + doc_id", "[lang, source, lang]"]))
 _JUNK = f"(c = '' OR lower(trim(c)) IN ('{JUNK_WORDS[0]}', '{JUNK_WORDS[1]}') OR regexp_matches(c, '{JUNK}'))"
 
 
@@ -171,12 +171,12 @@ def junk(c: Column) -> Column:
 SELECT page_id, coalesce(string_agg(c, ';' ORDER BY k), '') AS kept FROM cats LEFT JOIN d USING (page_id) GROUP BY page_id""")
 def categories_clean(spark, sf):
     """Distinct categories in order without the junk."""
-    return CATS.frame(spark).select("page_id", F.coalesce(F.array_join(F.array_distinct(F.filter("names", lambda c: ~junk(c))), ";"), F.lit("")).alias("kept"))
+    return CATS.frame(spark, sf).select("page_id", F.coalesce(F.array_join(F.array_distinct(F.filter("names", lambda c: ~junk(c))), ";"), F.lit("")).alias("kept"))
 
 
 @query(f"WITH {CATS.sql}, e AS (SELECT unnest(names) AS c FROM cats) SELECT c AS category, count(*) AS n, {_JUNK} AS junk FROM e GROUP BY ALL")
 def category_frequency(spark, sf):
-    rows = CATS.frame(spark).select(F.explode("names").alias("c"))
+    rows = CATS.frame(spark, sf).select(F.explode("names").alias("c"))
     return rows.groupBy(F.col("c").alias("category")).agg(F.count("*").alias("n")).withColumn("junk", junk(F.col("category")))
 
 
@@ -193,7 +193,7 @@ def taxonomy_fallback(spark, sf):
     for field, priority, name, alias in sorted(TAXONOMY.rows, key=lambda r: -r[1]):
         said = F.contains(F.concat(F.lower(F.array_join(F.coalesce("categories", F.array().cast("array<string>")), " ")), F.lit(" "), F.lower("title")), F.lit(alias))
         by[field] = F.when(said, name).otherwise(by.get(field, F.lit(None).cast("string")))
-    return PAGES.frame(spark).select("page_id", *[by[f].alias(f) for f in ("element", "weapon", "region")])
+    return PAGES.frame(spark, sf).select("page_id", *[by[f].alias(f) for f in ("element", "weapon", "region")])
 
 
 @query("""WITH t AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^ \\t\\n]+')) AS words, starts_with(text, '{') AS json FROM documents)
@@ -220,7 +220,7 @@ CASE WHEN contains(title, ':') THEN 'namespace' WHEN regexp_matches(title, '(?i)
 def page_selection(spark, sf):
     """Which titles are crawled, and why: namespaces and noise are denied first, lore and main pages allowed."""
     reason = F.when(F.contains("title", F.lit(":")), "namespace").when(F.regexp_like("title", F.lit("(?i)^list of|gallery")), "noise").when(F.contains("title", F.lit("/")), "lore").otherwise("main")
-    rows = PAGES.frame(spark).withColumn("reason", reason)
+    rows = PAGES.frame(spark, sf).withColumn("reason", reason)
     return rows.select("page_id", F.when(F.col("reason").isin("namespace", "noise"), "deny").otherwise("allow").alias("verdict"), "reason")
 
 
@@ -228,7 +228,7 @@ def page_selection(spark, sf):
 SELECT page_id, coalesce(main, page_id) AS parent, coalesce(nullif(array_to_string(coalesce(categories, []), ';'), ''), cats, '') AS categories FROM p LEFT JOIN r USING (root)""")
 def metadata_inheritance(spark, sf):
     """Subpages take what they lack from the page before the slash."""
-    rows = PAGES.frame(spark).withColumn("root", F.substring_index("title", "/", 1)).withColumn("own", F.array_join(F.coalesce("categories", F.array().cast("array<string>")), ";"))
+    rows = PAGES.frame(spark, sf).withColumn("root", F.substring_index("title", "/", 1)).withColumn("own", F.array_join(F.coalesce("categories", F.array().cast("array<string>")), ";"))
     main = rows.where(~F.contains("title", F.lit("/"))).groupBy("root").agg(F.min("page_id").alias("main"), F.max("own").alias("cats"))
     return rows.join(main, "root", "left").select("page_id", F.coalesce("main", "page_id").alias("parent"), F.coalesce(F.nullif("own", F.lit("")), "cats", F.lit("")).alias("categories"))
 
@@ -240,9 +240,9 @@ ALIASES = Literal("aliases", "seq int, alias string, canonical string", [(1, "Mi
 l AS (SELECT page_id, title, unnest({markup._ENT}) AS link FROM pages_) SELECT DISTINCT page_id, coalesce(canonical, trim(link)) AS target, canonical IS NOT NULL AS known FROM l LEFT JOIN a ON k = lower(trim(link)) WHERE coalesce(canonical, trim(link)) <> title AND NOT contains(link, ':')""")
 def cross_references(spark, sf):
     """Links of each page through the alias table (of several registrations the last wins), distinct and without the page itself."""
-    known = ALIASES.frame(spark).groupBy(F.lower("alias").alias("k")).agg(F.max_by("canonical", "seq").alias("canonical"))
+    known = ALIASES.frame(spark, sf).groupBy(F.lower("alias").alias("k")).agg(F.max_by("canonical", "seq").alias("canonical"))
     names = F.concat(F.regexp_extract_all("wikitext", F.lit("\\[\\[([^\\]|]+)"), F.lit(1)), F.regexp_extract_all("wikitext", F.lit(f"(?i)\\{{\\{{(?:{markup.NAMED})\\|([^}}|]+)"), F.lit(1)))
-    links = PAGES.frame(spark).select("page_id", "title", F.explode(names).alias("link")).where(~F.contains("link", F.lit(":"))).withColumn("k", F.lower(F.trim("link")))
+    links = PAGES.frame(spark, sf).select("page_id", "title", F.explode(names).alias("link")).where(~F.contains("link", F.lit(":"))).withColumn("k", F.lower(F.trim("link")))
     rows = links.join(known, "k", "left").withColumn("target", F.coalesce("canonical", F.trim("link")))
     return rows.where("target <> title").select("page_id", "target", F.col("canonical").isNotNull().alias("known")).distinct()
 
@@ -250,14 +250,14 @@ def cross_references(spark, sf):
 @query(f"""WITH {PAGES.sql}, {CATS.sql} SELECT (SELECT count(*) FROM pages_) AS pages, (SELECT count(DISTINCT c) FROM (SELECT unnest(categories) AS c FROM pages_)) AS categories,
 (SELECT array_to_string(list_sort(list(DISTINCT c)), ';') FROM (SELECT unnest(categories) AS c FROM pages_)) AS names""")
 def registry_summary(spark, sf):
-    pages = PAGES.frame(spark)
+    pages = PAGES.frame(spark, sf)
     cats = pages.select(F.explode("categories").alias("c")).agg(F.countDistinct("c").alias("categories"), F.array_join(F.sort_array(F.collect_set("c")), ";").alias("names"))
     return pages.agg(F.count("*").alias("pages")).crossJoin(cats)
 
 
 @query(f"""WITH {SECTIONS} SELECT level, count(*) AS sections, count(DISTINCT page_id) AS pages, array_to_string(list_sort(list(DISTINCT heading)), ';') AS headings FROM sections GROUP BY level""")
 def structure_profile(spark, sf):
-    return markup._sections(spark).groupBy("level").agg(F.count("*").alias("sections"), F.countDistinct("page_id").alias("pages"), F.array_join(F.sort_array(F.collect_set("heading")), ";").alias("headings"))
+    return markup._sections(spark, sf).groupBy("level").agg(F.count("*").alias("sections"), F.countDistinct("page_id").alias("pages"), F.array_join(F.sort_array(F.collect_set("heading")), ";").alias("headings"))
 
 
 @query(f"""WITH {SECTIONS}, f AS (SELECT page_id, section, heading, content, regexp_matches(lower(heading), 'story|backstory|youth|part') AS lore FROM sections WHERE content <> '')
@@ -265,7 +265,7 @@ SELECT CASE WHEN lore THEN page_id + 50000 ELSE page_id END AS page_id, count(*)
 def page_split(spark, sf):
     """Pages in two: sections whose titles tell a story become a page of their own."""
     lore = F.regexp_like(F.lower("heading"), F.lit("story|backstory|youth|part"))
-    rows = markup._sections(spark).where("content <> ''").withColumn("page_id", F.when(lore, F.col("page_id") + 50000).otherwise(F.col("page_id")))
+    rows = markup._sections(spark, sf).where("content <> ''").withColumn("page_id", F.when(lore, F.col("page_id") + 50000).otherwise(F.col("page_id")))
     return rows.groupBy("page_id").agg(F.count("*").alias("sections"), F.sum(F.length("content").cast("long")).alias("chars"))
 
 
@@ -282,7 +282,7 @@ REGISTRY = Literal("registry", "name string, element string, region string", [("
 @query(f"""WITH {PAGES.sql}, {REGISTRY.sql} SELECT page_id, coalesce(element, 'unknown') AS element, coalesce(region, 'unknown') AS region FROM pages_ LEFT JOIN registry ON name = lower(split_part(title, '/', 1))""")
 def metadata_sync(spark, sf):
     """A second pass fills attributes of pages from the registry, whatever the order in which both were read."""
-    rows = PAGES.frame(spark).withColumn("name", F.lower(F.substring_index("title", "/", 1))).join(REGISTRY.frame(spark), "name", "left")
+    rows = PAGES.frame(spark, sf).withColumn("name", F.lower(F.substring_index("title", "/", 1))).join(REGISTRY.frame(spark, sf), "name", "left")
     return rows.select("page_id", F.coalesce("element", F.lit("unknown")).alias("element"), F.coalesce("region", F.lit("unknown")).alias("region"))
 
 

@@ -211,7 +211,7 @@ def _keywords(asked, text_col):
 def keyword_overlap(spark, sf):
     """The keyword score of the fifteen candidates of each benchmark text."""
     asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("asked"))
-    rows = table(spark, sf, "documents").select("doc_id", "text").join(by_words(spark, sf, 15), "doc_id").join(asked, "item_id").repartition(_parts(spark), "item_id", "doc_id")
+    rows = table(spark, sf, "documents").select("doc_id", "text").join(by_words(spark, sf, 15), "doc_id").join(asked, "item_id").repartition(_parts(spark, sf), "item_id", "doc_id")
     return rows.select("item_id", "doc_id", _keywords(F.col("asked"), F.col("text")).alias("kw"))
 
 
@@ -223,7 +223,7 @@ hyb AS (SELECT q_id, vec_id AS doc_id, label, round(0.8 * sim + 0.1 * coalesce(k
 rk AS (SELECT *, row_number() OVER (PARTITION BY q_id, label ORDER BY hybrid_score DESC, doc_id) AS rank FROM hyb)"""
 
 
-def _parts(spark) -> int:
+def _parts(spark, sf) -> int:
     """Partitions of costly rows: by number, as by size they may be joined to one."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -235,7 +235,7 @@ def _hybrid(spark, sf):
     n = gold.agg((F.max("item_id") + 1).alias("n_items"))
     near = near.crossJoin(F.broadcast(n)).withColumn("item_id", F.floor(F.col("q_id") / 20) % F.col("n_items")).drop("n_items")
     asked = gold.select("item_id", F.col("text").alias("asked"))
-    rows = table(spark, sf, "documents").select("doc_id", "text", "source", "lang").join(near, "doc_id").join(asked, "item_id", "left").repartition(_parts(spark), "q_id", "label")  # as the ranking needs them; few splits of documents may hold the candidates
+    rows = table(spark, sf, "documents").select("doc_id", "text", "source", "lang").join(near, "doc_id").join(asked, "item_id", "left").repartition(_parts(spark, sf), "q_id", "label")  # as the ranking needs them; few splits of documents may hold the candidates
     score = lambda held: F.coalesce(_keywords(F.col("asked"), held), F.lit(0.0))
     hybrid = scores.lore_score(F.col("sim"), score(F.col("text")), score(F.concat("source", F.lit(" "), "lang", F.lit(" version"))), (F.col("lang") == "en").cast("int"))
     rows = rows.select("q_id", "doc_id", "label", F.md5("text").alias("text_key"), F.round(hybrid + 1e-9, 6).alias("hybrid_score"))  # exact halves go up in any order of summation

@@ -273,7 +273,7 @@ STATES = Literal("states", "user string, doc string", [("a", '{"stats": {"turns"
 @query(f"""WITH {STATES.sql}, j AS (SELECT "user", CASE WHEN json_valid(doc) THEN doc END AS doc FROM states) SELECT "user", coalesce((doc->>'$.stats.turns')::BIGINT, 0) AS turns, coalesce((doc->>'$.emotion.trust')::DOUBLE, 0.5) AS trust, doc IS NOT NULL AS usable FROM j""")
 def state_cache_read(spark, sf):
     """Cached state read as typed columns; what is missing or can't be parsed takes its default."""
-    rows = STATES.frame(spark).withColumn("s", F.from_json("doc", "stats struct<turns:long>, emotion struct<trust:double>"))
+    rows = STATES.frame(spark, sf).withColumn("s", F.from_json("doc", "stats struct<turns:long>, emotion struct<trust:double>"))
     usable = F.col("s").isNotNull() & (F.col("s.stats").isNotNull() | F.col("s.emotion").isNotNull())
     return rows.select("user", F.coalesce("s.stats.turns", F.lit(0)).alias("turns"), F.coalesce("s.emotion.trust", F.lit(0.5)).alias("trust"), usable.alias("usable"))
 
@@ -285,7 +285,7 @@ DICTIONARY = Literal("dict", "seq int, entry string", [(1, '{"name": "Mira Vale"
 SELECT lower(alias) AS alias, arg_max(name, seq) AS canonical, length(lower(alias)) AS n FROM n GROUP BY lower(alias)""")
 def alias_dictionary(spark, sf):
     """Names and aliases of an entity dictionary by lower-cased alias; the last registration wins, and the length orders the longest first."""
-    rows = DICTIONARY.frame(spark).select("seq", F.from_json("entry", "name string, aliases array<string>").alias("e"))
+    rows = DICTIONARY.frame(spark, sf).select("seq", F.from_json("entry", "name string, aliases array<string>").alias("e"))
     names = rows.select("seq", "e.name", F.explode(F.concat(F.array("e.name"), "e.aliases")).alias("a")).withColumn("alias", F.lower("a"))
     return names.groupBy("alias").agg(F.max_by("name", "seq").alias("canonical")).withColumn("n", F.length("alias").cast("long"))
 
