@@ -209,7 +209,7 @@ def search_results(spark, sf):
 
 FACTS = Literal("facts", "id long, kind string, fact string, importance double", [
     (1, "preference", "The user likes tea", 0.9), (2, "user_fact", "short", 0.9), (3, "user_fact", "The user is from the coast", 0.64), (4, "gossip", "Someone said something", 0.9), (5, "guild_event", "Festival at the harbor", 0.8), (6, "profile", "You are an assistant by design", 0.95), (7, "user_fact", "The user is called Tam", None),
-])
+], given=("documents", ["1000000 + doc_id", "lang", "text", "cast(n_chars as double) / 1000"]))
 #: Kinds that count as facts about the user, kinds that are stored, what speaks of the assistant itself.
 AS_FACT, STORED, PERSONA = ["preference", "profile", "habit"], ["user_fact", "guild_event", "shared_story"], "(?i)\\b(assistant|language model|system prompt)\\b"
 
@@ -235,7 +235,7 @@ def conflict_reconciliation(spark, sf):
     return facts.join(best, "fact_id", "left").select("fact_id", decision.alias("decision"), F.when(F.col("sim") >= 0.3, F.col("candidate")).alias("replaces"))
 
 
-PARTS = Literal("parts", "id long, spec string, most int", [(1, "1,3,5-8", 7), (2, "9-12", 10), (3, "x,2", 5), (4, "4-2", 9), (5, "", 3)])
+PARTS = Literal("parts", "id long, spec string, most int", [(1, "1,3,5-8", 7), (2, "9-12", 10), (3, "x,2", 5), (4, "4-2", 9), (5, "", 3)], given=("lineitem", ["1000000 + l_orderkey * 10 + l_linenumber", "concat(l_linenumber, '-', l_linenumber + 2, ',', l_linenumber)", "cast(7 as int)"]))
 
 
 @query(rf"""WITH {PARTS.sql}, p AS (SELECT id, most, unnest(string_split(spec, ',')) AS p FROM parts), b AS (SELECT id, most, regexp_extract(trim(p), '^(\d+)(?:-(\d+))?$', 1) AS a, regexp_extract(trim(p), '^(\d+)(?:-(\d+))?$', 2) AS b FROM p),

@@ -136,7 +136,7 @@ def collection_union(spark, sf):
     return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("collection")), ";").alias("collections"))
 
 
-SETS = Literal("sets", "id long, found array<string>, mine array<string>, keywords array<string>, live int", [(1, ["a", "b", "c"], ["b"], ["x", "c"], 1), (2, ["a"], ["a"], ["a"], 3), (3, [], ["q"], ["z"], 0), (4, ["m", "n", "m"], [], ["n"], 2)])
+SETS = Literal("sets", "id long, found array<string>, mine array<string>, keywords array<string>, live int", [(1, ["a", "b", "c"], ["b"], ["x", "c"], 1), (2, ["a"], ["a"], ["a"], 3), (3, [], ["q"], ["z"], 0), (4, ["m", "n", "m"], [], ["n"], 2)], given=("orders", ["1000000 + o_orderkey", "[o_orderstatus, o_orderpriority]", "[o_orderstatus]", "[o_orderpriority]", "cast(o_custkey % 3 as int)"]))
 
 
 @query(f"""WITH {SETS.sql} SELECT id, array_to_string(list_sort(list_distinct(list_filter(found, lambda x: NOT list_contains(mine, x)))), ';') AS third_party, list_has_any(found, keywords) AS matches, array_to_string(found[1:greatest(0, len(found) - live)], ';') AS older,
@@ -171,7 +171,7 @@ def trace_steps(spark, sf):
     )
 
 
-PURPOSES = Literal("purposes", "code string", [("chat",), ("rewrite",), ("loop_cycle_2",), ("assess",), ("other",), (None,)])
+PURPOSES = Literal("purposes", "code string", [("chat",), ("rewrite",), ("loop_cycle_2",), ("assess",), ("other",), (None,)], given=("conversations", ["role"]))
 LABELS = [("chat", "Reply"), ("rewrite", "Query rewrite"), ("assess", "Assessment")]
 
 
@@ -215,8 +215,8 @@ def line_rollup(spark, sf):
     return rows.rollup("lang", "source").agg(F.count("*").alias("total"), n(blank).alias("blank"), n(note).alias("comment"), n(~blank & ~note).alias("code"))
 
 
-DECISIONS = Literal("decisions", "item long, fact int, verdict string, choice int", [(1, 0, "CONTRADICT", 1), (1, 2, "DUPLICATE", 9), (2, 0, None, 0)])
-CANDIDATES = Literal("candidates", "item long, fact int, cands array<string>", [(1, 0, ["x", "y"]), (1, 1, ["z"]), (1, 2, ["w"]), (2, 0, ["v"]), (3, 0, [])])
+DECISIONS = Literal("decisions", "item long, fact int, verdict string, choice int", [(1, 0, "CONTRADICT", 1), (1, 2, "DUPLICATE", 9), (2, 0, None, 0)], given=("orders", ["1000000 + o_custkey", "o_orderkey", "case when o_orderstatus = 'F' then 'CONTRADICT' when o_orderstatus = 'O' then 'DUPLICATE' else 'KEEP' end", "cast(o_orderkey % 4 as int)"]))
+CANDIDATES = Literal("candidates", "item long, fact int, cands array<string>", [(1, 0, ["x", "y"]), (1, 1, ["z"]), (1, 2, ["w"]), (2, 0, ["v"]), (3, 0, [])], given=("orders", ["1000000 + o_custkey", "o_orderkey", "[o_orderpriority, o_orderstatus]"]))
 
 
 @query(f"WITH {DECISIONS.sql}, {CANDIDATES.sql} SELECT item, fact, coalesce(verdict, 'KEEP_BOTH') AS verdict, cands[choice + 1] AS replaces FROM candidates LEFT JOIN decisions USING (item, fact)")

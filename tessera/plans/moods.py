@@ -159,7 +159,7 @@ def fact_bullets(spark, sf):
     return NOTES.frame(spark, sf).select("id", F.array_join(F.transform(bare, lambda x: F.concat(F.lit("- "), x)), "\n").alias("bullets"))
 
 
-ANSWERS = Literal("answers", "id long, doc string", [(1, '{"response": "Hi", "sentiment": "0.7", "images": ["a", "b", "c", "d"], "tags": "x"}'), (2, '{"response": 5, "images": []}'), (3, "{}")])
+ANSWERS = Literal("answers", "id long, doc string", [(1, '{"response": "Hi", "sentiment": "0.7", "images": ["a", "b", "c", "d"], "tags": "x"}'), (2, '{"response": 5, "images": []}'), (3, "{}")], given=("conversations", ["1000000 + conv_id * 1000 + turn", "concat('{\"response\": \"', role, '\", \"sentiment\": \"0.5\"}')"]))
 
 
 @query(f"""WITH {ANSWERS.sql} SELECT id, coalesce(doc->>'$.response', '') AS response, coalesce(try_cast(doc->>'$.sentiment' AS DOUBLE), 0.0)::DOUBLE AS sentiment, least(3, coalesce(json_array_length(doc->'$.images'), 0))::BIGINT AS images FROM answers""")
@@ -170,7 +170,7 @@ def response_fields(spark, sf):
     return ANSWERS.frame(spark, sf).select("id", F.coalesce(get("$.response"), F.lit("")).alias("response"), F.coalesce(F.expr("try_cast(get_json_object(doc, '$.sentiment') as double)"), F.lit(0.0)).alias("sentiment"), F.least(F.lit(3), F.coalesce(F.size(images), F.lit(0))).cast("long").alias("images"))
 
 
-FILES = Literal("files", "id long, head string, ip string", [(1, "FFD8FFE0", "10.1.2.3"), (2, "89504E470D0A1A0A", "8.8.8.8"), (3, "52494646AAAAAAAA57454250", "127.0.0.1"), (4, "4749463839", "192.168.0.9"), (5, "00", "172.20.1.1"), (6, "25504446", "169.254.1.1"), (7, "FFD8", "x")])
+FILES = Literal("files", "id long, head string, ip string", [(1, "FFD8FFE0", "10.1.2.3"), (2, "89504E470D0A1A0A", "8.8.8.8"), (3, "52494646AAAAAAAA57454250", "127.0.0.1"), (4, "4749463839", "192.168.0.9"), (5, "00", "172.20.1.1"), (6, "25504446", "169.254.1.1"), (7, "FFD8", "x")], given=("pages", ["1000000 + page_id", "concat('FFD8FFE', page_id % 10)", "concat(page_id % 224, '.', page_id % 256, '.0.', page_id % 7)"]))
 # Signatures of image files, and networks that are never fetched from.
 SIGNATURES = [("^FFD8FF", "jpeg"), ("^89504E470D0A1A0A", "png"), ("^52494646.{8}57454250", "webp"), ("^474946383[79]", "gif")]
 DENIED = [("10.0.0.0", 8), ("127.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("169.254.0.0", 16), ("0.0.0.0", 8)]

@@ -61,7 +61,7 @@ def emotion_report(spark, sf):
     return moods._states(spark, sf).select("user_id", F.concat(*parts).alias("report"))
 
 
-ENTITIES = Literal("seed", "name string, kind string, aliases array<string>, region string", [("Mira Vale", "CHARACTER", ["Mira", "The Archer"], "Coast"), ("Salt Harbor", "REGION", ["the port"], None), ("Coastal Union", "FACTION", [], "Coast")])
+ENTITIES = Literal("seed", "name string, kind string, aliases array<string>, region string", [("Mira Vale", "CHARACTER", ["Mira", "The Archer"], "Coast"), ("Salt Harbor", "REGION", ["the port"], None), ("Coastal Union", "FACTION", [], "Coast")], given=("nation", ["n_name", "'PLACE'", "[n_name]", "cast(n_regionkey as varchar(9))"]))
 
 
 @query(f"""WITH {ENTITIES.sql} SELECT name, kind, len(aliases) AS n_aliases, coalesce(region, '') AS region, CASE kind WHEN 'CHARACTER' THEN 'personality' WHEN 'REGION' THEN 'profile' ELSE 'both' END AS snippet FROM seed""")

@@ -267,7 +267,7 @@ def user_state(spark, sf):
     return rows.select("user_id", F.col("c_mktsegment").alias("guild"), "open_conv", F.col("n_name").alias("ambient"), F.coalesce(F.col("open_conv") % 7 == 0, F.lit(False)).alias("summarised"))
 
 
-STATES = Literal("states", "user string, doc string", [("a", '{"stats": {"turns": 3}, "emotion": {"trust": 0.7}}'), ("b", '{"stats": {}}'), ("c", "{broken"), ("d", None)])
+STATES = Literal("states", "user string, doc string", [("a", '{"stats": {"turns": 3}, "emotion": {"trust": 0.7}}'), ("b", '{"stats": {}}'), ("c", "{broken"), ("d", None)], given=("customer", ["concat('u', c_custkey)", "concat('{\"stats\": {\"turns\": ', c_nationkey, '}}')"]))
 
 
 @query(f"""WITH {STATES.sql}, j AS (SELECT "user", CASE WHEN json_valid(doc) THEN doc END AS doc FROM states) SELECT "user", coalesce((doc->>'$.stats.turns')::BIGINT, 0) AS turns, coalesce((doc->>'$.emotion.trust')::DOUBLE, 0.5) AS trust, doc IS NOT NULL AS usable FROM j""")
@@ -278,7 +278,7 @@ def state_cache_read(spark, sf):
     return rows.select("user", F.coalesce("s.stats.turns", F.lit(0)).alias("turns"), F.coalesce("s.emotion.trust", F.lit(0.5)).alias("trust"), usable.alias("usable"))
 
 
-DICTIONARY = Literal("dict", "seq int, entry string", [(1, '{"name": "Mira Vale", "aliases": ["Mira", "The Archer"]}'), (2, '{"name": "Tam", "aliases": ["Old Tam", "mira"]}'), (3, '{"name": "Port", "aliases": []}')])
+DICTIONARY = Literal("dict", "seq int, entry string", [(1, '{"name": "Mira Vale", "aliases": ["Mira", "The Archer"]}'), (2, '{"name": "Tam", "aliases": ["Old Tam", "mira"]}'), (3, '{"name": "Port", "aliases": []}')], given=("part", ["cast(1000 + p_partkey as int)", "concat('{\"name\": \"', p_name, '\", \"aliases\": [\"', p_brand, '\"]}')"]))
 
 
 @query(f"""WITH {DICTIONARY.sql}, n AS (SELECT seq, entry->>'$.name' AS name, unnest(list_concat([entry->>'$.name'], (entry->'$.aliases')::VARCHAR[])) AS alias FROM dict)
