@@ -62,7 +62,7 @@ def image_memories(spark, sf):
     """Images whose page still exists, by cosine to each request, in a community's scope or a user's own: the best five of each."""
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("vec_id"))
     images = table(spark, sf, "embeddings").join(pages, "vec_id", "left_semi")
-    near = [retrieval.searched(spark, sf, 5, by_label=True, least=0.05, among=images.where(cond)).withColumn("community", F.lit(shared)) for cond, shared in (("vec_id % 3 = 0", True), ("vec_id % 3 <> 0", False))]
+    near = [retrieval._searched(spark, sf, 5, by_label=True, least=0.05, among=images.where(cond)).withColumn("community", F.lit(shared)) for cond, shared in (("vec_id % 3 = 0", True), ("vec_id % 3 <> 0", False))]
     return core.top_k(near[0].union(near[1]), ["q_id", "community", "label"], [F.desc("sim"), "vec_id"], 5, "k").select("q_id", "community", "label", "vec_id", "sim")
 
 

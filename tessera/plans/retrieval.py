@@ -36,7 +36,7 @@ def _blocks(rows):
     return rows.select("vec_id", "label", "embedding").mapInPandas(pack, "dim int, ids array<long>, labels array<int>, data binary")
 
 
-def searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: bool = False, least: float | None = None, itself: bool = True, among=None):
+def _searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: bool = False, least: float | None = None, itself: bool = True, among=None):
     """``q_id, label, vec_id, sim`` of the query set, every vector whose id is divisible by 20, against all vectors.
 
     Both sides meet block by block, so no task holds more than a block of each, and neither side is broadcast whole.
@@ -91,18 +91,18 @@ def _top(by: str, k: int) -> str:
 
 @query(f"WITH {PAIRS} SELECT q_id, vec_id, sim, rank FROM {_top('q_id', 15)}")
 def knn_topk(spark, sf):
-    near = searched(spark, sf, 15).select("q_id", "vec_id", "sim")
+    near = _searched(spark, sf, 15).select("q_id", "vec_id", "sim")
     return core.top_k(near, ["q_id"], [F.desc("sim"), "vec_id"], 15)
 
 
 @query(f"WITH {PAIRS} SELECT * FROM {_top('q_id, label', 5)}")
 def knn_per_collection(spark, sf):
-    return core.top_k(searched(spark, sf, 5, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 5)
+    return core.top_k(_searched(spark, sf, 5, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 5)
 
 
 @query(f"WITH {PAIRS} SELECT q_id, vec_id, sim FROM s WHERE label = q_label AND sim >= 0.05")
 def knn_threshold_scoped(spark, sf):
-    return searched(spark, sf, scoped=True, least=0.05).select("q_id", "vec_id", "sim")
+    return _searched(spark, sf, scoped=True, least=0.05).select("q_id", "vec_id", "sim")
 
 
 @query(f"""WITH a AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), q AS (SELECT a.label AS anchor, e.embedding FROM a JOIN embeddings e USING (vec_id)),
@@ -122,7 +122,7 @@ def anchor_argmax(spark, sf):
 FROM embeddings q JOIN embeddings v ON q.label = v.label AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND {SIM} >= 0.1) WHERE rank <= 3""")
 def fact_memory_join(spark, sf):
     """New facts against the memories of their scope: threshold and top 3; a fact isn't its own memory."""
-    near = searched(spark, sf, 3, scoped=True, least=0.1, itself=False)
+    near = _searched(spark, sf, 3, scoped=True, least=0.1, itself=False)
     return core.top_k(near.select(F.col("q_id").alias("fact_id"), F.col("vec_id").alias("memory_id"), "sim"), ["fact_id"], [F.desc("sim"), "memory_id"], 3)
 
 
@@ -230,7 +230,7 @@ def _parts(spark, sf) -> int:
 
 def _hybrid(spark, sf):
     """Each query's candidates ranked within their label, by its own text; only candidates are scored."""
-    near = core.top_k(searched(spark, sf, 15, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 15, "k").withColumnRenamed("vec_id", "doc_id")
+    near = core.top_k(_searched(spark, sf, 15, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 15, "k").withColumnRenamed("vec_id", "doc_id")
     gold = table(spark, sf, "benchmark")
     n = gold.agg((F.max("item_id") + 1).alias("n_items"))
     near = near.crossJoin(F.broadcast(n)).withColumn("item_id", F.floor(F.col("q_id") / 20) % F.col("n_items")).drop("n_items")
