@@ -7,9 +7,10 @@ Entries whose pair has changed since are skipped when they come up. Short pre-to
 bucket then holds positions in many of them, which are joined together, the leftmost of each.
 
 Texts are cut at single spaces before the pattern runs, which leaves the pre-tokens
-unchanged (a match takes a space only at its start) and lets whole words be cached; texts with a space
-before other white space go through the pattern whole. A worker keeps the ids, their text and the decoded bytes of the words it met
-last, up to a fixed size, so a document joins words instead of ids.
+unchanged (a match takes a space only at its start), and the pattern runs over each distinct word of a portion of
+the documents once; texts with a space before other white space go through the pattern whole. A worker keeps the ids of the
+pre-tokens it met last, up to a fixed size. The ids as text and the decoded bytes are made for each distinct word, so a
+document joins words instead of ids.
 
 Nulls and empty texts have no tokens: ``n_tokens`` 0 and the hash of the empty string. Repeated rows are
 encoded alike; an empty table gives no rows. Extra columns are left out.
@@ -21,16 +22,16 @@ import base64
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import flagged, unflagged
-
 #: Bits of a rank within its span, of a token in a pair.
 SPAN, WIDTH = 8, 24
 MASK = (1 << SPAN) - 1
@@ -38,11 +39,13 @@ MASK = (1 << SPAN) - 1
 BIT = [1 << k for k in range(1 << 12)]
 #: A space before other white space or the end may belong to a longer match.
 UNSAFE = re.compile(r" (?:\s|\Z)")
-#: Words in each of the two generations of a worker's cache, and the longest one kept.
+#: Pre-tokens in each of the two generations of a worker's cache, and the longest one kept.
 CACHE, LONGEST = 600_000, 64
-#: New words that are merged together.
-TOGETHER = 50_000
-SCHEMA = "id_ long, no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Bytes of new pre-tokens that are merged together.
+TOGETHER = 1 << 21
+#: Bytes of the texts that share their words, and of those that are encoded text by text, as Arrow's strings end at 2 GB.
+PORTION, BULK = 1 << 24, 1 << 27
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
@@ -163,28 +166,38 @@ class Pairs:
 
     def __init__(self, pairs: dict[int, int]) -> None:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it has none."""
-        wanted = left << WIDTH | right
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.ranks[at], -1)
+        wanted = left.astype(np.int64) << WIDTH | right
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        found = self.ranks[at]
+        found[self.keys[at] != wanted] = -1
+        return found
 
 
 def merge_many(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> list[list[int]]:
-    """Token ids of many pre-tokens, by one queue of the same kind over all their bytes."""
+    """Token ids of many pre-tokens."""
+    ids, stops = merged(pieces, pairs, single)
+    flat, stops = ids.tolist(), stops.tolist()
+    return [flat[s:e] for s, e in zip([0, *stops[:-1]], stops)]
+
+
+def merged(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of many pre-tokens and where each one's end, by one queue of the same kind over all their bytes."""
     lengths = np.array([len(p) for p in pieces])
     if not lengths.sum() or not len(pairs.keys):
-        return [single[np.frombuffer(p, dtype=np.uint8)].tolist() for p in pieces]
-    n, owner = int(lengths.sum()), np.repeat(np.arange(len(pieces)), lengths)
-    ids = single[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        return single[np.frombuffer(b"".join(pieces), dtype=np.uint8)], np.cumsum(lengths)
+    n, owner = int(lengths.sum()), np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    ids = single.astype(np.int32)[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     ends = np.cumsum(lengths)[lengths > 0]
     after[ends - 1] = n
     before[(ends - lengths[lengths > 0])] = -1
-    waiting = np.full(n, -1)
-    inner = np.flatnonzero(after < n)
+    waiting = np.full(n, -1, dtype=np.int32)
+    inner = np.flatnonzero(after < n).astype(np.int32)
     waiting[inner] = pairs.of(ids[inner], ids[inner + 1])
     buckets: dict[int, list[np.ndarray]] = {}
     low: dict[int, int] = {}
@@ -222,10 +235,10 @@ def merge_many(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> list[li
         places = held[0] if len(held) == 1 else np.concatenate(held)
         places = places[waiting[places] == rank]  # the others are stale
         if len(places) > 1:
-            places = np.unique(places)
+            places = np.sort(places)
             of = owner[places]
-            first = np.append(True, of[1:] != of[:-1])
-            later, places = places[~first], places[first]
+            first = of[1:] != of[:-1]
+            later, places = places[1:][~first & (places[1:] != places[:-1])], np.append(places[:1], places[1:][first])
         else:
             later = places[:0]
         if not len(places):
@@ -243,9 +256,28 @@ def merge_many(pieces: list[bytes], pairs: Pairs, single: np.ndarray) -> list[li
         waiting[at] = pairs.of(ids[at], np.full(len(at), rank))
         push(np.concatenate([a, at, later]))
     kept = np.flatnonzero(ids >= 0)
-    stops = np.searchsorted(owner[kept], np.arange(len(pieces)), side="right")
-    flat = ids[kept].tolist()
-    return [flat[s:e] for s, e in zip([0, *stops[:-1].tolist()], stops.tolist())]
+    return ids[kept], np.searchsorted(owner[kept], np.arange(len(pieces)), side="right")
+
+
+class Segments(NamedTuple):
+    """The distinct segments of some texts: segment k has ``ids[starts[k] : starts[k + 1]]``, text i the segments ``codes[texts[i] : texts[i + 1]]``."""
+
+    texts: np.ndarray
+    codes: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+
+
+def runs(sizes: list[int] | np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cut things of some sizes into runs that exceed ``most`` by one thing at most."""
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    return ((start, end) for start, end in zip(cuts, cuts[1:]) if start < end)
+
+
+def joined(values: pa.Array, at: np.ndarray, starts: np.ndarray, between: str | bytes) -> pa.Array:
+    """The values at some places, joined from each start to the next."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values.take(pa.array(at))), between)
 
 
 class Codec:
@@ -261,82 +293,92 @@ class Codec:
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.table, self.bytes = Pairs(self.pairs), np.array(self.single, dtype=np.int64)
         self.find = regex.compile(pattern).findall
-        #: By word, without the space before it: the ids as text and the bytes they decode to.
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
-
-    def piece(self, text: str) -> list[int]:
-        """Ids of a text, its pre-tokens merged separately."""
-        return [i for token in self.find(text) for i in self.merged(token)]
-
-    def merged(self, token: str) -> list[int]:
-        return merge(token.encode(), self.ranks, self.pairs, self.single)
-
-    def word(self, word: str) -> tuple[str, bytes]:
-        """Ids as text and decoded bytes of a space and a word."""
-        found = self.old.pop(word, None)
-        if found is None:
-            tokens = self.find(" " + word)
-            if len(tokens) > 1 and tokens[0] != " ":  # a word with marks: the word itself is often known
-                known = self.young.get(tokens[0][1:]) or self.word(tokens[0][1:])
-                ids = [i for token in tokens[1:] for i in self.merged(token)]
-                found = f"{known[0]} {' '.join(map(str, ids))}", known[1] + self.decode(ids)
-            else:
-                ids = [i for token in tokens for i in self.merged(token)]
-                found = " ".join(map(str, ids)), self.decode(ids)
-        if len(word) <= LONGEST:
-            self._keep(word, found)
+        #: By id.
+        every = range(max(self.tokens) + 1)
+        self.names = pa.array(map(str, every), pa.string())
+        self.data = pa.array(map(self.tokens.get, every), pa.binary())
+        #: Ids of pre-tokens, as the bytes of 32-bit integers.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids_of(self, tokens: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens; those that are new are merged together, long ones alone."""
+        found = list(map(self.young.get, tokens))
+        new, pieces = [], []
+        for k, known in enumerate(found):
+            if known is None:
+                token = tokens[k]
+                known = self.old.get(token)
+                if known is None:
+                    piece = token.encode()
+                    rank = self.ranks.get(piece)
+                    if rank is None and len(token) <= LONGEST:
+                        new.append(k), pieces.append(piece)
+                        continue
+                    known = np.array(merge(piece, self.ranks, self.pairs, self.single) if rank is None else [rank], dtype=np.int32).tobytes()
+                found[k] = known
+                self._keep(token, known)
+        for start, end in runs(list(map(len, pieces)), TOGETHER):
+            ids, stops = merged(pieces[start:end], self.table, self.bytes)
+            raw, at = ids.astype(np.int32).tobytes(), 0
+            for k, stop in zip(new[start:end], (4 * stops).tolist()):
+                found[k] = raw[at:stop]
+                self._keep(tokens[k], found[k])
+                at = stop
         return found
 
-    def learn(self, texts: Iterable[str]) -> None:
-        """Put the words of some texts that are new into the cache, merging them together."""
-        new: dict[str, None] = {}
-        for text in texts:
-            if not UNSAFE.search(text):
-                for word in text.split(" ")[1:]:
-                    if word not in self.young and len(word) <= LONGEST:
-                        new[word] = None
-                if len(new) >= TOGETHER:
-                    self._merge_words(list(new))
-                    new = {}
-        self._merge_words(list(new))
-
-    def _merge_words(self, words: list[str]) -> None:
-        found = [self.find(" " + w) for w in words if w not in self.old]
-        # the word itself, without marks around it
-        bare = list(dict.fromkeys(t[0] for t in found if t and t[0][1:] not in self.young and t[0][1:] not in self.old and t[0] != " "))
-        pieces = [t.encode() for t in bare]
-        whole = [self.ranks.get(p) for p in pieces]
-        rest = iter(merge_many([p for p, w in zip(pieces, whole) if w is None], self.table, self.bytes))
-        for token, known in zip(bare, whole):
-            ids = [known] if known is not None else next(rest)
-            self._keep(token[1:], (" ".join(map(str, ids)), self.decode(ids)))
-
-    def _keep(self, word: str, found: tuple[str, bytes]) -> None:
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
-
-    def written(self, text: str) -> tuple[str, bytes]:
-        """The ids of a text joined by spaces, and the bytes that they decode to."""
-        if UNSAFE.search(text):
-            ids = self.piece(text)
-            return " ".join(map(str, ids)), self.decode(ids)
-        first, *rest = text.split(" ")
-        get, make, parts = self.young.get, self.word, []
-        if first:
-            ids = self.piece(first)
-            parts.append((" ".join(map(str, ids)), self.decode(ids)))
-        for word in rest:
-            found = get(word)
-            if found is None:
-                found = make(word)
-                get = self.young.get
-            parts.append(found)
-        return " ".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+    def _keep(self, token: str, ids: bytes) -> None:
+        if len(token) <= LONGEST:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[token] = ids
+
+    def segments(self, texts: pa.Array) -> Segments:
+        """The segments of texts without nulls, at most 2 GB: words with the space before them, and for each text what comes
+        before its first space or, where it can't be cut at spaces, all of it."""
+        plain = texts.to_pylist()
+        whole = np.array([UNSAFE.search(t) is not None for t in plain], dtype=bool)
+        cut = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts), " ")
+        starts, parts = cut.offsets.to_numpy(), cut.flatten()
+        inner = np.ones(len(parts), dtype=bool)
+        inner[starts[:-1]] = False
+        words = parts.filter(pa.array(inner)).dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False)
+        codes = np.empty(len(parts), dtype=np.int64)
+        codes[inner] = words.indices.to_numpy()
+        codes[starts[:-1]] = len(names) + np.arange(len(plain))
+        tokens = self.find(" " + " ".join(names)) if len(names) else []
+        begins = np.flatnonzero(pc.starts_with(pa.array(tokens, pa.string()), " ").to_numpy(zero_copy_only=False)).tolist()
+        for text, all_, first in zip(plain, whole.tolist(), parts.take(pa.array(starts[:-1])).to_pylist()):
+            begins.append(len(tokens))
+            tokens += self.find(text if all_ else first)
+        begins.append(len(tokens))
+        distinct = pa.array(tokens, pa.string()).dictionary_encode()
+        raw = self.ids_of(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum([0, *map(len, raw)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype=np.int32))).take(distinct.indices)
+        return Segments(starts, codes, lists.offsets.to_numpy()[begins], lists.flatten().to_numpy())
+
+    def written(self, texts: pa.Array) -> Iterator[tuple[int, bytes, bytes]]:
+        """For each text the number of its ids, the ids joined by spaces, and the bytes that they decode to."""
+        if texts.nbytes > BULK:
+            for text in texts.to_pylist():
+                ids = self.piece(text)
+                yield len(ids), " ".join(map(str, ids)).encode(), self.decode(ids)
+        elif len(texts):
+            own = self.segments(texts)
+            n = np.diff(own.starts)[own.codes]
+            some = n > 0  # a text may begin with a space
+            names = joined(joined(self.names, own.ids, own.starts, " "), own.codes[some], np.append(0, np.cumsum(some))[own.texts], " ")
+            data = joined(joined(self.data, own.ids, own.starts, b""), own.codes, own.texts, b"")
+            yield from zip(np.add.reduceat(n, own.texts[:-1]).tolist(), names.cast(pa.binary()).to_pylist(), data.to_pylist())
+
+    def piece(self, text: str) -> list[int]:
+        """Ids of a text, its pre-tokens merged one by one."""
+        return [i for token in self.find(text) for i in merge(token.encode(), self.ranks, self.pairs, self.single)]
 
     def encode(self, text: str) -> list[int]:
-        return list(map(int, self.written(text)[0].split()))
+        return list(map(int, next(self.written(pa.array([text], pa.string())))[1].split()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -352,34 +394,42 @@ def codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of the rows of a batch with a portion of text each, more only where one text is longer."""
+    for start, end in runs(pc.binary_length(batch.column("text")).to_numpy(), PORTION):
+        yield batch.slice(start, end - start)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
 def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the ids themselves: ``doc_id, ids array<int>``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"id_": pdf["id_"], "no_id": pdf["no_id"], "ids": [own.encode(t or "") for t in pdf["text"]]})
+        for batch in batches:
+            for part in portions(batch):
+                ids = [np.array(names.split(), dtype=np.int32) for _, names, _ in own.written(part.column("text"))]
+                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(*flagged(id_col), F.col(text_col).alias("text")).mapInPandas(run, "id_ long, no_id boolean, ids array<int>").select(unflagged("doc_id"), "ids")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode and digest every text without keeping the ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for pdf in batches:
-            rows = []
-            own.learn(t for t in pdf["text"] if t)
-            for text in pdf["text"]:
-                ids, decoded = own.written(text or "")
-                rows.append((ids.count(" ") + 1 if ids else 0, sha(ids.encode()), sha(decoded)))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.assign(id_=pdf["id_"].to_numpy(), no_id=pdf["no_id"].to_numpy())
-
-    rows = docs.select(*flagged(id_col), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
-    return rows.select(unflagged("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+        for batch in batches:
+            for part in portions(batch):
+                rows = [(n, sha(names), sha(data)) for n, names, data in own.written(part.column("text"))]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.record_batch([part.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
 def op6_bpe(spark, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:

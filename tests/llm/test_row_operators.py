@@ -172,6 +172,31 @@ def test_bpe_equals_tiktoken(edge, documents):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_bpe_runs_the_pattern_once_for_all_words_of_a_portion(documents, monkeypatch):
+    """Not once a word; cuts of the portion, turns of the cache and the way of long texts leave the result."""
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    own = bpe.Codec(path, P.PATTERN)
+    plain, seen = bpe.Codec(path, P.PATTERN), []
+    find = own.find
+    own.find = lambda text: seen.append(text) or find(text)
+    text = "the " + " ".join(f"qu{chr(97 + k % 26)}x{'yz' * (k % 7)}, (zor{chr(97 + k % 11)}). don't" for k in range(500))
+    assert own.encode(text) == plain.piece(text)
+    assert len(seen) <= 2
+    own.find = find
+    texts = [r.text or "" for r in documents.limit(12).collect()] + ["", " a b", "\n x", "a \n b", "x" * 90 + " " + "é" * 90, text, text, "b\n\n c\x1c d"]
+    want = [(len(i), " ".join(map(str, i)).encode(), t.encode()) for t in texts for i in [plain.piece(t)]]
+    monkeypatch.setattr(bpe, "CACHE", 1000)
+    for portion, together, bulk in ((1 << 24, 1 << 21, 1 << 27), (1, 1, 1 << 27), (5000, 300, 1 << 27), (1 << 24, 1 << 21, 0)):
+        monkeypatch.setattr(bpe, "PORTION", portion), monkeypatch.setattr(bpe, "TOGETHER", together), monkeypatch.setattr(bpe, "BULK", bulk)
+        batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+        parts = list(bpe.portions(batch))
+        assert [row for part in parts for row in own.written(part.column("text"))] == want
+        assert portion > 1 or len(parts) >= sum(map(bool, texts))
+
+
 def test_bpe_merge_on_any_rank_table():
     """Against the definition, also where a longer token ranks below its parts."""
     r = random.Random(1)
