@@ -2,10 +2,14 @@
 
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from tessera.functions import html_tree
 from tessera.functions.html_tree import ENDS, HIDDEN, SHIELDS, VOID, Tree, squeezed
+from tessera.plans import catalog
+
+from . import oracle
 
 SF = "/root/testdata/sf0.01"
 
@@ -99,3 +103,17 @@ def test_main_text_leaves_links_out(spark):
     pages = spark.createDataFrame([(1, page), (2, None), (3, "<p>x"), (None, page)], "page_id long, html string")
     have = [tuple(r) for r in html_tree.main_text(html_tree.page_nodes(pages)).collect()]
     assert have == [(1, 3, f"A heading long enough\n\n{say}\n\n{say} few")]
+
+
+def _same_as_sql(spark, tmp_path, name):
+    say = "A paragraph of more than forty characters"
+    body = [f"{say} &amp; &quot;more&quot;</p><p>{say} &quot", f"{say} &ampm; &quo", f"{say}&amp;amp;"]
+    rows = [(k, "", f"<html><head><title>x</title></head><body>lead &amp<h1>A heading that is cut&amp;&amp{end}</h1><p>{p}</p></body></html>") for k, (end, p) in enumerate(zip(("", ";", "&am"), body))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert oracle.difference(spark, con, str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name]) is None
+
+
+def test_main_text_of_cut_references_equals_sql(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "page_main_text")
