@@ -117,3 +117,7 @@ def _same_as_sql(spark, tmp_path, name):
 
 def test_main_text_of_cut_references_equals_sql(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "page_main_text")
+
+
+def test_outline_of_cut_references_equals_sql(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "page_outline")
