@@ -61,7 +61,23 @@ def query_tokens(text: Column) -> Column:
     return F.concat(w, ngrams(w, 2), ngrams(w, 3))
 
 
+def keyword_words(text: Column) -> Column:
+    """The text in lower case and its words, as ``keyword_share`` needs them."""
+    return F.struct(F.lower(text).alias("body"), words(text, 1).alias("bag"))
+
+
+def keyword_content(query: Column, stop: list[str]) -> Column:
+    return F.filter(query_tokens(query), lambda t: ~t.isin(stop))
+
+
 def keyword_score(query: Column, text: Column, stop: list[str], high: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
+    """``keyword_share`` of a query's and a text's own words."""
+    # an array of one struct, so that the text is lower-cased and cut into words once and not for every token
+    both = F.array(F.struct(keyword_words(text).alias("held"), keyword_content(query, stop).alias("content")))
+    return F.get(F.transform(both, lambda b: keyword_share(b["content"], b["held"], high, synonyms)), F.lit(0))
+
+
+def keyword_share(content: Column, held: Column, high: list[str], synonyms: dict[str, list[str]] | None = None) -> Column:
     """Weighted share of the query's tokens that the text holds itself or by a synonym, at most 1.
 
     Words of the high-value list weigh 2, phrases 1.5, others 1. A short word counts only as a whole word. A word with a high-value
@@ -73,24 +89,18 @@ def keyword_score(query: Column, text: Column, stop: list[str], high: list[str],
     expected = lambda t: F.when(t.isin(rich), 2.0).otherwise(plain(t))
     total = lambda a, weight: F.aggregate(a, F.lit(0.0), lambda s, t: s + weight(t))
 
-    def score(held: Column) -> Column:
-        body, bag, content = held["body"], held["bag"], held["content"]
-        there = lambda t: F.contains(body, t) & ((F.instr(t, " ") > 0) | (F.length(t) > 3) | F.array_contains(bag, t))
+    there = lambda t: F.contains(held["body"], t) & ((F.instr(t, " ") > 0) | (F.length(t) > 3) | F.array_contains(held["bag"], t))
 
-        def any_there(t: Column, pick) -> Column:
-            out = F.lit(False)
-            for word, others in synonyms.items():
-                for other in filter(pick, others):
-                    out = out | ((t == word) & there(F.lit(other)))
-            return out
+    def any_there(t: Column, pick) -> Column:
+        out = F.lit(False)
+        for word, others in synonyms.items():
+            for other in filter(pick, others):
+                out = out | ((t == word) & there(F.lit(other)))
+        return out
 
-        given = lambda t: F.when(any_there(t, lambda o: o in high), 2.0).otherwise(plain(t))
-        found = F.filter(content, lambda t: there(t) | any_there(t, lambda o: True))
-        return F.least(F.lit(1.0), total(found, given) / F.greatest(F.lit(2.0), total(content, expected)))
-
-    # an array of one struct, so that the text is lower-cased and cut into words once and not for every token
-    held = F.struct(F.lower(text).alias("body"), words(text, 1).alias("bag"), F.filter(query_tokens(query), lambda t: ~t.isin(stop)).alias("content"))
-    return F.get(F.transform(F.array(held), score), F.lit(0))
+    given = lambda t: F.when(any_there(t, lambda o: o in high), 2.0).otherwise(plain(t))
+    found = F.filter(content, lambda t: there(t) | any_there(t, lambda o: True))
+    return F.least(F.lit(1.0), total(found, given) / F.greatest(F.lit(2.0), total(content, expected)))
 
 
 def sentences(text: Column) -> Column:

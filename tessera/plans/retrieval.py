@@ -14,70 +14,87 @@ from ._catalog import Register
 
 query = Register()
 
-#: Vectors in a block of the search, and partitions of the query blocks (each meets every partition of the vectors).
-BLOCK, QUERY_PARTS = 256, 4
+#: Vectors in a block of the search and queries in a pack; partitions of the vectors (each meets every partition of the packs).
+BLOCK, PACK, VECTOR_PARTS = 2048, 1024, 4
 
 
-def _blocks(rows):
-    """Vectors packed into blocks of at most BLOCK of one length, their norms divided out; a null vector has the length -1."""
+def _blocks(rows, size: int):
+    """Vectors packed into blocks of at most ``size`` of one length, their norms divided out; a null vector has the length -1."""
 
     def pack(batches):
         for pdf in batches:
             dims = np.array([-1 if x is None else len(x) for x in pdf["embedding"]], dtype=np.int64)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                for part in (at[k : k + BLOCK] for k in range(0, len(at), BLOCK)):
+                for part in (at[k : k + size] for k in range(0, len(at), size)):
                     x = np.array([pdf["embedding"].iat[i] for i in part], dtype=np.float64) if dim > 0 else np.zeros((len(part), 0))
                     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    x = np.divide(x, norm, out=np.zeros_like(x), where=(norm > 0) & np.isfinite(norm))
                     labels = [None if v is None or v != v else int(v) for v in pdf["label"].iloc[part]]
                     yield pd.DataFrame({"dim": [int(dim)], "ids": [pdf["vec_id"].iloc[part].tolist()], "labels": [labels], "data": [x.tobytes()]})
 
-    return rows.select("vec_id", "label", "embedding").mapInPandas(pack, "dim int, ids array<long>, labels array<int>, data binary")
+    return sinks.kept(rows.select("vec_id", "label", "embedding").mapInPandas(pack, "dim int, ids array<long>, labels array<int>, data binary"), "blocks")
 
 
 def _searched(spark, sf, k: int | None = None, by_label: bool = False, scoped: bool = False, least: float | None = None, itself: bool = True, among=None):
     """``q_id, label, vec_id, sim`` of the query set, every vector whose id is divisible by 20, against all vectors.
 
     Both sides meet block by block, so no task holds more than a block of each, and neither side is broadcast whole.
-    With ``k`` a block pair gives only the best k of each query, or of each query and label; the first k of all
-    are among them. ``scoped`` compares within a label, ``least`` is a threshold, ``itself`` keeps a query's own row, and
+    With ``k`` a task keeps the best k of each of its queries, or of each query and label, over all blocks that it reads, and gives
+    only those; the first k of all are among them, with labels only ``by_label``. ``scoped`` compares within a label, ``least`` is a threshold, ``itself`` keeps a query's own row, and
     ``among`` are the vectors searched if not all.
     """
     v = table(spark, sf, "embeddings")
-    q = _blocks(v.where("vec_id % 20 = 0")).toDF("q_dim", "q_ids", "q_labels", "q_data").coalesce(QUERY_PARTS)
+    q = _blocks(v.where("vec_id % 20 = 0"), PACK).toDF("q_dim", "q_ids", "q_labels", "q_data").withColumn("pack", F.monotonically_increasing_id())
 
     def search(batches):
+        best: dict[int, dict] = {}
+        asked: dict[int, np.ndarray] = {}
+        held = 0
+
+        def rows(q_ids, label, ids, sims):
+            at = sims >= (-np.inf if least is None else least)
+            return pd.DataFrame({"q_id": q_ids[at], "label": pd.array(np.broadcast_to(label, len(ids))[at], dtype="Int32"), "vec_id": ids[at], "sim": sims[at]})
+
+        def done():
+            for pack, groups in best.items():
+                for label, found in groups.items():
+                    at, ids, sims = found.found()
+                    yield rows(asked[pack][at], np.nan if label is None else float(label), ids, sims)
+            best.clear()
+            asked.clear()
+
         for pdf in batches:
-            for dim, ids, labels, data, q_dim, q_ids, q_labels, q_data in pdf.itertuples(index=False):
+            for dim, ids, labels, data, q_dim, q_ids, q_labels, q_data, pack in pdf.itertuples(index=False):
                 ids, q_ids = np.asarray(ids, dtype=np.int64), np.asarray(q_ids, dtype=np.int64)
                 labels, q_labels = (np.array([np.nan if x is None else x for x in a], dtype=np.float64) for a in (labels, q_labels))
-                order = np.argsort(ids, kind="stable")
-                ids, labels = ids[order], labels[order]
                 sims = np.zeros((len(q_ids), len(ids)))
                 if dim == q_dim and dim > 0:
-                    sims = np.frombuffer(q_data).reshape(len(q_ids), dim) @ np.frombuffer(data).reshape(len(ids), dim)[order].T
-                sims = np.round(sims, 6) + 0.0
-                live = np.ones(sims.shape, dtype=bool)
+                    sims = np.frombuffer(q_data).reshape(len(q_ids), dim) @ np.frombuffer(data).reshape(len(ids), dim).T
                 if scoped:
-                    live &= q_labels[:, None] == labels
-                if least is not None:
-                    live &= sims >= least
+                    sims[q_labels[:, None] != labels] = -np.inf
                 if not itself:
-                    live &= q_ids[:, None] != ids
-                groups = [np.flatnonzero(same) for same in ([(labels == x) | (np.isnan(labels) & np.isnan(x)) for x in np.unique(labels)] if by_label else [np.ones(len(ids), dtype=bool)])]
-                for at in groups:
-                    r, c = np.nonzero(live[:, at])
-                    if k is not None:
-                        best = np.argsort(np.where(live[:, at], -sims[:, at], np.inf), axis=1, kind="stable")[:, :k]
-                        r, c = np.repeat(np.arange(len(q_ids)), best.shape[1]), best.ravel()
-                        kept = live[:, at][r, c]
-                        r, c = r[kept], c[kept]
-                    c = at[c]
-                    if len(r):
-                        yield pd.DataFrame({"q_id": q_ids[r], "label": pd.array(labels[c], dtype="Int32"), "vec_id": ids[c], "sim": sims[r, c]})
-
-    return _blocks(v if among is None else among).crossJoin(q).mapInPandas(search, "q_id long, label int, vec_id long, sim double")
+                    sims[q_ids[:, None] == ids] = -np.inf
+                if k is None:
+                    r, c = np.nonzero(sims > -np.inf if least is None else sims >= least - vector_index.SLACK)
+                    yield rows(q_ids[r], labels[c], ids[c], np.round(sims[r, c], 6) + 0.0)
+                    continue
+                if held > vector_index.HELD:
+                    yield from done()
+                    held = 0
+                groups, asked[pack] = best.setdefault(pack, {}), q_ids
+                for label in np.unique(labels):  # one NaN for all nulls
+                    at = np.flatnonzero(np.isnan(labels) if np.isnan(label) else labels == label) if by_label else np.arange(len(ids))
+                    key = None if np.isnan(label) or not by_label else int(label)
+                    if key not in groups:
+                        groups[key] = vector_index.Best(np.full(len(q_ids), -np.inf), k)
+                        held += 2 * k * len(q_ids)
+                    groups[key].add(sims[:, at], ids[at])
+                    if not by_label:
+                        break
+        yield from done()
+
+    return _blocks(v if among is None else among, BLOCK).coalesce(VECTOR_PARTS).crossJoin(q).mapInPandas(search, "q_id long, label int, vec_id long, sim double")
 
 
 SIM = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -203,16 +220,22 @@ _GRAMS = f"""tok AS (SELECT item_id, unnest(list_concat(w, list_transform(range(
 con AS (SELECT item_id, t, CASE WHEN t IN ('{"', '".join(HIGH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS plain, CASE WHEN t IN ('{"', '".join(HIGH + _RICH)}') THEN 2.0 WHEN contains(t, ' ') THEN 1.5 ELSE 1.0 END AS wt FROM tok WHERE t NOT IN ('{"', '".join(STOP)}'))"""
 
 
-def _keywords(asked, text_col):
-    return F.round(text.keyword_score(asked, text_col, STOP, HIGH, SYNONYMS), 6)
+def _asked(gold):
+    """``item_id, asked``: what each benchmark text asks for; a few texts, which every task gets."""
+    return gold.select("item_id", text.keyword_content(F.col("text"), STOP).alias("asked"))
+
+
+def _keywords(asked, held):
+    return F.round(text.keyword_share(F.coalesce(asked, F.array().cast("array<string>")), held, HIGH, SYNONYMS), 6)
 
 
 @query(f"WITH {WORDS_SQL}, scored AS (SELECT item_id, doc_id FROM found WHERE rank <= 15), {_GRAMS}, {_keyword_sql('kw', 'text')} SELECT item_id, doc_id, kw FROM kw")
 def keyword_overlap(spark, sf):
     """The keyword score of the fifteen candidates of each benchmark text."""
-    asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("asked"))
-    rows = table(spark, sf, "documents").select("doc_id", "text").join(by_words(spark, sf, 15), "doc_id").join(asked, "item_id").repartition(_parts(spark, sf), "item_id", "doc_id")
-    return rows.select("item_id", "doc_id", _keywords(F.col("asked"), F.col("text")).alias("kw"))
+    found = sinks.kept(by_words(spark, sf, 15).select("item_id", "doc_id"), "found")  # so that its size is known before texts are dealt
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(found, "doc_id").repartition(_parts(spark, sf), "item_id", "doc_id")
+    rows = docs.select("item_id", "doc_id", text.keyword_words(F.col("text")).alias("held")).join(F.broadcast(_asked(table(spark, sf, "benchmark"))), "item_id")
+    return rows.select("item_id", "doc_id", _keywords(F.col("asked"), F.col("held")).alias("kw"))
 
 
 #: The text of a query vector: the benchmark texts in turn.
@@ -233,12 +256,18 @@ def _hybrid(spark, sf):
     near = core.top_k(_searched(spark, sf, 15, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 15, "k").withColumnRenamed("vec_id", "doc_id")
     gold = table(spark, sf, "benchmark")
     n = gold.agg((F.max("item_id") + 1).alias("n_items"))
-    near = near.crossJoin(F.broadcast(n)).withColumn("item_id", F.floor(F.col("q_id") / 20) % F.col("n_items")).drop("n_items")
-    asked = gold.select("item_id", F.col("text").alias("asked"))
-    rows = table(spark, sf, "documents").select("doc_id", "text", "source", "lang").join(near, "doc_id").join(asked, "item_id", "left").repartition(_parts(spark, sf), "q_id", "label")  # as the ranking needs them; few splits of documents may hold the candidates
-    score = lambda held: F.coalesce(_keywords(F.col("asked"), held), F.lit(0.0))
-    hybrid = scores.lore_score(F.col("sim"), score(F.col("text")), score(F.concat("source", F.lit(" "), "lang", F.lit(" version"))), (F.col("lang") == "en").cast("int"))
-    rows = rows.select("q_id", "doc_id", "label", F.md5("text").alias("text_key"), F.round(hybrid + 1e-9, 6).alias("hybrid_score"))  # exact halves go up in any order of summation
+    near = near.crossJoin(F.broadcast(n)).withColumn("item_id", F.floor(F.col("q_id") / 20) % F.col("n_items"))
+    near = sinks.kept(near.select("doc_id", "item_id", "q_id", "label", "sim"), "near")
+    low, high = near.agg(F.min("doc_id"), F.max("doc_id")).first()
+    docs = table(spark, sf, "documents").where(F.col("doc_id").between(low, high)).select("doc_id", "text", "source", "lang")
+    # a text is dealt and cut into words once for all that ask for it; rows go on without it
+    asks = near.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "q_id", "label", "sim")).alias("asks")).repartition(_parts(spark, sf), "doc_id")
+    docs = docs.repartition(_parts(spark, sf), "doc_id").join(asks, "doc_id")
+    docs = docs.select("doc_id", "lang", F.md5("text").alias("text_key"), text.keyword_words(F.col("text")).alias("body"), text.keyword_words(F.concat("source", F.lit(" "), "lang", F.lit(" version"))).alias("head"), F.explode("asks").alias("ask"))
+    rows = docs.select("doc_id", "lang", "text_key", "body", "head", "ask.*").join(F.broadcast(_asked(gold)), "item_id", "left")
+    score = lambda c: F.coalesce(_keywords(F.col("asked"), F.col(c)), F.lit(0.0))
+    hybrid = scores.lore_score(F.col("sim"), score("body"), score("head"), (F.col("lang") == "en").cast("int"))
+    rows = rows.select("q_id", "doc_id", "label", "text_key", F.round(hybrid + 1e-9, 6).alias("hybrid_score"))  # exact halves go up in any order of summation
     return core.ranked(rows, ["q_id", "label"], [F.desc("hybrid_score"), "doc_id"])
 
 

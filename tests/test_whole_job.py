@@ -42,3 +42,29 @@ def test_search_of_short_empty_and_null_vectors(spark, tmp_path):
     assert found == {(q, v[0]): 0.0 for q in (0, 20, 40) for v in rows} | {(0, 0): 1.0, (0, 1): 0.707107}
     near = core.top_k(retrieval._searched(spark, str(tmp_path), 2, by_label=True), ["q_id", "label"], [F.desc("sim"), "vec_id"], 2).where("q_id = 0").collect()
     assert {(r.label, r.vec_id) for r in near} == {(1, 0), (1, 1), (2, 3), (2, 20), (None, 4)} and len(near) == 5
+
+
+def test_search_gives_the_best_of_a_task_and_not_of_each_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    near = retrieval._searched(spark, SF, 4, by_label=True)
+    n_queries, n_labels, parts = 25, 10, 4
+    assert n_queries * n_labels * 4 <= near.count() <= n_queries * n_labels * 4 * parts
+    best = lambda rows: {tuple(r) for r in core.top_k(rows, ["q_id", "label"], [F.desc("sim"), "vec_id"], 4).collect()}
+    monkeypatch.setattr(retrieval.vector_index, "HELD", 100)  # given again and again
+    assert best(retrieval._searched(spark, SF, 4, by_label=True)) == best(near)
+
+
+def dealt(df) -> list[tuple[str, str]]:
+    """Columns and arguments of each exchange of the plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (.*)\n", plan)
+
+
+@pytest.mark.parametrize("name", ["retrieve_pack"])
+def test_texts_are_dealt_once_by_document(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        found = dealt(catalog.queries()[name](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found and all("hashpartitioning(doc_id" in how for columns, how in found if re.search(r"\b(text|body)#", columns))
