@@ -60,7 +60,7 @@ def dealt(df) -> list[tuple[str, str]]:
     return re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (.*)\n", plan)
 
 
-@pytest.mark.parametrize("name", ["hybrid_rerank", "retrieve_pack"])
+@pytest.mark.parametrize("name", ["hybrid_rerank", "rrf_fusion", "retrieve_pack"])
 def test_texts_are_dealt_once_by_document(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
     try:
