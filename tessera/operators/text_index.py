@@ -21,6 +21,8 @@ from ..sources import sinks
 BUCKETS, FIRST = 16, 20
 #: Documents for each result whose full score is taken after the first step.
 LIKELY = 3
+#: Documents of one step that are sent to every task at most.
+NAMED = 1_000_000
 
 
 def rarity(n_docs: int, df: Column) -> Column:
@@ -34,18 +36,20 @@ def saturated(tf: Column) -> Column:
 
 def build(docs: DataFrame, path: str, id_col: str, terms: Column) -> None:
     """Write the index of ``docs`` by an array of terms with repeats. Null ids, arrays and terms are left out; a repeated id is one document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(terms).alias("term")).where("id is not null and term is not null")
-    tf = sinks.kept(rows.groupBy("id", "term").agg(F.count("*").alias("tf")), "frequencies")
+    spark = docs.sparkSession
+    # dealt by id before terms are counted, so that neither counts nor the forward table need another exchange
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), terms.alias("terms")).where("id is not null and terms is not null").repartition("id")
+    tf = dealt.select("id", F.explode("terms").alias("term")).where("term is not null").groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
+    tf.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("counts")).write.parquet(f"{path}/forward")
+    tf = spark.read.parquet(f"{path}/forward").select("id", F.explode("counts").alias("term", "tf"))
     n = docs.select(id_col).dropna().distinct().count()
     counts = tf.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"))
     weights = counts.select("term", "df", rarity(n, F.col("df")).alias("rarity"), (rarity(n, F.col("df")) * saturated(F.col("most"))).alias("bound"))
     weights = weights.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     weights.sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    weights = docs.sparkSession.read.parquet(f"{path}/terms")
+    weights = spark.read.parquet(f"{path}/terms")
     postings = tf.join(weights.select("term", "rarity", "bucket"), "term").select("bucket", "term", (F.col("rarity") * saturated(F.col("tf"))).cast("int").alias("impact"), "id")
-    postings = sinks.kept(postings, "postings")
-    postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", F.desc("impact"), "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "impact"))).alias("impacts")).write.parquet(f"{path}/forward")
+    postings.sortWithinPartitions("bucket", "term", F.desc("impact"), "id").write.partitionBy("bucket").parquet(f"{path}/postings")
 
 
 class TextIndex:
@@ -62,9 +66,9 @@ class TextIndex:
         return self._asked(queries).agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        """``q_id, term, df, bound, bucket`` of the distinct terms of ``queries(q_id, terms)`` that some document has."""
+        """``q_id, term, df, rarity, bound, bucket`` of the distinct terms of ``queries(q_id, terms)`` that some document has."""
         terms = queries.select("q_id", F.explode(F.array_distinct("terms")).alias("term"))
-        return terms.join(self.read("terms").select("term", "df", "bound", "bucket"), "term")
+        return terms.join(self.read("terms").select("term", "df", "rarity", "bound", "bucket"), "term")
 
     def steps(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Each query's terms with what the first step decides, the postings that step read, and those of the second."""
@@ -78,7 +82,7 @@ class TextIndex:
         best = query.orderBy(F.desc("score"), "id")
         # the full scores of the best of them, so that the bound is not one of rare terms alone
         likely = partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= LIKELY * k)
-        wanted = asked.groupBy("q_id").agg(F.collect_list("term").alias("terms"))
+        wanted = asked.groupBy("q_id").agg(F.collect_list(F.struct("term", "rarity")).alias("terms"))
         full = self._scored(likely.join(wanted, "q_id").select("q_id", "id", F.lit(0).cast("long").alias("score"), "terms"), "terms")
         kth = full.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("q_id", F.col("score").alias("least"))
         # the longest run of terms, weakest and then most common first, whose bounds together stay below the k-th best
@@ -91,14 +95,21 @@ class TextIndex:
         return terms, first, second
 
     def _scored(self, found: DataFrame, terms: str) -> DataFrame:
-        """``q_id, id, score`` with the impacts of the array ``terms`` added from the forward table."""
-        score = F.aggregate(terms, F.col("score"), lambda a, t: a + F.coalesce(F.try_element_at("impacts", t), F.lit(0)))
-        return found.join(self.read("forward"), "id").select("q_id", "id", score.alias("score"))
+        """``q_id, id, score`` with the impacts of ``terms``, an array of terms and rarities, added from the forward table.
+
+        While the documents are few enough, only their rows of that table are dealt.
+        """
+        found, forward = sinks.kept(found, "candidates"), self.read("forward")
+        ids = found.select("id").distinct()
+        if ids.limit(NAMED + 1).count() <= NAMED:
+            forward = forward.join(F.broadcast(ids), "id", "left_semi")
+        score = F.aggregate(terms, F.col("score"), lambda a, t: a + F.coalesce(t["rarity"] * saturated(F.try_element_at("counts", t["term"])), F.lit(0)))
+        return found.join(forward, "id").select("q_id", "id", score.alias("score"))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """``q_id, id, score, rank``: the k best documents of each of ``queries(q_id, terms)`` with a positive score, ties by id."""
         terms, _, second = self.steps(queries, k)
-        minor = F.collect_list(F.when(F.col("minor"), F.col("term")))
+        minor = F.collect_list(F.when(F.col("minor"), F.struct("term", "rarity")))
         rest = terms.groupBy("q_id").agg(F.max("least").alias("least"), minor.alias("minor"), F.sum(F.when(F.col("minor"), F.col("bound")).otherwise(0)).alias("more"))
         found = second.groupBy("q_id", "id").agg(F.sum("impact").alias("score")).join(rest, "q_id").where("score + more >= least")
         full = self._scored(found, "minor")

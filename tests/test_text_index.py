@@ -72,3 +72,13 @@ def test_empty(spark, index):
     assert found.search(spark.createDataFrame([], "q_id long, terms array<string>"), 5).count() == 0
     path = sinks.scratch(spark, "words")
     text_index.build(spark.createDataFrame([], "doc_id long, terms array<string>"), path, "doc_id", F.col("terms"))
+
+
+def test_build_writes_each_count_in_two_tables_only(spark, monkeypatch):
+    """The forward table and the postings; no other copy of all counts is staged."""
+    copies, kept = [], sinks.kept
+    monkeypatch.setattr(sinks, "kept", lambda df, name: copies.append(name) or kept(df, name))
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (2, ["c"])], "doc_id long, w array<string>")
+    path = sinks.scratch(spark, "words")
+    text_index.build(docs, path, "doc_id", F.col("w"))
+    assert copies == [] and text_index.TextIndex(spark, path).read("forward").count() == 2
